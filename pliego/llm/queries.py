@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats
+from . import debruijn, repeats
 from .base import table
 
 
@@ -14,9 +14,14 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=200).drop("kept")
 
 
+def op5_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeated_spans(table(spark, sf_dir, "documents"), window=20).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_repeats": op1_suffix_repeats,
+        "op5_debruijn_spans": op5_debruijn_spans,
     }
 
 
