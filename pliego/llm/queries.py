@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, repeats
+from . import debruijn, golay, repeats
 from .base import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=200).drop("kept")
 
 
+def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
 def op5_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeated_spans(table(spark, sf_dir, "documents"), window=20).drop("kept")
 
@@ -21,6 +25,7 @@ def op5_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_repeats": op1_suffix_repeats,
+        "op3_golay_simhash": op3_golay_simhash,
         "op5_debruijn_spans": op5_debruijn_spans,
     }
 
