@@ -20,78 +20,31 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import merged, segments
-from .base import keyed, public_id, written
-from .repeats import SEGMENT, repeated_segments
+from .anchors import merged
+from .base import keyed, public_id
+from .segments import WordItems, branching, contents, fetched, packed, repeated, segment_rows, unpacked
 
-K = 5
-_HELD = 1 << 17
 
-
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    return (x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.large_binary()))
-
-
-def _segment_rows(window: int):
-    def rows(batch: pa.RecordBatch, first: int, hashes: list[int], sizes: list[int]) -> pa.RecordBatch:
-        items = np.array(hashes, np.uint64)
-        seq, start, count, anchor, weight = segments(items, np.cumsum([0, *sizes]), window, min(K, window))
-        at = pa.array(seq + first)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(anchor), pa.array(weight, pa.int32())],
-            ["doc_id", "th", "start", "windows", "anchor", "weight"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            hashes: list[int] = []
-            sizes: list[int] = []
-            first = 0
-            for i, text in enumerate(_texts(batch)):
-                own = [digest(w) for w in text.split()]
-                hashes += own
-                sizes.append(len(own))
-                if len(hashes) >= _HELD:
-                    yield rows(batch, first, hashes, sizes)
-                    hashes, sizes, first = [], [], i + 1
-            if sizes:
-                yield rows(batch, first, hashes, sizes)
-
-    return run
-
-
-def _piece_rows(window: int):
-    fields = ["anchor", "digest", "doc_id", "th", "start", "keys"]
+def _edge_rows(window: int):
+    """The k-mers of each piece in order, each with the one before and the one after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), _texts(batch), batch.column("segments").to_pylist())
-            out: list[list] = [[] for _ in fields]
-            held = 0
-            for doc_id, th, text, found in rows:
-                words = text.split()
-                joined = b" ".join(words)
-                at = np.append(0, np.cumsum([len(w) + 1 for w in words])).tolist()
-                for s in found:
-                    start, count = s["start"], s["windows"]
-                    keys = [digest(joined[at[j] : at[j + window] - 1]) for j in range(start, start + count)]
-                    whole = digest(joined[at[start] : at[start + count + window - 1] - 1])
-                    for x, value in zip(out, (s["anchor"], whole, doc_id, th, start, keys)):
-                        x.append(value)
-                    held += count
-                if held >= _HELD:
-                    yield batch_of(out)
-                    out, held = [[] for _ in fields], 0
-            if out[0]:
-                yield batch_of(out)
-
-    def batch_of(out: list[list]) -> pa.RecordBatch:
-        whole = pa.array(np.array(out[1], np.uint64).view(np.int64))
-        flat = np.array([k for keys in out[5] for k in keys], np.uint64).view(np.int64)
-        keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[5])]), pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), whole, pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), keys], fields)
+            counts, starts = batch.column("windows").to_numpy(), batch.column("start").to_numpy()
+            keys: list[int] = []
+            for piece, n in zip(batch.column("piece").to_pylist(), counts.tolist()):
+                cut = WordItems().slicer(piece)
+                keys += [xxhash.xxh3_64_intdigest(cut(j, j + window)) for j in range(n)]
+            key = np.array(keys, np.uint64).view(np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)
+            before = pa.array(np.append(key[:1], key[:-1]), mask=place == 0)
+            after = pa.array(np.append(key[1:], key[:1]), mask=place == counts[row] - 1)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("anchor").take(at), pa.array(key), batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(starts[row] + place), before, after],
+                ["anchor", "key", "doc_id", "th", "at", "before", "after"],
+            )
 
     return run
 
@@ -102,39 +55,26 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     docs has the columns of base.keyed; documents are ordered by (doc_id, th). Ranges may
     overlap.
     """
-    rows = docs.select("doc_id", "th", "text").mapInArrow(_segment_rows(window), SEGMENT)
-    pieces = written(
-        docs.join(repeated_segments(rows), ["doc_id", "th"]).select("doc_id", "th", "text", "segments")
-        .mapInArrow(_piece_rows(window), "anchor long, digest long, doc_id long, th int, start long, keys array<long>")
-    )
-    place = F.struct("doc_id", "th", "start")
-    content = pieces.groupBy("anchor", "digest").agg(F.min(place).alias("source"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    found = repeated(segment_rows(docs, WordItems(), window))
+    content = contents(found)
     later = (
-        pieces.select("anchor", "digest", "doc_id", "th", "start", F.size("keys").alias("n"))
-        .join(content.where("copies > 1").select("anchor", "digest", "source"), ["anchor", "digest"])
-        .where(place != F.col("source"))
-        .select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (window - 1)).alias("hi"))
+        found.join(content.where("copies > 1").select("anchor", "digest", "source"), ["anchor", "digest"])
+        .where(F.struct("doc_id", "th", "start") != F.col("source"))
+        .select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + (window - 1)).alias("hi"))
     )
-    return later.unionByName(_paths(content, window))
+    pieces = fetched(docs, content.join(branching(content), "anchor"), WordItems(), window)
+    edges = pieces.mapInArrow(_edge_rows(window), "anchor long, key long, doc_id long, th int, at long, before long, after long")
+    return later.unionByName(_paths(edges, window))
 
 
-def _paths(content: DataFrame, window: int) -> DataFrame:
+def _paths(edges: DataFrame, window: int) -> DataFrame:
     """Spans of first copies that occurred before as part of other contents."""
-    forked = content.groupBy("anchor").agg(F.count("*").alias("n"), F.max(F.size(F.array_distinct("keys")) < F.size("keys")).alias("loops")).where("n > 1 or loops").select("anchor")
-    edges = (
-        content.join(forked, "anchor", "left_semi")
-        .select("anchor", "source", "keys", F.posexplode("keys").alias("j", "key"))
-        .select(
-            "anchor", "key", F.col("source.doc_id").alias("doc_id"), F.col("source.th").alias("th"), (F.col("source.start") + F.col("j")).alias("at"),
-            F.when(F.col("j") > 0, F.try_element_at("keys", F.col("j"))).alias("before"), F.try_element_at("keys", F.col("j") + 2).alias("after"),
-        )
-    )
     graph = edges.groupBy("anchor", "key").agg(
         F.min(F.struct("doc_id", "th", "at")).alias("source"),
         (F.min("after") != F.max("after")).alias("fork"),
         (F.min("before") != F.max("before")).alias("joint"),
     )
-    repeated = edges.select("anchor", "key", "doc_id", "th", "at").join(graph, ["anchor", "key"]).where(F.struct("doc_id", "th", "at") != F.col("source"))
+    seen = edges.select("anchor", "key", "doc_id", "th", "at").join(graph, ["anchor", "key"]).where(F.struct("doc_id", "th", "at") != F.col("source"))
     order = Window.partitionBy("doc_id", "th").orderBy("at")
     previous = F.lag(F.struct("at", "source", F.coalesce("fork", F.lit(False)).alias("fork"))).over(order)
     in_step = (
@@ -143,7 +83,7 @@ def _paths(content: DataFrame, window: int) -> DataFrame:
         & (F.col("source.at") == F.col("p.source.at") + 1)
     )
     paths = (
-        repeated.withColumn("p", previous)
+        seen.withColumn("p", previous)
         .withColumn("path", F.sum(F.when(in_step, 0).otherwise(1)).over(order))
         .groupBy("doc_id", "th", "path")
         .agg(F.min("at").alias("lo"), F.count("*").alias("n"))
@@ -154,7 +94,7 @@ def _paths(content: DataFrame, window: int) -> DataFrame:
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, digests, kept_texts = [], [], [], []
-        for text, ranges in zip(_texts(batch), batch.column("ranges").to_pylist()):
+        for text, ranges in zip(unpacked(batch), batch.column("ranges").to_pylist()):
             words = text.split()
             kept = words
             if ranges:
@@ -184,6 +124,6 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_
     """
     docs = keyed(docs, id_col, text_col)
     ranges = repeated_spans(docs, window).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    found = docs.join(ranges, ["doc_id", "th"], "left").select("doc_id", "text", "ranges")
+    found = packed(docs).join(ranges, ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
     out = found.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumn("doc_id", public_id())

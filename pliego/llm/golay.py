@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import batch_bytes, written
 from .components import components
-from .repeats import batch_bytes
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR = 0b101011100011
