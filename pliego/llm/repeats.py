@@ -1,12 +1,13 @@
 """Operator 1: bytes of long strings that occur more than once, by a run-length index.
 
-Documents are cut into anchored segments (see anchors); only anchors that occur twice can
-hold a repeated window. The distinct segments of such anchors are dealt out by anchor, and
-each task builds run-compressed Burrows-Wheeler indexes over bounded chunks of them, with
-sampled run ends, and streams matching statistics that mark every window with a second
-occurrence. Equal segments are indexed at most twice, so thousands of copies cost two.
-
-An anchor with more than HOT distinct segments (a passage amid ever other text) is not
+Documents are cut into anchored segments (see anchors and segments); only anchors that
+occur twice can hold a repeated window. Equal segments collapse first, so thousands of
+copies cost one, and are repeated as a whole. The distinct contents that share an anchor
+are dealt out by anchor; each task builds run-compressed Burrows-Wheeler indexes over
+bounded chunks of them, with sampled run ends, and streams matching statistics that mark
+every window with a second occurrence.
+
+An anchor with more than HOT distinct contents (a passage amid ever other text) is not
 gathered in one task: its windows are counted one by one by their digests.
 """
 
@@ -22,99 +23,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rlbwt
-from .anchors import merged, segments
-from .base import keyed, public_id, written
+from .anchors import merged
+from .base import keyed, public_id
+from .segments import ByteItems, branching, contents, fetched, packed, repeated, segment_rows, unpacked
 
-K = 64
-#: Distinct segments of one anchor that one task may index together.
+#: Distinct contents of one anchor that one task may index together.
 HOT = 2000
 #: Bytes of text under one index.
 CHUNK = 1 << 19
 
-_BYTE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
-
-
-def batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column without nulls, and the offsets of its values."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _segment_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = batch_bytes(batch.column("text"))
-            seq, start, count, anchor, weight = segments(_BYTE[data], offsets, window, min(K, window))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(seq)), batch.column("th").take(pa.array(seq)), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(anchor), pa.array(weight, pa.int32())],
-                ["doc_id", "th", "start", "windows", "anchor", "weight"],
-            )
-
-    return run
-
-
-SEGMENT = "doc_id long, th int, start long, windows int, anchor long, weight int"
-
-
-def repeated_segments(rows: DataFrame) -> DataFrame:
-    """The segments whose anchor occurs twice, as one list for each document."""
-    twice = rows.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
-    return rows.join(twice, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("segments"))
-
-
-def _piece_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = batch_bytes(batch.column("text"))
-            lists = batch.column("segments")
-            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten()
-            start, count = flat.field("start").to_numpy(), flat.field("windows").to_numpy()
-            view = memoryview(data)
-            at = (offsets[row] + start).tolist()
-            ends = (offsets[row] + start + count + window - 1).tolist()
-            for lo in range(0, len(at), 20_000):
-                pieces = [bytes(view[a:b]) for a, b in zip(at[lo : lo + 20_000], ends[lo : lo + 20_000])]
-                part = slice(lo, lo + 20_000)
-                digests = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces), np.uint64, len(pieces)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field("anchor")[part], pa.array(digests), batch.column("doc_id").take(pa.array(row[part])), batch.column("th").take(pa.array(row[part])), pa.array(start[part]), pa.array(pieces, pa.binary())],
-                    ["anchor", "digest", "doc_id", "th", "start", "piece"],
-                )
-
-    return run
-
 
 def _index_rows(window: int, chunk: int):
     schema = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
-    def marks(anchors, digests, pieces, copies) -> pa.RecordBatch:
-        doubled = [p for p, n in zip(pieces, copies) for _ in range(n)]
-        found = rlbwt.repeated_starts(doubled, window)
-        at = np.cumsum([0, *copies[:-1]])
-        a, d, lo, hi = [], [], [], []
-        for i in range(len(pieces)):
-            s, e = merged(found[at[i]], found[at[i]] + 1)
-            a += [anchors[i]] * len(s)
-            d += [digests[i]] * len(s)
-            lo += s.tolist()
-            hi += e.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((a, d, lo, hi), schema)], schema=schema)
+    def marks(anchors, digests, pieces) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for anchor, digest, starts in zip(anchors, digests, rlbwt.repeated_starts(pieces, window)):
+            lo, hi = merged(starts, starts + 1)
+            for x, values in zip(out, ([anchor] * len(lo), [digest] * len(lo), lo.tolist(), hi.tolist())):
+                x += values
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], []]
         size = 0
         for batch in batches:
-            for anchor, digest, piece, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "piece", "copies"))):
-                if size >= chunk and anchor != held[0][-1]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "piece"))):
+                if size >= chunk and row[0] != held[0][-1]:
                     yield marks(*held)
-                    held, size = [[], [], [], []], 0
-                for x, value in zip(held, (anchor, digest, piece, n)):
+                    held, size = [[], [], []], 0
+                if held[0] and row[:2] == (held[0][-1], held[1][-1]):
+                    continue  # the same piece again, from repeated rows
+                for x, value in zip(held, row):
                     x.append(value)
-                size += n * (len(piece) + 1)
+                size += len(row[2]) + 1
         if held[0]:
             yield marks(*held)
 
@@ -124,13 +66,12 @@ def _index_rows(window: int, chunk: int):
 def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, digest, piece, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "piece", "copies"))):
-                starts = range(len(piece) - window + 1)
-                keys = np.array([xxhash.xxh3_64_intdigest(piece[j : j + window]) for j in starts], np.uint64).view(np.int64)
-                size = len(keys)
+            for anchor, digest, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "piece"))):
+                keys = [xxhash.xxh3_64_intdigest(piece[j : j + window]) for j in range(len(piece) - window + 1)]
+                n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, anchor)), pa.array(np.full(size, digest)), pa.array(np.arange(size), pa.int32()), pa.array(keys), pa.array(np.full(size, n), pa.int32())],
-                    ["anchor", "digest", "lo", "key", "copies"],
+                    [pa.array(np.full(n, anchor)), pa.array(np.full(n, digest)), pa.array(np.arange(n), pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64))],
+                    ["anchor", "digest", "lo", "key"],
                 )
 
     return run
@@ -141,44 +82,34 @@ def repeated_ranges(docs: DataFrame, window: int = 200, hot: int = HOT, chunk: i
 
     docs has the columns of base.keyed. Ranges may overlap; documents without any are absent.
     """
-    rows = docs.select("doc_id", "th", "text").mapInArrow(_segment_rows(window), SEGMENT)
-    pieces = written(
-        docs.join(repeated_segments(rows), ["doc_id", "th"]).select("doc_id", "th", "text", "segments")
-        .mapInArrow(_piece_rows(window), "anchor long, digest long, doc_id long, th int, start long, piece binary")
-    )
-    distinct = pieces.groupBy("anchor", "digest").agg(F.first("piece").alias("piece"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
-    crowded = pieces.select("anchor", "digest").distinct().groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
-    cold = distinct.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    found = repeated(segment_rows(docs, ByteItems(), window))
+    content = contents(found)
+    forks = branching(content)
+    pieces = fetched(docs, content.join(forks, "anchor"), ByteItems(), window)
+    crowded = forks.where(F.col("n") > hot).select("anchor")
+    cold = pieces.join(crowded, "anchor", "left_anti").select("anchor", "digest", "piece").repartition("anchor").sortWithinPartitions("anchor", "digest")
     marks = cold.mapInArrow(_index_rows(window, chunk), "anchor long, digest long, lo int, hi int")
-    single = distinct.join(crowded, "anchor", "left_semi").mapInArrow(_window_rows(window), "anchor long, digest long, lo int, key long, copies int")
-    again = single.groupBy("anchor", "key").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "key")
+    warm = pieces.join(crowded, "anchor", "left_semi").select("anchor", "digest", "piece").dropDuplicates(["anchor", "digest"])
+    single = warm.mapInArrow(_window_rows(window), "anchor long, digest long, lo int, key long")
+    again = single.groupBy("anchor", "key").count().where("count > 1").select("anchor", "key")
     marks = marks.unionByName(single.join(again, ["anchor", "key"], "left_semi").select("anchor", "digest", "lo", (F.col("lo") + 1).alias("hi")))
-    spans = pieces.drop("piece").join(marks, ["anchor", "digest"])
+    copied = content.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), F.col("windows").alias("hi"))
+    spans = found.select("anchor", "digest", "doc_id", "th", "start").join(marks.unionByName(copied), ["anchor", "digest"])
     span = F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (window - 1)).alias("hi"))
     return spans.groupBy("doc_id", "th").agg(F.collect_list(span).alias("ranges"))
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = batch_bytes(batch.column("text"))
-        bounds = offsets.tolist()
-        lists = batch.column("ranges")
-        flat = lists.flatten()
-        lo, hi = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
-        edge = np.append(0, np.cumsum(np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(int).tolist()
-        removed, spans, digests, kept_texts = [], [], [], []
-        for i in range(len(batch)):
-            text = data[bounds[i] : bounds[i + 1]]
-            s, e = merged(lo[edge[i] : edge[i + 1]], hi[edge[i] : edge[i + 1]])
-            kept = b"".join(text[a:b].tobytes() for a, b in zip(np.append(0, e), np.append(s, len(text))))
-            removed.append(len(text) - len(kept))
-            spans.append(len(s))
-            digests.append(hashlib.sha256(kept).hexdigest())
-            kept_texts.append(kept)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept_texts, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+        out: list[list] = [[], [], [], [], []]
+        for text, ranges in zip(unpacked(batch), batch.column("ranges")):
+            ranges = ranges.as_py() or []
+            s, e = merged(np.array([r["lo"] for r in ranges], np.int64), np.array([r["hi"] for r in ranges], np.int64))
+            kept = b"".join(text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
+            for x, value in zip(out, (len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept)):
+                x.append(value)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -193,6 +124,6 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     not read.
     """
     docs = keyed(docs, id_col, text_col)
-    found = docs.join(repeated_ranges(docs, window, **limits), ["doc_id", "th"], "left").select("doc_id", "text", "ranges")
+    found = packed(docs).join(repeated_ranges(docs, window, **limits), ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
     out = found.mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", public_id())
