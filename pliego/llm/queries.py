@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import debruijn, golay, repeats
+from . import debruijn, decontam, golay, mixing, png, repeats, resharding, toxicity
 from .base import table
 
 
@@ -14,6 +15,11 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=200).drop("kept")
 
 
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("row.doc_id", "held_out", "score", "predicted")
+
+
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
@@ -22,13 +28,38 @@ def op5_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeated_spans(table(spark, sf_dir, "documents"), window=20).drop("kept")
 
 
+def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op8_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resharding.resharded(table(spark, sf_dir, "documents"), shards=16, columns=["doc_id"])
+    return found.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return png.features(png.stored(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_repeats": op1_suffix_repeats,
+        "op2_weak_toxicity": op2_weak_toxicity,
         "op3_golay_simhash": op3_golay_simhash,
         "op5_debruijn_spans": op5_debruijn_spans,
+        "op6_systematic_mix": op6_systematic_mix,
+        "op8_edit_decontam": op8_edit_decontam,
+        "op9_flow_reshard": op9_flow_reshard,
+        "op10_png_media": op10_png_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_systematic_mix": mixing.ORACLE_SQL,
+    }
