@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontam, golay, mixing, png, repeats, resharding, toxicity
+from . import debruijn, decontam, golay, mixing, pii, png, repeats, resharding, toxicity
 from .base import table
 
 
@@ -33,6 +33,10 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op8_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_golay_simhash": op3_golay_simhash,
         "op5_debruijn_spans": op5_debruijn_spans,
         "op6_systematic_mix": op6_systematic_mix,
+        "op7_boosted_pii": op7_boosted_pii,
         "op8_edit_decontam": op8_edit_decontam,
         "op9_flow_reshard": op9_flow_reshard,
         "op10_png_media": op10_png_media,
