@@ -17,10 +17,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import batch_bytes, written
+from .base import NO_ID, batch_bytes, written
 from .components import components
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^9+x^7+x^6+x^5+x+1.
@@ -198,10 +198,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, id_co
 def one_of_each(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: one row of each component stays, that with its smallest id.
 
-    Rows that share the smallest id are one document repeated; the one with the least text
-    stays. All columns are kept.
+    Rows that share the smallest id are one document repeated, of which one stays. A row
+    with a null id goes by a hash of its text, before all ids. All columns are kept.
     """
-    found = near_duplicates(docs, shingle, crowd, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component")).distinct()
-    first = found.where(F.col("_id").eqNullSafe(F.col("_component"))).select("_id").distinct()
-    kept = docs.join(first, F.col(id_col).eqNullSafe(first["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), text.alias("text"))
+    found = near_duplicates(rows, shingle, crowd, "key")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    again = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    return rows.drop("text").join(first, "key", "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontam, golay, mixing, pii, png, repeats, resharding, toxicity
+from . import debruijn, decontam, golay, mixing, pii, png, repeats, resharding, tokens, toxicity
 from .base import table
 
 
@@ -24,6 +24,10 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op4_separator_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeated_spans(table(spark, sf_dir, "documents"), window=20).drop("kept")
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_repeats": op1_suffix_repeats,
         "op2_weak_toxicity": op2_weak_toxicity,
         "op3_golay_simhash": op3_golay_simhash,
+        "op4_separator_tokens": op4_separator_tokens,
         "op5_debruijn_spans": op5_debruijn_spans,
         "op6_systematic_mix": op6_systematic_mix,
         "op7_boosted_pii": op7_boosted_pii,
