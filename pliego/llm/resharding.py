@@ -138,11 +138,16 @@ def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | Non
     part = F.when((F.col("old") * BUCKETS + F.col("bucket")).isin(big), _part()).otherwise(0) if big else F.lit(0)
     moves = docs.sparkSession.createDataFrame([(*k, v) for k, v in plan.items()], _MOVES)
     moved = rows.withColumn("part", part).join(F.broadcast(moves), ["old", "bucket", "part"], "left").withColumn("shard", F.coalesce("new", "old"))
-    cell = ["shard", "old", "bucket", "part", "cell"]
+    block = ["shard", "old", "bucket", "part"]
+    cell = [*block, "cell"]
     moved = moved.withColumn("cell", F.pmod(F.shiftright("ident", 40), F.lit(_CELLS)).cast("int"))
     counts = moved.groupBy(*cell).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy(*cell[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # Slots before a cell: those of the shard's earlier blocks, and of the block's earlier cells.
+    earlier = Window.partitionBy("shard").orderBy(*block[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(*block).agg(F.sum("n").alias("n")).select(*block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("block_first"))
+    before = Window.partitionBy(*block).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_first"))
+    starts = starts.join(blocks, block).select(*cell, (F.col("block_first") + F.col("cell_first")).alias("first"))
     inside = Window.partitionBy(*cell).orderBy("text_crc32", "ident", "id", "size")
     slot = (F.col("first") + F.row_number().over(inside) - 1).cast("long")
     return moved.join(starts, cell).select("row", "size", "text_crc32", "old", "shard", slot.alias("slot"))
