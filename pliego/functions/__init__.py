@@ -1 +1 @@
-
+"""Column functions and fixed tables of the notice domain."""
