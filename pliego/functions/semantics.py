@@ -43,15 +43,15 @@ def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
     return F.coalesce(F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits), F.lit(0.0))
 
 
-def upper_median(c: Column) -> Column:
-    """Aggregate: the element at floor(n / 2) of the sorted values, null of none.
+def upper_median(name: str) -> Column:
+    """Aggregate over a column by name: the element at floor(n / 2) of the sorted values, null of none.
 
     The exact median of an even count lies between two neighbours; the upper one is the
     least value at or above it. percentile() keeps counts by value, not rows.
     """
     # With p a little above 1/2 the discrete percentile leaves the lower middle of an even
     # count and stays on the middle of an odd one, for groups below about 10^9 rows.
-    return F.expr("percentile_disc(0.500000001) WITHIN GROUP (ORDER BY {})".format(c._jc.toString()))
+    return F.expr(f"percentile_disc(0.500000001) WITHIN GROUP (ORDER BY `{name}`)")
 
 
 def norm_ws(c: Column) -> Column:

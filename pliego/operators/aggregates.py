@@ -13,11 +13,11 @@ from ..functions.semantics import pct, upper_median
 
 def profile(df: DataFrame, keys: Sequence[str], status: Column, amount: Column) -> DataFrame:
     """Status split and amount distribution of each group (all rows for no keys)."""
-    known = F.when(amount > 0, amount)
+    df, known = df.withColumn("_known", F.when(amount > 0, amount)), F.col("_known")
     one = lambda s: F.count_if(status == s)
     out = df.groupBy(*keys).agg(
         F.count("*").alias("total"), one("Vigente").alias("open"), one("Adjudicado").alias("awarded"), one("Desierta").alias("void"),
-        F.count(known).alias("with_amount"), upper_median(known).alias("median_amount"), F.min(known).alias("min_amount"), F.max(known).alias("max_amount"),
+        F.count(known).alias("with_amount"), upper_median("_known").alias("median_amount"), F.min(known).alias("min_amount"), F.max(known).alias("max_amount"),
         F.round(F.sum(known), 2).alias("sum_amount"),
     )
     return out.withColumn("other", F.col("total") - F.col("open") - F.col("awarded") - F.col("void"))

@@ -115,7 +115,7 @@ def lifecycle_merge(production: DataFrame, candidates: DataFrame, key: str, posi
 
     has_award = F.coalesce(F.col("c.adjudicatari") != "", F.lit(False))
     after = overlap_lifecycle(F.col("c.estat"), has_award, F.col("p.lifecycle_category"), F.col("p.lifecycle_review_required"))
-    kept = F.struct(F.col("p.lifecycle_category").alias("category"), (F.col("p.lifecycle_category") == "CLEAR_OPEN").alias("active"), F.coalesce(F.col("p.lifecycle_review_required"), F.lit(False)).alias("review"))
+    kept = F.struct(F.col("p.lifecycle_category").alias("category"), F.coalesce(F.col("p.lifecycle_category") == "CLEAR_OPEN", F.lit(False)).alias("active"), F.coalesce(F.col("p.lifecycle_review_required"), F.lit(False)).alias("review"))
     life = F.when(met, after).otherwise(kept)
     columns = ["estat", "adjudicatari", *fields]
     lists_out = [F.when(met, F.concat(F.col(f"p.{c}"), F.array_except(F.col(f"c.{c}"), F.col(f"p.{c}")))).otherwise(F.col(f"p.{c}")).alias(c) for c in lists]

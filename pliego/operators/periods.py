@@ -10,10 +10,10 @@ from ..functions.semantics import js_round, pct, period_index, third, upper_medi
 
 def period_metrics(df: DataFrame, date: Column, amount: Column, status: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, year, third, idx, measures): all periods with rows, in one aggregation."""
-    known = F.when(amount > 0, amount)
-    rows = df.withColumns({"_y": F.year(date), "_t": third(date)}).where("_t > 0")
+    rows = df.withColumns({"_y": F.year(date), "_t": third(date), "_known": F.when(amount > 0, amount)}).where("_t > 0")
+    known = F.col("_known")
     out = rows.groupBy(*keys, F.col("_y").alias("year"), F.col("_t").alias("third")).agg(
-        F.count("*").alias("total"), F.count(known).alias("with_amount"), upper_median(known).alias("median_amount"), F.round(F.sum(known), 2).alias("sum_amount"),
+        F.count("*").alias("total"), F.count(known).alias("with_amount"), upper_median("_known").alias("median_amount"), F.round(F.sum(known), 2).alias("sum_amount"),
         F.count_if(status == "Vigente").alias("open"), F.count_if(status == "Adjudicado").alias("awarded"), F.count_if(status == "Desierta").alias("void"),
     )
     return out.withColumn("idx", period_index(F.col("year"), F.col("third")))
