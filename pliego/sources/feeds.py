@@ -82,6 +82,6 @@ def parsed(rows: DataFrame) -> DataFrame:
         F.coalesce(mapped(STATUS_BY_CODE, code), F.when(awarded, "Adjudicado"), F.lit("")).alias("status"), F.when(F.length(body) >= 4, F.left(body, F.lit(150))).otherwise("").alias("organisation"),
         F.greatest(*amounts).alias("budget"), F.regexp_extract(day, r"(\d{4}-\d{2}-\d{2})", 1).alias("deadline"),
         F.when((F.length(winner) >= 3) & ~winner.rlike(r"(?i)^ES[\s\-]?\d"), F.left(winner, F.lit(120))).otherwise("").alias("winner"),
-        F.array_distinct(F.filter(F.transform(codes, F.trim), lambda c: c.rlike(r"^[1-9]\d{7}$"))).alias("cpv"),
+        F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: c.rlike(r"^[1-9]\d{7}$"))).alias("cpv"),
         F.xpath("entry", F.lit("//DocumentReference/Attachment/ExternalReference/URI/text()")).alias("documents"),
     )
