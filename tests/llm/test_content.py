@@ -1,0 +1,198 @@
+"""Operators 2, 7, 8 and 10: toxicity, personal data, decontamination, media."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from pliego.llm import boosting, decontam, pii, png, toxicity
+
+
+def labelled_corpus(n=400):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeioulrstn") for _ in range(r.randint(3, 7)))
+    docs, labels = [], []
+    for i in range(n):
+        words = [word() for _ in range(r.randint(30, 60))]
+        bad = r.random() < 0.3
+        if bad:
+            for w in r.sample(["zorgo", "zorgen", "blatt", "krupf", "krupfig"], 3):
+                words.insert(r.randrange(len(words)), w)
+        docs.append((i, " ".join(words), bad))
+        labels.append((i, 0, int(bad)))
+    return docs, labels
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    docs, labels = labelled_corpus()
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["row"]["doc_id"]: r for r in toxicity.scored(df, lab).collect()}
+    truth = {i: bad for i, _, bad in docs}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    held = [i for i, r in got.items() if r["held_out"]]
+    assert np.mean([got[i]["predicted"] == truth[i] for i in held]) >= 0.95
+    flipped = spark.createDataFrame([(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    again = {r["row"]["doc_id"]: r["score"] for r in toxicity.scored(df, flipped).collect()}
+    assert again == {i: r["score"] for i, r in got.items()}
+
+
+def test_toxicity_of_odd_rows(edge, empty, texts, spark):
+    lab = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(edge, lab).collect()
+    assert len(got) == len(texts) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["score"] for r in got if not (r["row"]["text"] or "").strip()} and got[0]["row"].asDict().keys() == set(edge.columns)
+    assert toxicity.scored(empty, lab).collect() == []
+
+
+def test_label_model_sees_through_noise_and_copies():
+    rng = np.random.default_rng(0)
+    truth = rng.random(2000) < 0.3
+    good = np.where(rng.random((2000, 3)) < 0.9, truth[:, None], ~truth[:, None])
+    noise = rng.random((2000, 1)) < 0.5
+    votes = np.hstack([good, np.repeat(noise, 6, axis=1)]).astype(np.float32)
+    label = np.where(rng.random(2000) < 0.8, truth, ~truth).astype(np.float32)
+    assert ((toxicity.label_model(votes, label) > 0.5) == truth).mean() > 0.95
+
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def direct_spans(text):
+    out = []
+    for k, (name, p) in enumerate(RULES.items()):
+        for m in re.finditer(p, text):
+            d = re.sub(r"[^0-9]", "", m.group())
+            if name == "ip" and any(int(x) > 255 for x in m.group().split(".")) or name == "card" and not (12 <= len(d) <= 19 and luhn(d)) or name == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans():
+    r = random.Random(2)
+    parts = ["a", "@", ".", "b.c", "-", "1", "2", "55", "255", "+", " ", "(", ")", "4111111111111111", "é", "1.2.3.4", "a@b.es", "+34 600 111 222"]
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert pii.base_spans(text) == direct_spans(text)
+    assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a" * 200_000 + "@") == []
+
+
+def test_personal_data(spark, empty, edge, texts):
+    rows = [(1, "mail a.b@c.es, ip 10.0.0.1, é +34 600 111 222, card 4111 1111 1111 1111"), (2, "password=8f219e9cb0eb53f169 then"), (3, "nothing on page 12-14 here"), (4, None)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert tuple(got[1][c] for c in ("n_email", "n_ip", "n_card", "n_phone")) == (1, 1, 1, 1)
+    base = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in direct_spans(rows[0][1]))
+    assert got[1]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) <= set(got[1]["spans"].split(","))
+    assert got[2]["spans"] == "secret:9:27" and got[2]["redacted"] == "password=<secret> then"
+    assert got[3]["spans"] == "" and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert pii.personal_data(edge).count() == len(texts) and pii.personal_data(empty).collect() == []
+
+
+def test_boosting_learns_an_interaction():
+    rng = np.random.default_rng(3)
+    x = rng.random((1500, 4))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.3) | (x[:, 2] > 0.9)).astype(float)
+    model = boosting.boost(x[:1000], y[:1000])
+    assert ((model.probability(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
+
+
+def distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, d in enumerate(t, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_bit_parallel_distance():
+    r = random.Random(3)
+    for _ in range(200):
+        p, t = ("".join(r.choice("abc") for _ in range(n)) for n in (r.randint(1, 90), r.randint(0, 120)))
+        masks = {c: sum(1 << i for i, x in enumerate(p) if x == c) for c in set(p)}
+        assert decontam.best_match(masks, len(p), t)[0] == distance(p, t)
+
+
+def test_matches(spark, empty, edge):
+    r = random.Random(6)
+    items = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(20, 90)))) for i in range(15)] + [(50, ""), (51, None)]
+    docs = []
+    for n in range(60):
+        text = list(r.choice(items[:15])[1])
+        for _ in range(r.randint(0, 8)):
+            k = r.randrange(len(text) + 1)
+            text[k : k + r.randint(0, 1)] = [r.choice("abxyz")][: r.randint(0, 1)]
+        docs.append((n, "Zz  qq\n" + "".join(text).upper() + " end"))
+    want = set()
+    for n, text in docs:
+        for i, item in items:
+            item = decontam.normal(item or "")
+            if item and distance(item, decontam.normal(text)) <= int(0.1 * len(item)):
+                want.add((n, i, distance(item, decontam.normal(text))))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for at_once in (decontam.ITEMS_AT_ONCE, 100):
+        assert {(x["doc_id"], x["item_id"], x["distance"]) for x in decontam.matches(df, bench, 0.1, at_once).collect()} == want
+        assert {x["doc_id"] for x in decontam.decontaminated(df, bench, 0.1, at_once).collect()} == {n for n, _ in docs} - {n for n, *_ in want}
+    assert decontam.matches(empty, bench).collect() == [] and decontam.matches(edge, bench.limit(0)).collect() == []
+    assert decontam.decontaminated(edge, bench).columns == edge.columns
+
+
+def filtered(samples, kinds):
+    a = samples.astype(int)
+    out = np.zeros((a.shape[0], a.shape[1] + 1), np.uint8)
+    for y, k in enumerate(kinds):
+        out[y, 0] = k
+        for x in range(a.shape[1]):
+            left, up, corner = a[y, x - 1] if x else 0, a[y - 1, x] if y else 0, a[y - 1, x - 1] if x and y else 0
+            p = left + up - corner
+            paeth = min((left, up, corner), key=lambda v: abs(p - v))
+            out[y, x + 1] = (a[y, x] - (0, left, up, (left + up) // 2, paeth)[k]) % 256
+    return out
+
+
+def test_all_filters_are_undone():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        samples = rng.integers(0, 256, (9, 24)).astype(np.uint8)
+        assert (png.unfiltered(filtered(samples, rng.integers(0, 5, 9).tolist())) == samples).all()
+
+
+def test_damage_is_noticed():
+    data = png.write_png(png.payload_image(b"hello"))
+    assert png.read_png(data).tobytes()[:5] == b"hello"
+    for at in (0, 20, 45, len(data) - 2):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(png.DamagedImage):
+            png.read_png(bytes(broken))
+    with pytest.raises(png.DamagedImage):
+        png.read_png(data[:-12])
+
+
+def test_media_columns(edge, empty, texts):
+    stored = png.stored(edge)
+    got = sorted((tuple(r) for r in png.features(stored).collect()), key=repr)
+    want = []
+    for i, t in texts:
+        data = t.encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        media = png.write_png(png.payload_image(data))
+        want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), png.cosine_hash(png.payload_image(data))))
+    assert got == sorted(want, key=repr) and png.features(png.stored(empty)).collect() == []
+
+
+def test_hash_keeps_low_frequencies():
+    rng = np.random.default_rng(2)
+    smooth = (np.add.outer(np.sin(np.arange(96) / 20), np.cos(np.arange(24) / 9)) * 60 + 128).astype(np.uint8)
+    noisy = np.clip(smooth.astype(int) + rng.integers(-4, 5, smooth.shape), 0, 255).astype(np.uint8)
+    bits = lambda a, b: (int(png.cosine_hash(a), 16) ^ int(png.cosine_hash(b), 16)).bit_count()
+    assert bits(smooth, noisy) < bits(smooth, rng.integers(0, 256, smooth.shape).astype(np.uint8))
