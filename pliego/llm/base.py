@@ -18,6 +18,21 @@ NO_ID = -(2**63)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to a Python worker, and rows of a batch that a Parquet reader decodes.
+BATCH_BYTES, READER_ROWS = 4 << 20, 1024
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after its session was told to keep batches of long texts small.
+
+    Memory for a batch then depends on BATCH_BYTES and the longest text, not on the mean
+    length of texts.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +45,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     so their names cannot clash.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
+    return bounded(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.hash(text).alias("th"),
         text.alias("text"),

@@ -4,9 +4,13 @@ Edges of the graph are token k-mers, that is windows of ``window`` words. Docume
 into anchored segments (super-k-mers that share a minimiser, see anchors), so an edge is
 looked for only where its anchor occurs twice, and equal segments collapse into one before
 any edge is laid out. A later copy of a whole segment needs no graph. The first copies of
-anchors with several contents are laid out as edges; joins give each edge its forks and its
-earliest source coordinate, and nonbranching paths whose source coordinates run in step are
-compacted into spans. A span is removed when its source lies before it.
+anchors with several contents are dealt out by anchor, and each task compacts the
+nonbranching paths of its anchors. Paths end at the borders of their segments; a join of
+path ends with path starts, on the coordinates of the path and of its source, compacts them
+into long spans. A span is removed, its source lies before it and runs in step with it.
+
+An anchor with more than HOT contents is not gathered in one task: its edges get their
+forks and sources from a grouped count and a join.
 """
 
 from __future__ import annotations
@@ -22,7 +26,78 @@ from pyspark.sql import functions as F
 
 from .anchors import merged
 from .base import keyed, public_id
-from .segments import WordItems, branching, contents, fetched, packed, repeated, segment_rows, unpacked
+from .segments import WordItems, branching, contents, fetched, packed, repeated, unpacked
+
+
+#: Distinct contents of one anchor that one task may compact together.
+HOT = 2000
+_PATH = "doc_id long, th int, lo long, n long, s_doc long, s_th int, s_at long"
+
+
+def _keys(piece: bytes, count: int, window: int) -> list[int]:
+    # A piece is words joined by one space, so its windows are slices of it.
+    ends = [i for i, c in enumerate(piece) if c == 32] + [len(piece)]
+    starts = [0, *(e + 1 for e in ends)]
+    return [xxhash.xxh3_64_intdigest(piece[a:b]) for a, b in zip(starts, ends[window - 1 : window - 1 + count])]
+
+
+def _compacted(group: list[tuple], window: int) -> list[tuple]:
+    """Paths of one anchor: group has (doc_id, th, start, windows, piece) for each content."""
+    group = sorted(set(group))
+    keyed_group = [(doc, th, start, _keys(piece, n, window)) for doc, th, start, n, piece in group]
+    after: dict[int, int] = {}
+    before: dict[int, int] = {}
+    forks, joints = set(), set()
+    for _, _, _, keys in keyed_group:
+        for a, b in zip(keys, keys[1:]):
+            if after.setdefault(a, b) != b:
+                forks.add(a)
+            if before.setdefault(b, a) != a:
+                joints.add(b)
+    source: dict[int, tuple] = {}
+    out: list[tuple] = []
+    for doc, th, start, keys in keyed_group:
+        path = None  # first word, windows, first source, last source
+        for at, key in enumerate(keys, start):
+            own = (doc, th, at)
+            first = source.setdefault(key, own)
+            if first == own:
+                step = False
+            else:
+                step = path is not None and keys[at - start - 1] not in forks and key not in joints and first == (*path[3][:2], path[3][2] + 1)
+            if step:
+                path = (path[0], path[1] + 1, path[2], first)
+                continue
+            if path:
+                out.append((doc, th, path[0], path[1], *path[2]))
+            path = None if first == own else (at, 1, first, first)
+        if path:
+            out.append((doc, th, path[0], path[1], *path[2]))
+    return out
+
+
+def _path_rows(window: int):
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = [x.split()[0] for x in _PATH.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        anchor, out = None, []
+        for batch in batches:
+            for now, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "th", "start", "windows", "piece"))):
+                if now != anchor:
+                    out += _compacted(held, window)
+                    anchor, held = now, []
+                held.append(tuple(row))
+            if len(out) >= 20_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out + _compacted(held, window))
+
+    return run
 
 
 def _edge_rows(window: int):
@@ -31,10 +106,7 @@ def _edge_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, starts = batch.column("windows").to_numpy(), batch.column("start").to_numpy()
-            keys: list[int] = []
-            for piece, n in zip(batch.column("piece").to_pylist(), counts.tolist()):
-                cut = WordItems().slicer(piece)
-                keys += [xxhash.xxh3_64_intdigest(cut(j, j + window)) for j in range(n)]
+            keys = [k for piece, n in zip(batch.column("piece").to_pylist(), counts.tolist()) for k in _keys(piece, n, window)]
             key = np.array(keys, np.uint64).view(np.int64)
             row = np.repeat(np.arange(len(counts)), counts)
             place = np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -49,46 +121,55 @@ def _edge_rows(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, hot: int = HOT) -> DataFrame:
     """(doc_id, th, lo, hi): word ranges covered by windows that start earlier as well.
 
     docs has the columns of base.keyed; documents are ordered by (doc_id, th). Ranges may
     overlap.
     """
-    found = repeated(segment_rows(docs, WordItems(), window))
+    found = repeated(docs, WordItems(), window)
     content = contents(found)
     later = (
         found.join(content.where("copies > 1").select("anchor", "digest", "source"), ["anchor", "digest"])
         .where(F.struct("doc_id", "th", "start") != F.col("source"))
         .select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + (window - 1)).alias("hi"))
     )
-    pieces = fetched(docs, content.join(branching(content), "anchor"), WordItems(), window)
-    edges = pieces.mapInArrow(_edge_rows(window), "anchor long, key long, doc_id long, th int, at long, before long, after long")
-    return later.unionByName(_paths(edges, window))
+    forks = branching(content)
+    pieces = fetched(docs, content.join(forks, "anchor"), WordItems(), window)
+    crowded = forks.where(F.col("n") > hot).select("anchor")
+    cold = pieces.join(crowded, "anchor", "left_anti").drop("digest").repartition("anchor").sortWithinPartitions("anchor")
+    edges = pieces.join(crowded, "anchor", "left_semi").mapInArrow(_edge_rows(window), "anchor long, key long, doc_id long, th int, at long, before long, after long")
+    paths = cold.mapInArrow(_path_rows(window), _PATH).unionByName(_edge_paths(edges))
+    return later.unionByName(_spans(paths, window))
 
 
-def _paths(edges: DataFrame, window: int) -> DataFrame:
-    """Spans of first copies that occurred before as part of other contents."""
+def _edge_paths(edges: DataFrame) -> DataFrame:
+    """The paths of crowded anchors: edges that recur, compacted where they run in step with their source."""
     graph = edges.groupBy("anchor", "key").agg(
         F.min(F.struct("doc_id", "th", "at")).alias("source"),
-        (F.min("after") != F.max("after")).alias("fork"),
-        (F.min("before") != F.max("before")).alias("joint"),
+        F.coalesce(F.min("after") != F.max("after"), F.lit(False)).alias("fork"),
+        F.coalesce(F.min("before") != F.max("before"), F.lit(False)).alias("joint"),
     )
     seen = edges.select("anchor", "key", "doc_id", "th", "at").join(graph, ["anchor", "key"]).where(F.struct("doc_id", "th", "at") != F.col("source"))
     order = Window.partitionBy("doc_id", "th").orderBy("at")
-    previous = F.lag(F.struct("at", "source", F.coalesce("fork", F.lit(False)).alias("fork"))).over(order)
+    p = F.lag(F.struct("at", "source", "fork")).over(order)
     in_step = (
-        (F.col("at") == F.col("p.at") + 1) & ~F.col("p.fork") & ~F.coalesce("joint", F.lit(False))
-        & (F.col("source.doc_id") == F.col("p.source.doc_id")) & (F.col("source.th") == F.col("p.source.th"))
-        & (F.col("source.at") == F.col("p.source.at") + 1)
+        (F.col("at") == F.col("p.at") + 1) & ~F.col("p.fork") & ~F.col("joint") & (F.col("source.doc_id") == F.col("p.source.doc_id"))
+        & (F.col("source.th") == F.col("p.source.th")) & (F.col("source.at") == F.col("p.source.at") + 1)
     )
-    paths = (
-        seen.withColumn("p", previous)
-        .withColumn("path", F.sum(F.when(in_step, 0).otherwise(1)).over(order))
-        .groupBy("doc_id", "th", "path")
-        .agg(F.min("at").alias("lo"), F.count("*").alias("n"))
-    )
-    return paths.select("doc_id", "th", "lo", (F.col("lo") + F.col("n") + (window - 1)).alias("hi"))
+    marked = seen.withColumn("p", p).withColumn("path", F.sum(F.when(in_step, 0).otherwise(1)).over(order))
+    paths = marked.groupBy("doc_id", "th", "path").agg(F.min("at").alias("lo"), F.count("*").alias("n"), F.min("source").alias("s"))
+    return paths.select("doc_id", "th", "lo", "n", F.col("s.doc_id").alias("s_doc"), F.col("s.th").alias("s_th"), F.col("s.at").alias("s_at"))
+
+
+def _spans(paths: DataFrame, window: int) -> DataFrame:
+    """Paths joined end to start, where path and source both go on, as word ranges."""
+    ends = paths.select("doc_id", "th", (F.col("lo") + F.col("n")).alias("lo"), "s_doc", "s_th", (F.col("s_at") + F.col("n")).alias("s_at"), F.lit(1).alias("goes_on"))
+    joined = paths.join(ends.distinct(), ["doc_id", "th", "lo", "s_doc", "s_th", "s_at"], "left")
+    order = Window.partitionBy("doc_id", "th").orderBy("lo", "n")
+    spans = joined.withColumn("span", F.sum(F.when(F.col("goes_on") == 1, 0).otherwise(1)).over(order))
+    spans = spans.groupBy("doc_id", "th", "span").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("n")).alias("end"))
+    return spans.select("doc_id", "th", "lo", (F.col("end") + (window - 1)).alias("hi"))
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +192,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """Each document without the words that a window seen earlier covers.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the remaining words, joined by
@@ -123,7 +204,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_
     hash of the text. An empty table gives an empty result. Other columns are not read.
     """
     docs = keyed(docs, id_col, text_col)
-    ranges = repeated_spans(docs, window).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_spans(docs, window, **limits).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     found = packed(docs).join(ranges, ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
     out = found.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumn("doc_id", public_id())

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded
+
 RATE = 0.075
 ITEMS_AT_ONCE = 16 << 20
 
@@ -150,7 +152,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, at_once:
     An empty table on either side gives an empty result. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     schema = "doc_id long, item_id long, distance int, match_end long"
     found = None
     for items in item_blocks(benchmark, at_once):
@@ -172,5 +174,5 @@ def _clean_rows(items: list[tuple[int, str]], rate: float, text_col: str):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, at_once: int = ITEMS_AT_ONCE, text_col: str = "text") -> DataFrame:
     """docs without the rows that hold an item; all columns are kept."""
     for items in item_blocks(benchmark, at_once):
-        docs = docs.mapInArrow(_clean_rows(items, rate, text_col), docs.schema)
+        docs = bounded(docs).mapInArrow(_clean_rows(items, rate, text_col), docs.schema)
     return docs

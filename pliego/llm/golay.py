@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NO_ID, batch_bytes, written
+from .base import NO_ID, batch_bytes, bounded, written
 from .components import components
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^9+x^7+x^6+x^5+x+1.
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     fewer words is one shingle; a null text and one without words has fingerprint 0.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     return rows.mapInArrow(_fingerprint_rows(shingle), "doc_id long, fp long")
 
 
@@ -116,7 +116,8 @@ def _pair_rows(distance: int):
         step, live = 1, np.arange(len(key) - 1)
         while len(live):
             live = live[key[live] == key[live + step]]
-            near = np.bitwise_count(fp[live] ^ fp[live + step]) <= distance
+            # Counted unsigned: numpy counts the bits of a negative number's absolute value.
+            near = np.bitwise_count((fp[live] ^ fp[live + step]).view(np.uint64)) <= distance
             a.append(fp[live[near]])
             b.append(fp[live[near] + step])
             step += 1
@@ -205,6 +206,10 @@ def one_of_each(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, id_col: s
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), text.alias("text"))
     found = near_duplicates(rows, shingle, crowd, "key")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    first = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n")))
+    kept = rows.drop("text")
+    single = kept.join(first.where("n = 1"), "key", "left_semi")
+    # The window holds only rows that share an id.
     again = Window.partitionBy("key").orderBy(F.xxhash64("row"))
-    return rows.drop("text").join(first, "key", "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1").select("row.*")
+    repeated = kept.join(first.where("n > 1"), "key", "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1").drop("again")
+    return single.unionByName(repeated).select("row.*")

@@ -6,8 +6,8 @@ are summed in that order from one random offset of the source, and a document is
 once for each integer boundary its interval crosses. As sizes rise along the order, the
 words taken follow the target closely.
 
-No task gets a whole source: positions come from counts of cells (source, size class, hash
-bucket), at most about 60 x 4096 for a source, and from ranks inside one cell.
+No task gets a whole source: positions come from the counts of a source's size classes (some
+hundreds), of the 4096 hash buckets in a class, and from ranks inside one bucket.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, written
+from .base import WORD, bounded, written
 
 #: A source is taken this many times at most.
 MOST = 3
@@ -61,8 +61,11 @@ def _placed(rows: DataFrame) -> DataFrame:
     }
     rows = rows.withColumns(cell)
     counts = rows.groupBy("key", "class", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("key").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("key", "class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    earlier = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = counts.groupBy("key", "class").agg(F.sum("n").alias("n")).select("key", "class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("class_first"))
+    before = Window.partitionBy("key", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("key", "class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_first"))
+    starts = starts.join(classes, ["key", "class"]).select("key", "class", "bucket", (F.col("class_first") + F.col("cell_first")).alias("first"))
     inside = Window.partitionBy("key", "class", "bucket").orderBy("hash", "id", "size")
     return rows.join(starts, ["key", "class", "bucket"]).withColumn("place", F.col("first") + F.row_number().over(inside) - 1)
 
@@ -79,7 +82,7 @@ def mixed(docs: DataFrame, columns: list[str] | None = None, weights: tuple[int,
     """
     columns = columns or docs.columns
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(
+    rows = bounded(docs).select(
         F.struct(*columns).alias("row"),
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import batch_bytes
+from .base import batch_bytes, bounded
 
 #: Payload lengths are a positive multiple of UNIT; the payload is filled up with FILL.
 UNIT, FILL, WIDTH = 576, 255, 24
@@ -188,7 +188,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows stay; an empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_stored_rows, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_stored_rows, "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:

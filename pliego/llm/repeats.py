@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import rlbwt
 from .anchors import merged
 from .base import keyed, public_id
-from .segments import ByteItems, branching, contents, fetched, packed, repeated, segment_rows, unpacked
+from .segments import ByteItems, branching, contents, fetched, packed, repeated, unpacked
 
 #: Distinct contents of one anchor that one task may index together.
 HOT = 2000
@@ -82,7 +82,7 @@ def repeated_ranges(docs: DataFrame, window: int = 200, hot: int = HOT, chunk: i
 
     docs has the columns of base.keyed. Ranges may overlap; documents without any are absent.
     """
-    found = repeated(segment_rows(docs, ByteItems(), window))
+    found = repeated(docs, ByteItems(), window)
     content = contents(found)
     forks = branching(content)
     pieces = fetched(docs, content.join(forks, "anchor"), ByteItems(), window)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .base import written
+from .base import bounded, written
 
 BUCKETS = 4096
 SPLIT = 4096
@@ -126,7 +126,7 @@ def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | Non
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h = F.xxhash64(text)
     ident = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(
+    rows = bounded(docs).select(
         F.struct(*columns).alias("row"), F.col(id_col).alias("id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         (F.col(old).cast("int") if old else F.pmod(h, F.lit(shards)).cast("int")).alias("old"),

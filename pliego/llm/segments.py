@@ -9,6 +9,8 @@ an anchor with other contents.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import segments
-from .base import written
+from .base import batch_bytes, written
 
 _SEGMENT = "doc_id long, th int, start long, windows int, anchor long, digest long, weight int"
 _FIELDS = [x.split()[0] for x in _SEGMENT.split(", ")]
+#: Bytes of text that are laid out at once, but for longer documents.
 _HELD = 1 << 18
 
 
@@ -29,80 +32,118 @@ def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.large_binary()))
 
 
+class Layout(NamedTuple):
+    """Documents laid out as items: item i of the buffer is view[starts[i]:ends[i]], document d has
+    the items [offsets[d], offsets[d + 1]). A run of items is one slice of the view."""
+
+    view: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    offsets: np.ndarray
+    hashes: np.ndarray
+
+    def slicer(self) -> Callable[[int, int], bytes]:
+        starts, ends, view = self.starts.tolist(), self.ends.tolist(), self.view
+        return lambda lo, hi: view[starts[lo] : ends[hi - 1]]
+
+
+_TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so that it has an inverse modulo 2^64
+_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 2**64))
+
+
+@lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x))) for x in (_BASE, _INVERSE))
+
+
 class ByteItems:
     """Documents as sequences of bytes."""
 
     k = 64
-    _table = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
-
-    def items(self, text: bytes) -> np.ndarray:
-        return self._table[np.frombuffer(text, np.uint8)]
 
-    def slicer(self, text: bytes) -> Callable[[int, int], bytes]:
-        return lambda lo, hi: text[lo:hi]
+    def layout(self, data: np.ndarray, offsets: np.ndarray) -> Layout:
+        place = np.arange(len(data) + 1)
+        return Layout(data.tobytes(), place[:-1], place[1:], offsets, _TABLE[data])
 
 
 class WordItems:
-    """Documents as sequences of words; a slice is its words joined by one space."""
+    """Documents as sequences of words; in the view one space stands between the words of a document.
+
+    A word's hash serves only to choose anchors: it is a polynomial of its bytes, taken from
+    running sums over the whole buffer.
+    """
 
     k = 5
 
-    def items(self, text: bytes) -> np.ndarray:
-        digest = xxhash.xxh3_64_intdigest
-        return np.array([digest(w) for w in text.split()], np.uint64)
-
-    def slicer(self, text: bytes) -> Callable[[int, int], bytes]:
-        words = text.split()
-        joined = b" ".join(words)
-        at = np.append(0, np.cumsum([len(w) + 1 for w in words])).tolist()
-        return lambda lo, hi: joined[at[lo] : at[hi] - 1]
-
-
-def segment_rows(docs: DataFrame, kind, window: int) -> DataFrame:
-    """A row for each segment of docs (columns of base.keyed)."""
-
-    def rows(batch: pa.RecordBatch, first: int, held: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
-        offsets = np.cumsum([0, *(len(x) for _, x in held)])
-        seq, start, count, anchor, weight = segments(np.concatenate([x for _, x in held]), offsets, window, min(kind.k, window))
-        digests = np.zeros(len(seq), np.uint64)
-        loops = weight > 1
-        bounds = np.searchsorted(seq, np.arange(len(held) + 1)).tolist()
-        digest, starts, counts = xxhash.xxh3_64_intdigest, start.tolist(), count.tolist()
-        for i, (text, _) in enumerate(held):
-            lo, hi = bounds[i], bounds[i + 1]
-            if lo == hi:
-                continue
-            cut = kind.slicer(text)
-            digests[lo:hi] = [digest(cut(s, s + n + window - 1)) for s, n in zip(starts[lo:hi], counts[lo:hi])]
-            for j in np.flatnonzero(loops[lo:hi]).tolist():
-                s, n = starts[lo + j], counts[lo + j]
-                loops[lo + j] = len({digest(cut(p, p + window)) for p in range(s, s + n)}) < n
-        at = pa.array(seq + first)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(anchor), pa.array(digests.view(np.int64)), pa.array(1 + loops, pa.int32())],
-            _FIELDS,
-        )
+    def layout(self, data: np.ndarray, offsets: np.ndarray) -> Layout:
+        if not len(data):
+            none = np.zeros(0, np.int64)
+            return Layout(b"", none, none, np.zeros_like(offsets), none.view(np.uint64))
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        filled = offsets[:-1][offsets[1:] > offsets[:-1]]
+        after_space = np.append(True, space[:-1])
+        after_space[filled] = True
+        before_space = np.append(space[1:], True)
+        before_space[filled - 1] = True  # the byte before a document; for the first one that is the last byte of all
+        first, last = np.flatnonzero(~space & after_space), np.flatnonzero(~space & before_space)
+        keep = ~(space & after_space)
+        place = np.cumsum(keep) - 1
+        view = np.where(space, np.uint8(32), data)[keep].tobytes()
+        size = 1 << max(10, int(len(data) - 1).bit_length())
+        power, inverse = _powers(size)
+        sums = np.cumsum(np.where(space, np.uint64(0), _TABLE[data]) * power[: len(data)])
+        hashes = (sums[last] - sums[first] + _TABLE[data[first]] * power[first]) * inverse[first]
+        return Layout(view, place[first], place[last] + 1, np.searchsorted(first, offsets), hashes)
+
+
+def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about _HELD bytes, at least one document each."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _HELD, side="right")) - 1)
+        yield lo, min(hi, n)
+        lo = hi
+
+
+def segment_rows(docs: DataFrame, kind, window: int, digests: bool = True) -> DataFrame:
+    """A row for each segment of docs (columns of base.keyed).
+
+    Without ``digests`` the rows have only anchor and weight.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            held: list[tuple[bytes, np.ndarray]] = []
-            first, size = 0, 0
-            for i, text in enumerate(texts(batch)):
-                held.append((text, kind.items(text)))
-                size += len(held[-1][1])
-                if size >= _HELD:
-                    yield rows(batch, first, held)
-                    held, first, size = [], i + 1, 0
-            if held:
-                yield rows(batch, first, held)
-
-    return docs.select("doc_id", "th", "text").mapInArrow(run, _SEGMENT)
-
-
-def repeated(rows: DataFrame) -> DataFrame:
-    """The segments whose windows may recur: those of an anchor that occurs twice. Written out."""
-    twice = rows.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
-    return written(rows.join(twice, "anchor", "left_semi"))
+            data, offsets = batch_bytes(batch.column("text"))
+            for lo, hi in _chunks(offsets):
+                laid = kind.layout(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                seq, start, count, anchor, weight = segments(laid.hashes, laid.offsets, window, min(kind.k, window))
+                item = laid.offsets[seq] + start
+                loops = weight > 1
+                for j in np.flatnonzero(loops).tolist():
+                    at = slice(item[j], item[j] + count[j])
+                    ends = laid.ends[at.start + window - 1 : at.stop + window - 1]
+                    loops[j] = len({digest(laid.view[a:b]) for a, b in zip(laid.starts[at].tolist(), ends.tolist())}) < count[j]
+                weight = pa.array(1 + loops, pa.int32())
+                if not digests:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), weight], ["anchor", "weight"])
+                    continue
+                own = [digest(laid.view[a:b]) for a, b in zip(laid.starts[item].tolist(), laid.ends[item + count + window - 2].tolist())]
+                at = pa.array(seq + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(anchor), pa.array(np.array(own, np.uint64).view(np.int64)), weight],
+                    _FIELDS,
+                )
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, _SEGMENT if digests else "anchor long, weight int")
+
+
+def repeated(docs: DataFrame, kind, window: int) -> DataFrame:
+    """The segments of docs whose windows may recur: those of an anchor that occurs twice. Written out."""
+    twice = segment_rows(docs, kind, window, digests=False).groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
+    return written(segment_rows(docs, kind, window).join(twice, "anchor", "left_semi"))
 
 
 def contents(found: DataFrame) -> DataFrame:
@@ -147,7 +188,7 @@ def fetched(docs: DataFrame, content: DataFrame, kind, window: int) -> DataFrame
             out: list[list] = [[] for _ in fields]
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), unpacked(batch), batch.column("wanted"))
             for doc_id, th, text, wanted in rows:
-                cut = kind.slicer(text)
+                cut = kind.layout(np.frombuffer(text, np.uint8), np.array([0, len(text)])).slicer()
                 for w in wanted.as_py():
                     s, n = w["start"], w["windows"]
                     for x, value in zip(out, (w["anchor"], w["digest"], doc_id, th, s, n, cut(s, s + n + window - 1))):

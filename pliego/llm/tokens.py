@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import bounded, written
 
 #: Where the vocabulary of the default encoder lies, and its free id that ends a document.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -99,7 +99,7 @@ def flat_files(docs: DataFrame, path: str = VOCABULARY, end: int = END_OF_DOCUME
     kept beside the tokens, so that counts can be told apart by id, and the scan never reads
     it. Written out. A null text is an empty document.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.monotonically_increasing_id().alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return written(rows.mapInArrow(_flat_rows(path, end, block), "file long, block int, tokens binary, documents array<long>"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import bounded, written
 
 #: Most labelled rows a model is fit on, and most lexicon voters it keeps.
 SAMPLE, VOTERS = 20_000, 300
@@ -186,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int =
     return model
 
 
-def _score_rows(model: Model):
+def _score_rows(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([model.score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)
+            scores = pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), scores], ["row", "score"])
 
     return run
@@ -206,7 +207,8 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None,
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     model = fit(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), labels, **limits)
-    rows = docs.select(F.struct(*(columns or docs.columns)).alias("row"), text.alias("text"))
+    columns = columns or docs.columns
+    rows = bounded(docs).select(F.struct(*columns).alias("row"), *([] if text_col in columns else [text.alias("text")]))
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_score_rows(model), f"row {kind}, score double")
+    out = rows.mapInArrow(_score_rows(model, text_col), f"row {kind}, score double")
     return out.select("row", held_out(F.col("row")[id_col]).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
