@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pliego.llm import decontam, golay, mixing, resharding, toxicity
+from pliego.llm import decontam, jaccard, mixing, resharding, toxicity
 from pliego.llm.base import table, written
 
 
@@ -19,8 +19,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
-    return golay.one_of_each(docs)
+    """One document of each group of near-duplicates stays, that with the smallest id.
+
+    Near-duplicates share 0.8 of their five-word shingles or more.
+    """
+    return jaccard.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

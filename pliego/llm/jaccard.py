@@ -1,0 +1,142 @@
+"""Near-duplicates by their shared shingles: MinHash bands propose, exact Jaccard decides.
+
+Texts with equal shingle sets are one node. A node has BANDS keys, each a hash of PER
+minima; two nodes of similarity s share a key with probability 1 - (1 - s^PER)^BANDS, which
+is above 0.9999 from s = 0.8 on. Nodes that share a key are compared by their whole sets.
+
+A key's nodes are first compared with the least of them, then all those that are not yet in
+one component with each other: the links found span the components of all proposed pairs,
+and a large group of near copies needs no list of its pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import NO_ID, batch_bytes, bounded, written
+from .components import components
+from .golay import _LOWER
+
+#: Words of a shingle, and the similarity from which on two texts are near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Keys of a node, and minima in each.
+BANDS, PER = 25, 5
+
+_R = np.random.default_rng(5)
+_TIMES = _R.integers(0, 1 << 63, BANDS * PER, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _R.integers(0, 1 << 63, BANDS * PER, np.uint64)
+
+
+def shingles(data: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a lower-cased text; a shorter text is one shingle."""
+    words = data.split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    at = np.append(0, np.cumsum([len(w) + 1 for w in words]))
+    ends = at[shingle:] - 1 if len(words) >= shingle else at[-1:] - 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(at.tolist(), ends.tolist())), np.uint64, len(ends)))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of hashes, none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * PER, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(found), 2048):
+        mixed = found[lo : lo + 2048] * _TIMES[:, None] + _PLUS[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    rows = least.reshape(BANDS, PER)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    data, offsets = batch_bytes(batch.column("text"))
+    data, offsets = _LOWER[data].tobytes(), offsets.tolist()
+    return (data[a:b] for a, b in zip(offsets, offsets[1:]))
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+
+
+def _sketch_rows(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in _texts(batch)]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(node), size, _lists([band_keys(s) for s in sets])], ["key", "th", "node", "size", "bands"])
+
+    return run
+
+
+def _set_rows(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, shingle).view(np.int64) for t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "found"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least the similarity."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+
+
+def groups(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, th, component) for each of rows (key, th, text); th tells the texts of one key apart.
+
+    component is the same for texts that can be reached from each other over pairs of at
+    least the similarity.
+    """
+    sketches = written(rows.mapInArrow(_sketch_rows(shingle), "key long, th long, node long, size long, bands array<long>"))
+    spread = sketches.select("node", "size", "bands").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
+    spread = written(spread)
+    hubs = spread.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    alive = written(spread.join(hubs, "band"))
+    chosen = sketches.join(alive.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "th")).alias("k")).select("node", "k.*")
+    sets = written(rows.join(chosen, ["key", "th"]).mapInArrow(_set_rows(shingle), "node long, found array<long>").dropDuplicates(["node"]))
+    near = lambda a, b: (F.col(a) >= similarity * F.col(b)) & (F.col(b) >= similarity * F.col(a))
+    first = written(_verified(alive.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
+    joined = components(first)
+    placed = alive.join(joined, "node", "left").select("band", "node", "size", "hub", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    placed = written(placed.where("node <> hub").join(split, "band", "left_semi").drop("hub"))
+    other = placed.select("band", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component"))
+    apart = placed.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("b_component")) & near("size", "b_size"))
+    rest = _verified(apart.select(F.col("node").alias("a"), "b").distinct(), sets, similarity)
+    linked = components(first.unionByName(rest))
+    return sketches.select("key", "th", "node").join(linked, "node", "left").select("key", "th", F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: one row of each group stays, that with its smallest id.
+
+    Texts are lower-cased in A-Z; those without words are alike. Rows that share the
+    smallest id and the text are one document repeated, of which one stays. A row with a
+    null id goes by a hash of its text, before all ids. All columns are kept.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    rows = bounded(docs).select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+    found = groups(rows.select("key", "th", "text"), shingle, similarity)
+    first = written(found.groupBy("component").agg(F.min(F.struct("key", "th")).alias("k")).select("k.*"))
+    counts = found.groupBy("key", "th").agg(F.count("*").alias("n"))
+    first = written(first.join(counts, ["key", "th"]))
+    kept = rows.drop("text")
+    single = kept.join(first.where("n = 1"), ["key", "th"], "left_semi").select("row")
+    repeated = kept.join(first.where("n > 1"), ["key", "th"], "left_semi").groupBy("key", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")

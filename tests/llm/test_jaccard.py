@@ -1,0 +1,78 @@
+"""The near-duplicates of the pipeline against all pairs compared directly."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from pliego.llm import jaccard
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingled(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited_texts():
+    """Texts with copies of one to eight changed words, so similarities spread around 0.8."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeioulrstn") for _ in range(r.randint(3, 8)))
+    out = []
+    for _ in range(60):
+        words = [word() for _ in range(r.randint(60, 250))]
+        out.append(" ".join(words))
+        for _ in range(r.randint(1, 4)):
+            copy = list(words)
+            for at in r.sample(range(len(copy)), r.randint(1, 8)):
+                copy[at] = word()
+            out.append(" ".join(copy))
+    hub = [word() for _ in range(300)]
+    for _ in range(60):  # one crowded group
+        copy = list(hub)
+        copy[r.randrange(300)] = word()
+        out.append(" ".join(copy))
+    r.shuffle(out)
+    return [*out, None, "", " \n", "two words", "Two  Words", "two word", out[0].upper()]
+
+
+def least_of_groups(texts):
+    sets = [shingled(t) for t in texts]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if top[i] != top[j] and similar(sets[i], sets[j]):
+                a, b = sorted((top[i], top[j]))
+                top = [a if x == b else x for x in top]
+    return set(top)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    texts = edited_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(r["doc_id"] for r in kept.collect())
+    assert got == sorted(least_of_groups(texts))
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = "one two three four five six seven", "a wholly other text of more than five words"
+    docs = spark.createDataFrame([(1, a, "en", "s", 0), (1, a, "en", "s", 0), (1, b, "en", "s", 0), (None, a, "en", "t", 0)], COLUMNS)
+    assert sorted((r["doc_id"] is None, r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [(False, b), (True, a)]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_similar_sets_share_a_key():
+    r = np.random.default_rng(3)
+    missed = 0
+    for _ in range(500):
+        x = r.integers(0, 1 << 63, 180, np.uint64)
+        a, b = np.append(x[:160], r.integers(0, 1 << 63, 20, np.uint64)), x
+        missed += not np.any(jaccard.band_keys(a) == jaccard.band_keys(b))
+    assert missed <= 1  # similarity 0.8
