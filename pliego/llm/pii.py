@@ -6,8 +6,8 @@ addresses, numbers without a plus sign, access keys, assigned secrets, account a
 numbers. Boosted trees score each candidate from its format and its context, and thresholds
 calibrated to a precision select among them; of overlapping ones the most probable stays.
 
-The trees are fit on candidates of a bounded sample of documents (SAMPLE, by a hash of the
-text), labelled by the base rules and checks of format, and on a fixed set of made-up
+The trees are fit on candidates of a bounded sample (SAMPLE documents, EACH of a document,
+SNIPPETS in all, chosen by hashes of the texts), labelled by the base rules and checks of format, and on a fixed set of made-up
 positive and negative examples. All documents are searched in full.
 """
 
@@ -31,7 +31,8 @@ from .boosting import Boosted, boost
 #: Span kinds in the order that breaks ties of position; the base kinds come first.
 KINDS = ("email", "ip", "card", "phone", "secret", "account", "identity")
 BASE = KINDS[:4]
-SAMPLE = 4000
+#: Bounds of the sample for the fit: documents, candidates of a document, surroundings in all.
+SAMPLE, EACH, SNIPPETS = 4000, 8, 8000
 PRECISION = 0.95
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -217,17 +218,35 @@ def fit(texts: list[str], precision: float = PRECISION) -> Redactor:
     return Redactor(trees, tuple(thresholds))
 
 
-def sample_texts(docs: DataFrame, sample: int) -> list[str]:
-    """Bounded sample: short surroundings of candidates from up to ``sample`` documents."""
+def _eligible_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of texts in which a generator matches."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        found = pa.array([any(p.search(t) for _, p in reversed(_GENERATORS)) for t in texts], pa.bool_())
+        yield batch.select(["h"]).filter(found)
+
+
+def sample_texts(docs: DataFrame, sample: int, each: int = EACH, snippets: int = SNIPPETS) -> list[str]:
+    """Bounded sample: short surroundings of candidates.
+
+    Three bounds: ``sample`` documents among those with a candidate, ``each`` candidates of
+    a document, and ``snippets`` surroundings in all. Each takes the least by a hash of the
+    text, so no place in a document or in the alphabet is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [t[max(0, a - 40) : b + 10] for t in batch.column("text").to_pylist() for a, _, b in candidates(t)[:8] if b - a < 400]
+            out = []
+            for t in batch.column("text").to_pylist():
+                around = {t[max(0, a - 40) : b + 10] for a, _, b in candidates(t)}
+                out += sorted(around, key=lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest())[:each]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
-    some = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("text").rlike(r"[0-9]{4}|@")).select("h").distinct().orderBy("h").limit(sample)
-    chosen = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(some), "h", "left_semi").dropDuplicates(["h"]).select("text")
-    return [r[0] for r in chosen.mapInArrow(run, "text string").distinct().orderBy("text").limit(2 * sample).collect()]
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    some = hashed.mapInArrow(_eligible_rows, "h long").distinct().orderBy("h").limit(sample)
+    chosen = hashed.join(F.broadcast(some), "h", "left_semi").dropDuplicates(["h"]).select("text")
+    found = chosen.mapInArrow(run, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(snippets)
+    return [r[0] for r in found.collect()]
 
 
 def written_spans(spans: list[Span]) -> str:
@@ -260,16 +279,19 @@ def _span_rows(redactor: Redactor):
     return run
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(
+    docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text", each: int = EACH, snippets: int = SNIPPETS
+) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row of docs.
 
     Counts and base_sha256 cover the base rules; spans lists all spans as kind:start:end in
     code points; redacted is the text with them replaced. A null text counts as empty, null
     ids and repeated rows stay, an empty table gives an empty result, other columns are not
-    read.
+    read. ``sample``, ``each`` and ``snippets`` bound what the trees and thresholds are fit
+    on (see sample_texts); every text is searched whole.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    redactor = fit(sample_texts(rows, sample), precision)
+    redactor = fit(sample_texts(rows, sample, each, snippets), precision)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     return rows.mapInArrow(_span_rows(redactor), schema)

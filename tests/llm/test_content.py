@@ -212,3 +212,16 @@ def test_each_generator_finds_its_span_in_a_text_without_others():
         ("the number 12345678Z of", 6, "12345678Z"),
     ]:
         assert (text.index(found), kind, text.index(found) + len(found)) in pii.candidates(text)
+
+
+def test_sample_reaches_all_places_and_all_generators(spark):
+    dense = " ".join(f"ssn 1{k:02d}-45-6789 of" for k in range(60))
+    rows = [(dense,), ("write to jane (at) example (dot) com",), *((f"{c}{c}{c} " * 15 + "ssn 123-45-6789 of",) for c in "abcdefghijklmnopqrstuvwxyz")]
+    docs = spark.createDataFrame(rows, "text string")
+    every = pii.sample_texts(docs, 100)
+    assert any("(at)" in t for t in every)  # no digit, no @
+    own = [t for t in every if "ssn 1" in t and t not in pii.sample_texts(docs.where("text not like 'ssn%'"), 100)]
+    assert len(own) == 8 and max(dense.index(t) for t in own) > 400  # not only the first
+    assert len(pii.sample_texts(docs, 100, each=3)) == len(every) - 5
+    few = pii.sample_texts(docs, 100, snippets=10)
+    assert len(few) == 10 and few != sorted(every)[:10] and set(few) <= set(every)
