@@ -12,7 +12,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): each node of edges (a, b) with the least node it can reach.
 
     Both ends of a star are grouped with min(), which combines before the shuffle, so a hub
-    with very many neighbours is no single task's list. Each round is written out.
+    with very many neighbours is no single task's list. Each round is written out. Edges
+    that still change after ``rounds`` rounds raise an error.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
@@ -26,10 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = after.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         after = written(after.where("a <> b").distinct())
         if _same(now, after):
-            now = after
-            break
+            return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
         now = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
 def _same(x: DataFrame, y: DataFrame) -> bool:

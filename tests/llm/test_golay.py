@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from pliego.llm import golay
@@ -107,3 +108,9 @@ def test_one_of_each_group_stays(edge, texts):
 
 def test_empty(empty):
     assert golay.near_duplicates(empty).collect() == [] and golay.one_of_each(empty).collect() == []
+
+
+def test_unsettled_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, rounds=1)
