@@ -35,6 +35,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     size and the excess is shared by weight among the others, until none is above. This is
     the level at which the weighted shares, capped, use up all words: with the sources
     ordered by cap / weight, those before the first that stays below its cap are capped.
+
+    The ranks and sums over sources are taken in one task, which gets one row for each
+    source: the number of sources must be one that a task can sort.
     """
     totals = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
