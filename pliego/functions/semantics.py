@@ -46,12 +46,10 @@ def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
 def upper_median(name: str) -> Column:
     """Aggregate over a column by name: the element at floor(n / 2) of the sorted values, null of none.
 
-    The exact median of an even count lies between two neighbours; the upper one is the
-    least value at or above it. percentile() keeps counts by value, not rows.
+    Counted from the greatest value down, the discrete median of an even count is the upper
+    of the two middle ones. The aggregate keeps one counter for each distinct value of a group.
     """
-    # With p a little above 1/2 the discrete percentile leaves the lower middle of an even
-    # count and stays on the middle of an odd one, for groups below about 10^9 rows.
-    return F.expr(f"percentile_disc(0.500000001) WITHIN GROUP (ORDER BY `{name}`)")
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def norm_ws(c: Column) -> Column:
@@ -158,5 +156,5 @@ def tax_id_valid(c: Column) -> Column:
     s = F.upper(c)
     number = F.translate(F.substring(s, 1, 1), "XYZ", "012")
     number = F.concat(number, F.substring(s, 2, 7)).try_cast("int")
-    shape = s.rlike(r"^([0-9]{8}|[XYZ][0-9]{7})[A-Z]$") & ~s.rlike("^0000")
+    shape = s.rlike(r"^([0-9]{8}|[XYZ][0-9]{7})[A-Z]$") & ~s.rlike("^[XYZ]?0000")
     return F.coalesce(shape & (F.substring(F.lit(letters), F.pmod(number, F.lit(23)) + 1, F.lit(1)) == F.right(s, F.lit(1))), F.lit(False))

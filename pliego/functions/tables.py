@@ -42,6 +42,9 @@ KEPT_FROM_PRODUCTION = ("enrichment_version", "enrichment_rules", "rellevancia",
 PROVENANCE_PREFIXES = ("recovery_", "delta_", "merge_")
 UNITED_LISTS = ("historial", "notice_history", "award_results", "documents", "related_contract_ids", "sources_seen", "duplicate_relations")
 
+#: Fields whose disagreement a merge reports.
+CONFLICT_FIELDS = ("estat", "status", "adjudicatari", "adjudicatario", "pressupost", "budget", "data_pub", "data_limit", "organisme", "titol", "title", "titulo", "url")
+
 BUDGET_BUCKETS = ("< 10K", "10K–50K", "50K–100K", "100K–500K", "> 500K", "Sin presupuesto")
 
 #: Phrases of a title that shut a notice out.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import ratio
+from ..functions.semantics import ratio, truthy
 from .dedup import best_of, top_n
 
 # Words that make a link a document candidate, and the rules that name its kind.
@@ -81,9 +81,13 @@ def family(url: Column) -> Column:
     return F.when(named.isNotNull(), F.concat(host, F.lit("|"), named)).when(~path.isin("", "/"), F.concat(host, F.lit("|"), path))
 
 
-def described(links: DataFrame) -> DataFrame:
-    """links (href, text, ...) with kind, confidence, extension, url and family; only candidates."""
+def described(links: DataFrame, page_url: str | None = None) -> DataFrame:
+    """links (href, text, ...) with kind, confidence, extension, url and family; only candidates.
+
+    ``page_url`` names the column with the address of a link's page, against which href is resolved first.
+    """
     rows = links.where(is_candidate(F.col("href"), F.col("text")))
+    rows = rows.withColumn("href", absolute_url(F.col(page_url), F.col("href"))) if page_url else rows
     return rows.withColumns({
         "kind": kind(F.col("href"), F.col("text")), "confidence": confidence(F.col("href"), F.col("text")), "extension": extension(F.col("href")),
         "url": normal_url(F.col("href")), "family": family(F.col("href")),
@@ -133,16 +137,71 @@ def url_collisions(rows: DataFrame, url: str, ident: str) -> DataFrame:
     return rows.groupBy(url).agg(F.count_distinct(ident).alias("ids")).where("ids > 1")
 
 
-def resolution(status: Column, mime: Column, magic: Column, size: Column) -> Column:
-    """struct(is_pdf, is_document, status, blockers) of a response's metadata."""
-    pdf = (magic == "pdf") | F.coalesce(mime.startswith("application/pdf"), F.lit(False))
-    document = pdf | magic.isin("docx", "zip", "doc")
-    ok = F.coalesce((status >= 200) & (status < 300), F.lit(False))
+# Types and extensions of documents and of markup.
+MARKUP_TYPES = ("text/html", "application/xhtml+xml", "text/xml", "application/xml")
+DOCUMENT_TYPES = {
+    "application/pdf": "pdf", "application/msword": "doc", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/vnd.ms-excel": "xls",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.ms-powerpoint": "ppt",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx", "application/vnd.oasis.opendocument.text": "odt",
+    "application/vnd.oasis.opendocument.spreadsheet": "ods", "application/rtf": "rtf", "application/zip": "zip", "application/x-zip-compressed": "zip",
+}
+DOCUMENT_EXTENSIONS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "rtf", "zip", "7z")
+
+
+def disposition_name(header: Column) -> Column:
+    """The file name of a Content-Disposition header, its extended form first; '' if none."""
+    extended = F.try_url_decode(F.regexp_extract(header, r"(?i)filename\*\s*=\s*[\w\-]*'[^']*'([^;]+)", 1))
+    plain = F.regexp_extract(header, r'(?i)filename\s*=\s*"?([^";]+)"?', 1)
+    return F.coalesce(F.nullif(F.trim(extended), F.lit("")), F.trim(plain), F.lit(""))
+
+
+def resolution(final_url: Column, status: Column, mime: Column, disposition: Column, magic: Column, candidate_id: Column, canonical_key: Column) -> Column:
+    """struct(filename, extension, is_pdf, is_document, status, blockers, merge_ready) of a response's metadata.
+
+    The extension comes from the file name, else from the type, else from the address, else
+    from the first bytes. What keeps a response from a merge is listed in order.
+    """
+    mime = F.lower(F.trim(F.regexp_replace(F.coalesce(mime, F.lit("")), ";.*$", "")))
+    magic, name = F.coalesce(magic, F.lit("")), disposition_name(F.coalesce(disposition, F.lit("")))
+    by_type = F.create_map(*(F.lit(x) for pair in DOCUMENT_TYPES.items() for x in pair))[mime]
+    of_magic = F.when(magic.isin("pdf", "zip", "rtf"), magic).when(magic == "ole", "doc")
+    suffix = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]{1,5})$", 1)), F.lit(""))
+    ext = F.coalesce(suffix(name), by_type, suffix(F.regexp_extract(F.coalesce(final_url, F.lit("")), "^([^?#]*)", 1)), of_magic, F.lit(""))
+    mime = F.when((magic == "pdf") & (mime == ""), "application/pdf").otherwise(mime)
+    markup, known = mime.isin(*MARKUP_TYPES), ext.isin(*DOCUMENT_EXTENSIONS)
+    pdf = (mime == "application/pdf") | (ext == "pdf") | (magic == "pdf")
+    document = (pdf | known | mime.isin(*DOCUMENT_TYPES) | ((mime == "application/octet-stream") & magic.isin("pdf", "zip", "ole", "rtf"))) & ~markup
+    resolved = F.coalesce(status.isin(200, 206), F.lit(False))
     blockers = F.array_compact(F.array(
-        F.when(status.isNull(), "no_response"), F.when(status.isin(401, 403), "forbidden"), F.when(status == 404, "not_found"), F.when(status >= 500, "server_error"),
-        F.when(ok & ~document, "not_a_document"), F.when(ok & (F.coalesce(size, F.lit(0)) == 0), "empty"),
+        F.when(~resolved, "not_resolved"), F.when(~document, "not_document"), F.when(markup, "html_page"), F.when(truthy(final_url).isNull(), "no_final_url"),
+        F.when(truthy(candidate_id).isNull(), "no_candidate_id"), F.when(truthy(canonical_key).isNull(), "no_canonical_key"),
     ))
-    return F.struct(pdf.alias("is_pdf"), document.alias("is_document"), F.when(F.size(blockers) == 0, "resolved").otherwise("blocked").alias("status"), blockers.alias("blockers"))
+    return F.struct(
+        name.alias("filename"), ext.alias("extension"), pdf.alias("is_pdf"), document.alias("is_document"), F.when(resolved, "resolved").otherwise("unresolved").alias("status"),
+        blockers.alias("blockers"), (F.size(blockers) == 0).alias("merge_ready"),
+    )
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """href resolved against the address of its page; '.' and '..' steps are taken."""
+    href, root = F.trim(href), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(F.substr(base, F.length(root) + 1), r"^([^?#]*)", 1)
+    rest = F.regexp_extract(href, r"([?#].*)$", 1)
+    target = F.regexp_replace(href, r"[?#].*$", "")
+    target = F.when(target.startswith("/"), target).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), target))
+    steps = F.aggregate(
+        F.split(target, "/"), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(s == ".", done).otherwise(F.array_append(done, s)),
+    )
+    ends_in_folder = target.rlike(r"(^|/)\.\.?$")
+    clean = F.concat(F.array_join(steps, "/"), F.when(ends_in_folder, "/").otherwise(""))
+    clean = F.when(clean.startswith("/"), clean).otherwise(F.concat(F.lit("/"), clean))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (F.coalesce(root, F.lit("")) == ""), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(root, "^([^:]*:)", 1), href))
+        .when(href == "", F.regexp_replace(base, "#.*$", "")).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(href.startswith("?"), F.concat(root, path, href)).otherwise(F.concat(root, clean, rest))
+    )
 
 
 def magic_kind(content: Column) -> Column:

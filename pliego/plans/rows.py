@@ -79,7 +79,7 @@ def json_keys(spark, sf_dir):
 
 @query("""SELECT key AS pointer, count(*) AS n, count(DISTINCT json_extract_string(props, '$."' || key || '"')) AS kinds FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY 1""")
 def json_leaves(spark, sf_dir):
-    leaves = X.json_leaves(load(spark, sf_dir, "events"), "event_id", "props", depth=1)
+    leaves = X.json_leaves(load(spark, sf_dir, "events"), "event_id", "props")
     return leaves.groupBy(F.substring("pointer", 2, 1000).alias("pointer")).agg(F.count("*").alias("n"), F.count_distinct("value").alias("kinds"))
 
 

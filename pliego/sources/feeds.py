@@ -1,14 +1,16 @@
 """Notice feeds: Atom entries with contract data, from files, folders and zip archives.
 
-Entries are read by Spark's XML reader, one row for each; fields come from the parsed
-columns or, for lookups at any depth, from XPath over the entry's own text.
+A file is tested by Spark's XML parser and cut into entries by a regular expression; fields
+come from XPath over an entry's own text, nested lists from one walk over its elements.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.notices import mapped
 from ..functions.semantics import budget_range, plain_number
-from ..functions.tables import STATUS_BY_CODE
+from ..functions.tables import NOTICE_TYPE_BY_CODE, STATUS_BY_CODE
 
 
 def read_entry_texts(spark: SparkSession, path: str, pattern: str = "*.atom", limit: int | None = None) -> DataFrame:
@@ -30,11 +32,26 @@ def read_entry_texts(spark: SparkSession, path: str, pattern: str = "*.atom", li
     return entries(files)
 
 
+def _bare(xml: Column) -> Column:
+    """A document without the prefixes and declarations of its name spaces."""
+    return F.regexp_replace(F.regexp_replace(xml, r"(</?)[A-Za-z_][\w.-]*:", "$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
+
+
+def well_formed(xml: Column) -> Column:
+    """Whether a text is a whole XML document, its name spaces left aside."""
+    xml = _bare(xml)
+    return xml.isNotNull() & F.from_xml(xml, "_odd string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd"})["_odd"].isNull()
+
+
+def malformed(files: DataFrame) -> DataFrame:
+    """(file): the files of (file, xml) that are no XML; entries() leaves them out."""
+    return files.where(~well_formed(F.col("xml"))).select("file")
+
+
 def entries(files: DataFrame) -> DataFrame:
-    """(file, position, entry) of (file, xml)."""
-    bare = F.regexp_replace(F.col("xml"), r"(</?)[A-Za-z_][\w.-]*:", "$1")
-    bare = F.regexp_replace(bare, r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    found = F.regexp_extract_all(bare, F.lit(r"(?s)(<entry[\s>].*?</entry>)"), 1)
+    """(file, position, entry) of (file, xml); files that are no XML give none."""
+    files = files.where(well_formed(F.col("xml")))
+    found = F.regexp_extract_all(_bare(F.col("xml")), F.lit(r"(?s)(<entry[\s>].*?</entry>)"), 1)
     return files.select("file", F.posexplode(found).alias("position", "entry"))
 
 
@@ -85,3 +102,111 @@ def parsed(rows: DataFrame) -> DataFrame:
         F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: c.rlike(r"^[1-9]\d{7}$"))).alias("cpv"),
         F.xpath("entry", F.lit("//DocumentReference/Attachment/ExternalReference/URI/text()")).alias("documents"),
     )
+
+
+# Element names, without prefix and in lower case, and what they say.
+DOCUMENT_TAGS = (
+    "legaldocumentreference", "technicaldocumentreference", "additionalpublicationdocumentreference", "templatedocumentreference",
+    "attachmentdocumentreference", "documentreference", "additionalattachment",
+)
+MIME_BY_EXTENSION = {
+    "pdf": "application/pdf", "zip": "application/zip", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+}
+FORMALIZATION_TAGS = ("formalizationdate", "signingdate", "contractdate")
+_NIF, _REGION, _ISO = re.compile(r"[A-Z][0-9A-Z]{7,8}"), re.compile(r"ES[\s\-]?\d", re.I), re.compile(r"\d{4}-\d{2}-\d{2}")
+
+AWARDS = (
+    "array<struct<notice_id:string,notice_type:string,result_code:string,winning_party_name:string,winning_party_nif:string,award_amount_tax_excl:double,award_amount_tax_incl:double,"
+    "lot_id:string,lot_title:string,contract_id:string,award_date:string,formalization_date:string,modification_date:string,provenance:string>>"
+)
+DOCUMENTS = "array<struct<notice_id:string,notice_type:string,document_type:string,source_section:string,title:string,url:string,mime_hint:string,format_hint:string,published_at:string,provenance:string>>"
+
+
+def _named(element) -> list[tuple[str, str]]:
+    """(local name in lower case, trimmed text) of an element and all below it, in document order."""
+    return [(e.tag.rpartition("}")[2].lower(), (e.text or "").strip()) for e in element.iter() if isinstance(e.tag, str)]
+
+
+def _first_text(found: list[tuple[str, str]], names: tuple[str, ...], fits=bool) -> str | None:
+    return next((v for n, v in found if n in names and fits(v)), None)
+
+
+def _amount(text: str) -> float | None:
+    try:
+        return float(text.replace(",", "."))
+    except ValueError:
+        return None
+
+
+def _formalized(found: list[tuple[str, str]], code: str, issued: str) -> str:
+    value = _first_text(found, FORMALIZATION_TAGS)
+    if value:
+        date = _ISO.search(value)
+        return date.group() if date else value[:10]
+    return issued[:10] if code == "FOR" else ""
+
+
+def _award(found: list[tuple[str, str]], notice: tuple[str, str], formalized: str) -> dict:
+    amount = lambda tag: next((a for n, v in found if n == tag and (a := _amount(v)) is not None), None)
+    return {
+        "notice_id": notice[0], "notice_type": notice[1], "result_code": _first_text(found, ("resultcode",)) or "",
+        "winning_party_name": (_first_text(found, ("partyname", "name"), lambda v: len(v) >= 3 and not _REGION.match(v)) or "")[:120],
+        "winning_party_nif": _first_text(found, ("companyid",), _NIF.match) or "", "award_amount_tax_excl": amount("taxexclusiveamount"), "award_amount_tax_incl": amount("payableamount"),
+        "lot_id": next((v for n, v in found if n == "lotid"), None), "lot_title": None, "contract_id": next((v for n, v in found if n == "contractid"), None),
+        "award_date": (_first_text(found, ("awarddate",)) or "")[:10], "formalization_date": formalized, "modification_date": "", "provenance": "feed_xml",
+    }
+
+
+def _document(found: list[tuple[str, str]], notice: tuple[str, str]) -> dict:
+    url = (_first_text(found, ("uri", "url")) or "")[:500]
+    extension = url.rsplit(".", 1)[-1].lower().split("?")[0][:8] if url else ""
+    return {
+        "notice_id": notice[0], "notice_type": notice[1], "document_type": _first_text(found, ("documenttypecode",)) or "", "source_section": found[0][0],
+        "title": (_first_text(found, ("filename", "title", "documentdescription", "name")) or "")[:200], "url": url, "mime_hint": MIME_BY_EXTENSION.get(extension, ""),
+        "format_hint": extension.upper(), "published_at": (_first_text(found, ("issuedate",)) or "")[:10], "provenance": "feed_xml",
+    }
+
+
+def details(rows: DataFrame, issued: str | None = None) -> DataFrame:
+    """(file, position, folder_id, notice_type_code, notice_type, related_contract_ids, winning_party_nif,
+    formalization_date, award_results, documents) of entries: elements at any depth, by local name.
+
+    Each TenderResult gives an award and each document element a document, nested ones too;
+    a field is its first value that fits. An amended contract counts before the status code.
+    ``issued`` names a column with the issue date, which stands in for the date of a
+    formalization.
+    """
+    types = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for text, issue in zip(batch.column("entry").to_pylist(), batch.column("issued").to_pylist()):
+                root = ElementTree.fromstring(text)
+                found = _named(root)
+                code = (_first_text(found, ("contractfolderstatuscode",)) or "").upper()
+                kind = "CONTRACT_MODIFICATION" if any(n == "contractmodification" for n, _ in found) else NOTICE_TYPE_BY_CODE.get(code, "UNKNOWN")
+                notice, formalized = (next((v for n, v in found if n == "id"), ""), kind), _formalized(found, code, issue or "")
+                under = lambda *names: [x for e in root.iter() if isinstance(e.tag, str) and (x := _named(e))[0][0] in names]
+                nif = next((v for p in under("winningparty") for n, v in p if n == "companyid" and _NIF.match(v)), "")
+                row = (
+                    next((v for n, v in found if n == "contractfolderid"), ""), next((v for n, v in found if n == "noticetypecode"), ""), kind,
+                    list(dict.fromkeys(v for n, v in found if n in ("contractid", "contractidentifier") and v)), nif, formalized,
+                    [_award(x, notice, formalized) for x in under("tenderresult")], [_document(x, notice) for x in under(*DOCUMENT_TAGS)],
+                )
+                for x, v in zip(out, row):
+                    x.append(v)
+            kinds = [*types, pa.list_(_AWARD_TYPE), pa.list_(_DOCUMENT_TYPE)]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("position"), *(pa.array(x, t) for x, t in zip(out, kinds))], _DETAILS)
+
+    given = rows.select("file", "position", "entry", (F.col(issued) if issued else F.lit(None)).cast("string").alias("issued"))
+    return given.mapInArrow(run, f"file string, position int, folder_id string, notice_type_code string, notice_type string, related_contract_ids array<string>, winning_party_nif string, formalization_date string, award_results {AWARDS}, documents {DOCUMENTS}")
+
+
+def _struct_type(kind: str) -> pa.DataType:
+    inner = kind.removeprefix("array<struct<").removesuffix(">>")
+    return pa.struct([(n, pa.float64() if t == "double" else pa.string()) for n, t in (f.split(":") for f in inner.split(","))])
+
+
+_AWARD_TYPE, _DOCUMENT_TYPE = _struct_type(AWARDS), _struct_type(DOCUMENTS)
+_DETAILS = ["file", "position", "folder_id", "notice_type_code", "notice_type", "related_contract_ids", "winning_party_nif", "formalization_date", "award_results", "documents"]

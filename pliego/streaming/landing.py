@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 
 def landed(spark: SparkSession, path: str, schema: str, form: str = "json", files_per_run: int | None = None) -> DataFrame:
@@ -18,6 +17,11 @@ def landed(spark: SparkSession, path: str, schema: str, form: str = "json", file
     return reader.load(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 class Snapshots:
     """A retained table as numbered versions in a folder; a version is written whole, then named current.
 
@@ -29,16 +33,16 @@ class Snapshots:
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self, before: int) -> DataFrame | None:
-        """The last version below a number."""
-        try:
-            names = self.spark.read.parquet(f"{self.path}/log").where(F.col("version") < before).agg(F.max("version")).first()
-        except AnalysisException:
+        """The last version below a number, None before the first. A log that cannot be read is an error."""
+        log = f"{self.path}/log"
+        if not _exists(self.spark, log):
             return None
-        return None if names is None or names[0] is None else self.spark.read.parquet(f"{self.path}/v{names[0]}")
+        last = self.spark.read.schema("version long").parquet(log).where(F.col("version") < before).agg(F.max("version")).first()[0]
+        return None if last is None else self.spark.read.parquet(f"{self.path}/v{last}")
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{self.path}/log")
+        self.spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/log")
 
 
 def merged_runs(stream: DataFrame, snapshots: Snapshots, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
