@@ -5,6 +5,8 @@ import pytest
 
 from pliego.plans import registry
 
+SF = "/root/testdata/sf0.001"
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -51,5 +53,15 @@ def test_entry_without_the_training_data_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "pliego", tmp_path / "pliego", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; n = e.queries(); assert n and not [x for x in n if x.startswith('op') and x[2].isdigit()]; e.oracle_sql()"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
+    code = (
+        "import __spark_entry__ as e; n = e.queries(); assert n and not [x for x in n if x.startswith('op') and x[2].isdigit() or x == 'pipeline']; e.oracle_sql()\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"assert e.entry(spark).count() == 10 and n['top_sources'](spark, {SF!r}).count() > 0"
+    )
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=240)
+    (tmp_path / "pliego" / "llm").mkdir()
+    (tmp_path / "pliego" / "llm" / "__init__.py").touch()
+    (tmp_path / "pliego" / "llm" / "queries.py").write_text("import a_package_that_is_not_here")
+    (tmp_path / "corpus_pipeline.py").write_text("from pliego.llm import queries")
+    subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=tmp_path, check=True, timeout=120)
