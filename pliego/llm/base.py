@@ -22,17 +22,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES, READER_ROWS = 4 << 20, 1024
 
 
+#: The settings that bounded() changes; Spark reads them when a result is computed.
+_SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READER_ROWS}
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """df, after its session was told to keep batches of long texts small.
 
     Memory for a batch then depends on BATCH_BYTES and the longest text, not on the mean
-    length of texts.
+    length of texts. A smaller value that the user has set stays. Results are computed
+    later, so the settings stay too, until ``restored``.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
+    conf = df.sparkSession.conf
+    for key, most in _SMALL_BATCHES.items():
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            _BEFORE.setdefault((id(df.sparkSession), key), now)
+            conf.set(key, most)
     return df
 
 
+_BEFORE: dict[tuple[int, str], str | None] = {}
+
+
+def restored(spark: SparkSession) -> None:
+    """Give the session the batch settings back that it had before its first operator."""
+    for key in _SMALL_BATCHES:
+        if (id(spark), key) in _BEFORE:
+            before = _BEFORE.pop((id(spark), key))
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,14 +80,15 @@ def public_id(column: str = "doc_id"):
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Where the session names none (as in tests), a local folder is set as its
-    checkpoint directory once and used from then on.
+    A local session that names none gets a temporary folder as its checkpoint directory. On
+    a cluster that would scatter the parts over the executors' own disks, so it is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="pliego-")
-        context.setCheckpointDir(root)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pliego-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/pliego-{uuid.uuid4().hex}"
 
@@ -75,13 +96,33 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and losing an
     executor costs nothing that was computed before. The folder goes when the
-    application ends.
+    application ends, or with ``dropped``.
     """
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_lies_at"] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later result reads."""
+    for df in tables:
+        if path := df.__dict__.pop("_lies_at", None):
+            _remove(df.sparkSession, path)
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, most: int = 1000) -> DataFrame:
+    """rows joined to keyed, which has one row for each key with ``n``, the key's number of rows.
+
+    Keys with more than total / most of the ``total`` rows are at most ``most``; they are
+    broadcast, so that no task gets all rows of such a key. The others are shuffled.
+    """
+    limit = max(1, total // most)
+    hot, cold = keyed.where(F.col("n") > limit).drop("n"), keyed.where(F.col("n") <= limit).drop("n")
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(cold, on))
 
 
 def _remove(spark: SparkSession, path: str) -> None:

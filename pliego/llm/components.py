@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import dropped, hot_join, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): each node of edges (a, b) with the least node it can reach.
 
-    Both ends of a star are grouped with min(), which combines before the shuffle, so a hub
-    with very many neighbours is no single task's list. Each round is written out. Edges
-    that still change after ``rounds`` rounds raise an error.
+    Both ends of a star are grouped with min(), which combines before the shuffle, and the
+    least neighbour of a hub is broadcast to its edges (see hot_join), so a hub with very
+    many neighbours is no single task's list. Each round is written out and the one before
+    deleted. Edges that still change after ``rounds`` rounds raise an error.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    sums = _sums(now)
     for _ in range(rounds):
+        total = 2 * sums[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
         # Large star: every larger neighbour of a node moves to the node's least neighbour.
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(hot_join(both, low, ["a"], total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # Small star: the smaller neighbours of a node, and itself, move to the least of them.
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        after = large.join(small, "a")
-        after = after.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        after = written(after.where("a <> b").distinct())
-        if _same(now, after):
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = hot_join(large, small, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = written(moved.unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        before, sums = sums, _sums(after)
+        dropped(now, large)
+        if before == sums:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
         now = after
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    def sums(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
-
-    return sums(x) == sums(y)
+def _sums(x: DataFrame) -> tuple:
+    """The number of edges and two sums that tell whether two edge lists are the same."""
+    return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
