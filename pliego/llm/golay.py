@@ -26,10 +26,11 @@ from .components import components
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR = 0b101011100011
 #: Largest key group whose members are compared with each other.
-CROWD = 1000
+CROWD = 500
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Each byte with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -40,8 +41,8 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
 
 
 @cache
-def segment_keys() -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all 2^16 segments: (keys, offsets), the keys of x at [offsets[x], offsets[x+1])."""
+def _leaders() -> np.ndarray:
+    """The error of at most three bits that each syndrome stands for."""
     bits = 1 << np.arange(23)
     errors = [0, *bits]
     errors += [a ^ b for i, a in enumerate(bits) for b in bits[:i]]
@@ -49,19 +50,53 @@ def segment_keys() -> tuple[np.ndarray, np.ndarray]:
     errors = np.array(errors)
     leader = np.zeros(1 << 11, np.int64)
     leader[_syndrome(errors)] = errors
+    return leader
+
+
+def decoded(words: np.ndarray) -> np.ndarray:
+    """The index of the codeword nearest to each word of 23 bits."""
+    return (words ^ _leaders()[_syndrome(words)]) >> 11
+
+
+@cache
+def _segment_codewords() -> np.ndarray:
+    return decoded(np.arange(1 << 16))
+
+
+def codewords(fp: np.ndarray) -> np.ndarray:
+    """The codeword indices of a fingerprint's four segments, 12 bits each, as one number."""
+    table, out = _segment_codewords(), np.zeros(len(fp), np.int64)
+    for i in range(4):
+        out = (out << 12) | table[(fp >> np.uint64(16 * i)).astype(np.int64) & 0xFFFF]
+    return out
+
+
+@cache
+def segment_keys() -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all 2^16 segments: (keys, offsets), the keys of x at [offsets[x], offsets[x+1])."""
     x = np.arange(1 << 16)
     ball = np.stack([x, *(x ^ (1 << i) for i in range(16))], axis=1)
-    words = np.sort((ball ^ leader[_syndrome(ball)]) >> 11, axis=1)
+    words = np.sort(decoded(ball), axis=1)
     fresh = np.append(np.ones((len(x), 1), bool), words[:, 1:] != words[:, :-1], axis=1)
     return words[fresh], np.append(0, fresh.sum(axis=1).cumsum())
 
 
+def votes_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    return int(np.packbits(2 * votes_of(hashes) > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _fingerprint_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             data, offsets = batch_bytes(batch.column("text"))
-            data, offsets = _LOWER[data].tobytes(), offsets.tolist()
+            data, offsets = LOWER[data].tobytes(), offsets.tolist()
             out = np.zeros(len(batch), np.uint64)
             for i in range(len(batch)):
                 words = data[offsets[i] : offsets[i + 1]].split()
@@ -73,7 +108,7 @@ def _fingerprint_rows(shingle: int):
                 total, votes = len(ends), np.zeros(64, np.int64)
                 for lo in range(0, total, 1 << 16):
                     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(at[lo : lo + (1 << 16)].tolist(), ends[lo : lo + (1 << 16)].tolist())], "<u8")
-                    votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    votes += votes_of(hashes)
                 out[i] = np.packbits(2 * votes > total, bitorder="little").view("<u8")[0]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(out.view(np.int64))], [*(c for c in batch.schema.names if c != "text"), "fp"])
 
@@ -108,11 +143,29 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """The links that join what the links before them have not joined."""
+    top: dict[int, int] = {}
+    out: tuple[list[int], list[int]] = ([], [])
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = x, y
+        while (r := top.get(p, p)) != p:
+            top[p] = p = top.get(r, r)
+        while (r := top.get(q, q)) != q:
+            top[q] = q = top.get(r, r)
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            out[0].append(x)
+            out[1].append(y)
+    return out
+
+
 def _pair_rows(distance: int):
-    """Links inside the key groups of a partition sorted by key, one distance in the order after another."""
+    """Links inside the key groups of a partition sorted by key, compared one distance in the order
+    after another. Of a group's links those stay that span its components."""
 
     def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step, live = 1, np.arange(len(key) - 1)
         while len(live):
             live = live[key[live] == key[live + step]]
@@ -122,8 +175,7 @@ def _pair_rows(distance: int):
             b.append(fp[live[near] + step])
             step += 1
             live = live[live + step < len(key)]
-        empty = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else empty).cast(pa.int64()) for x in (a, b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _forest(np.concatenate(a), np.concatenate(b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -161,7 +213,8 @@ def _ball_rows(radius: int):
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp) at 3 or fewer bits.
 
-    Key groups of up to ``crowd`` members are compared member by member. Members of larger
+    Key groups of up to ``crowd`` members are compared member by member; the links that span
+    their components are kept. Members of larger
     groups are linked without any list of the group: values within 1 bit of a member and
     values within 2 bits of a member meet in every value halfway, where all are linked to
     one member within 1 bit of it. Those edges span the same components as all links.

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from pliego.llm import jaccard
+from pliego.llm import near_copies
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,9 +70,34 @@ def test_null_and_repeated_ids(spark):
 
 def test_similar_sets_share_a_key():
     r = np.random.default_rng(3)
-    missed = 0
-    for _ in range(500):
-        x = r.integers(0, 1 << 63, 180, np.uint64)
-        a, b = np.append(x[:160], r.integers(0, 1 << 63, 20, np.uint64)), x
-        missed += not np.any(jaccard.band_keys(a) == jaccard.band_keys(b))
-    assert missed <= 1  # similarity 0.8
+    for size, cut in ((160, 20), (40, 5), (8, 1)):  # similarity 0.8
+        missed = 0
+        for _ in range(500):
+            x = r.integers(0, 1 << 63, size + cut, np.uint64)
+            a, b = np.append(x[:size], r.integers(0, 1 << 63, cut, np.uint64)), x
+            missed += not np.any(near_copies.sample_keys(np.unique(a)) == near_copies.sample_keys(np.unique(b)))
+        assert missed <= 2, size
+
+
+def test_samples_do_not_depend_on_blocks():
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 10_000, np.uint64))
+    mixed = x * near_copies._TIMES[:, None] + near_copies._PLUS[:, None]
+    mixed ^= mixed >> np.uint64(32)
+    order = np.argsort(mixed * np.uint64(0x9E3779B97F4A7C15), axis=1)[:, : near_copies.SAMPLE]
+    assert (np.sort(x[order], axis=1) == np.sort(near_copies.samples(x), axis=1)).all()
+    assert near_copies.samples(x[:2]).shape == (near_copies.ORDERS, 2)
+
+
+def test_crowded_group_of_unlike_nodes_makes_few_pairs(spark):
+    """Copies with many edits each share keys with all others but are similar to few."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeioulrstn") for _ in range(r.randint(4, 9)))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(150):
+        copy = list(base)
+        for at in r.sample(range(150), k % 9):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(least_of_groups(texts))
