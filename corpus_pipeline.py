@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pliego.llm import decontam, jaccard, mixing, resharding, toxicity
+from pliego.llm import decontam, mixing, near_copies, resharding, toxicity
 from pliego.llm.base import table, written
 
 
@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near-duplicates share 0.8 of their five-word shingles or more.
     """
-    return jaccard.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
