@@ -10,8 +10,10 @@ that is 0.99997 at 0.8. The exact similarity of the shingle sets decides on each
 
 Texts with equal sets are one node. The nodes of a key are first compared with one of them
 (another one for each key). Nodes that then share a key without being in one component are
-compared through the rarest fifth of their shingles: two sets of that similarity always have
-one of these in common, so no pair is lost and no group is compared pair by pair.
+compared where they share one of the rarest fifth of their shingles, as two sets of that
+similarity always do. Before any two sets meet, their parities are compared: a set's PARITY
+bits each tell whether an odd number of its shingles falls on them, so two sets differ in at
+least as many shingles as bits. Neither step loses a pair of that similarity.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import NO_ID, batch_bytes, bounded, dropped, hot_join, written
@@ -33,6 +35,9 @@ from .golay import LOWER, codewords, simhash
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of a node, and shingles in each.
 ORDERS, SAMPLE = 20, 4
+#: Longs of a set's parity, of 64 bits each.
+PARITY = 8
+_BITS = [f"w{i}" for i in range(PARITY)]
 #: Members of one group that one task compares with those outside the group's largest component.
 DEALT = 5000
 
@@ -93,8 +98,7 @@ def _sketch_rows(shingle: int):
         for batch in batches:
             sets = [shingles(t, shingle) for t in _texts(batch)]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            size = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(node), size, _lists([sample_keys(s) for s in sets])], ["key", "th", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(node), _lists([sample_keys(s) for s in sets])], ["key", "th", "node", "keys"])
 
     return run
 
@@ -105,25 +109,49 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array([pack(t) for t in _texts(batch)], pa.binary())], ["key", "th", "blob"])
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each bit, as PARITY longs."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _set_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unpack = zstandard.ZstdDecompressor().decompress
-            sets = [shingles(unpack(b.as_buffer()), shingle).view(np.int64) for b in batch.column("blob")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "found"])
+            sets = [shingles(unpack(b.as_buffer()), shingle) for b in batch.column("blob")]
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), PARITY)
+            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets]), *(pa.array(x) for x in bits.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "found", *_BITS])
 
     return run
 
 
+def _side(sets: DataFrame, name: str, *more: str) -> DataFrame:
+    """sets with all columns named for one side of a pair."""
+    return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", *_BITS, *more)))
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sizes and parities of a pair (a, b) allow the similarity."""
+    sizes = F.col("a_size") + F.col("b_size")
+    most = sizes - 2 * F.ceil(sizes * (similarity / (1 + similarity)) - 1e-9)
+    differ = F.lit(0)
+    for c in _BITS:
+        differ = differ + F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+    return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (differ <= most)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least the similarity."""
-    x, y = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+    possible = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").where(_possible(similarity)).select("a", "b")
+    found = lambda name: sets.select(F.col("node").alias(name), F.col("found").alias(f"{name}_found"))
+    both = possible.join(found("a"), "a").join(found("b"), "b").withColumn("n", F.size(F.array_intersect("a_found", "b_found")))
+    return both.where(F.col("n") >= similarity * (F.size("a_found") + F.size("b_found") - F.col("n"))).select("a", "b")
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members (group, node, size, component) that share a group but no component.
+def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (group, node, component) that share a group but no component.
 
     Of a group's components the largest is only compared with the others, never with itself.
     A large group's members are dealt out over several tasks, each with all members outside
@@ -133,11 +161,12 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     top = counts.groupBy("group").agg(F.max_by("component", "c").alias("top"), F.count("*").alias("parts"), F.sum("c").alias("n")).where("parts > 1")
     top = top.select("group", "top", "n", F.ceil(F.col("n") / DEALT).alias("deals"))
     mixed = hot_join(members, top, ["group"], members.count())
-    few = mixed.where("component <> top").select("group", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_component"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
-    every = mixed.select("group", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component"), "top", F.pmod(F.xxhash64("node"), F.col("deals")).alias("deal"))
-    near = (F.col("a_size") >= similarity * F.col("b_size")) & (F.col("b_size") >= similarity * F.col("a_size"))
+    own = mixed.select("group", F.col("node").alias("a"), F.col("component").alias("a_component"), "top", "deals").join(_side(sets, "a"), "a")
+    few = own.where("a_component <> top").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("top", "deals")
+    every = own.select("group", F.col("a").alias("b"), F.col("a_component").alias("b_component"), "top", F.pmod(F.xxhash64("a"), F.col("deals")).alias("deal"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("size", *_BITS)))
     apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("top")) | (F.col("a") < F.col("b")))
-    return few.join(every, ["group", "deal"]).where(near & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    on = (few["group"] == every["group"]) & (few["deal"] == every["deal"])
+    return few.join(every, on & apart & _possible(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
@@ -145,8 +174,8 @@ def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
 
     A similar set lacks at most n - ceil(similarity x n) of the n shingles of a node.
     """
-    each = sets.select("node", F.size("found").alias("size"), F.explode("found").alias("shingle"))
-    total = sets.agg(F.sum(F.size("found"))).first()[0] or 0
+    each = sets.select("node", "size", F.explode("found").alias("shingle"))
+    total = sets.agg(F.sum("size")).first()[0] or 0
     shared = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.col("n"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
     # Shingles of one node only come first and need no row; they use up places all the same.
@@ -161,21 +190,21 @@ def groups(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     component is the same for texts that can be reached from each other over pairs of at
     least the similarity. Texts without words are one node.
     """
-    sketches = written(rows.mapInArrow(_sketch_rows(shingle), "key long, th long, node long, size long, keys array<long>"))
-    spread = written(sketches.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("group")))
+    sketches = written(rows.mapInArrow(_sketch_rows(shingle), "key long, th long, node long, keys array<long>"))
+    spread = written(sketches.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("group")))
     hubs = spread.groupBy("group").agg(F.min_by("node", F.xxhash64("node", "group")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     alive = written(hot_join(spread, hubs, ["group"], spread.count()))
     dropped(spread)
     chosen = sketches.join(alive.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "th")).alias("k")).select("node", "k.*")
     packed = rows.mapInArrow(_packed_rows, "key long, th long, blob binary")
-    sets = written(packed.join(chosen, ["key", "th"]).dropDuplicates(["node"]).mapInArrow(_set_rows(shingle), "node long, found array<long>"))
+    sets = written(packed.join(chosen, ["key", "th"]).dropDuplicates(["node"]).mapInArrow(_set_rows(shingle), "node long, size long, found array<long>, " + ", ".join(f"{c} long" for c in _BITS)))
     first = written(_verified(alive.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), sets, similarity))
     joined = components(first)
-    placed = written(alive.join(joined, "node", "left").select("group", "node", "size", F.coalesce("component", "node").alias("component")))
+    placed = written(alive.join(joined, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")))
     split = placed.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group")
-    open_ = placed.join(split, "group", "left_semi").select("node", "size", "component").distinct()
+    open_ = placed.join(split, "group", "left_semi").select("node", "component").distinct()
     rare = _rarest(sets.join(open_.select("node"), "node", "left_semi"), similarity)
-    rest = _verified(_across(written(rare.join(open_, "node")), similarity), sets, similarity)
+    rest = _verified(_across(written(rare.join(open_, "node")), sets, similarity), sets, similarity)
     linked = components(first.unionByName(rest))
     dropped(alive, placed, sets, first)
     return sketches.select("key", "th", "node").join(linked, "node", "left").select("key", "th", F.coalesce("component", "node").alias("component"))
