@@ -46,7 +46,8 @@ def op8_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resharding.resharded(table(spark, sf_dir, "documents"), shards=16, columns=["doc_id"])
+    """From twelve old shards (by a hash of the text) to sixteen of equal bytes."""
+    found = resharding.resharded(table(spark, sf_dir, "documents"), shards=16, columns=["doc_id"], old_shards=12)
     return found.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -65,58 +65,50 @@ def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Sequence[S
 
 
 def transfers(blocks: Sequence[tuple], shards: int, capacities: Sequence[int] | None = None, cost: Sequence[Sequence[float]] | None = None) -> dict[tuple, int]:
-    """New shard of each block (old, bucket, part, bytes) that moves: {(old, bucket, part): new}."""
+    """New shard of each block (old, bucket, part, bytes) that moves: {(old, bucket, part): new}.
+
+    A minimum-cost flow from the old shards' sizes to the capacities (a byte that stays costs
+    nothing, one that moves 1, or ``cost``) says how many bytes go from each shard to each
+    other. Whole blocks are picked for every such amount, the largest that fit first, so no
+    more bytes move than the flow says, and no plan that meets the capacities moves fewer. A
+    shard is left above its capacity by less than the smallest block it could have given.
+    Blocks without an old shard (outside 0 to shards - 1) go where room is left.
+    """
     total = sum(b[3] for b in blocks)
-    capacities = capacities or [total // shards + (i < total % shards) for i in range(shards)]
+    capacities = list(capacities or [total // shards + (i < total % shards) for i in range(shards)])
     cost = cost or [[0 if s == t else 1 for t in range(shards)] for s in range(shards)]
-    load, leaving = [0] * shards, [[] for _ in range(shards)]
-    stay: list[list] = [[] for _ in range(shards)]
+    held: list[list] = [[] for _ in range(shards)]
+    homeless = []
     for b in sorted(blocks, key=lambda b: (-b[3], b[:3])):
-        s = b[0]
-        if s < shards and load[s] + b[3] <= capacities[s]:
-            load[s] += b[3]
-            stay[s].append(b)
-        else:
-            leaving[s % shards].append(b)
-    room = [max(0, c - x) for c, x in zip(capacities, load)]
-    flow = min_cost_flow([sum(b[3] for b in x) for x in leaving], room, cost)
-    place = {b[:3]: s for s in range(shards) for b in stay[s]}
-    held = [list(x) for x in stay]
-    for b in sorted((b for x in leaving for b in x), key=lambda b: (-b[3], b[:3])):
-        s = b[0] % shards
-        t = max(range(shards), key=lambda t: (flow[s][t] >= b[3], flow[s][t], capacities[t] - load[t]))
-        if flow[s][t] < b[3]:
-            t = max(range(shards), key=lambda t: capacities[t] - load[t])
-        flow[s][t] -= min(b[3], flow[s][t])
-        load[t] += b[3]
+        (held[b[0]] if 0 <= b[0] < shards else homeless).append(b)
+    load = [sum(b[3] for b in x) for x in held]
+    flow = min_cost_flow([*load, sum(b[3] for b in homeless)], capacities, [*cost, [0] * shards])
+    place: dict[tuple, int] = {}
+    for s in range(shards):
+        for t in sorted((t for t in range(shards) if t != s), key=lambda t: -flow[s][t]):
+            left, kept = flow[s][t], []
+            for b in held[s]:
+                if b[3] <= left:
+                    left -= b[3]
+                    place[b[:3]] = t
+                    load[s], load[t] = load[s] - b[3], load[t] + b[3]
+                else:
+                    kept.append(b)
+            held[s] = kept
+    for b in homeless:
+        t = max(range(shards), key=lambda t: (capacities[t] - load[t], -t))
         place[b[:3]] = t
-        held[t].append(b)
-    _evened(held, load, capacities, place)
-    return {b[:3]: place[b[:3]] for b in blocks if place[b[:3]] != b[0]}
-
-
-def _evened(held: list[list], load: list[int], capacities: Sequence[int], place: dict[tuple, int], rounds: int = 2000) -> None:
-    """Single blocks go from the fullest to the emptiest shard as long as that evens them out."""
-    for _ in range(rounds):
-        over = [x - c for x, c in zip(load, capacities)]
-        full, empty = max(range(len(over)), key=over.__getitem__), min(range(len(over)), key=over.__getitem__)
-        gap = over[full] - over[empty]
-        best = min((b for b in held[full] if 0 < b[3] < gap), key=lambda b: abs(b[3] - gap / 2), default=None)
-        if best is None:
-            return
-        held[full].remove(best)
-        held[empty].append(best)
-        load[full] -= best[3]
-        load[empty] += best[3]
-        place[best[:3]] = empty
-
-
-def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | None = None, old: str | None = None, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        load[t] += b[3]
+    return place
+
+
+def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | None = None, old: str | None = None, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", old_shards: int | None = None) -> DataFrame:
     """(row, size, text_crc32, old, shard, slot), one row for each row of docs.
 
     ``row`` is a struct of the given columns of docs (all by default). size is the UTF-8
     length plus 1; text_crc32 is that of the text's UTF-8 bytes, of no bytes for null. The
-    old shard comes from column ``old``, or from a hash of the text. capacities are bytes
+    old shard comes from column ``old``, or from a hash of the text over ``old_shards`` (as
+    many as ``shards`` by default); a null, negative or too large one is no shard to stay in. capacities are bytes
     for each shard, equal shares by default. Equal texts stay in one shard unless they
     exceed a whole shard's share; such a group is split by a hash of the id. slot counts a
     shard's documents from 0 without gaps. Rows that agree in id and text take neighbouring
@@ -126,10 +118,11 @@ def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | Non
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h = F.xxhash64(text)
     ident = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    given = F.col(old).cast("long") if old else F.pmod(h, F.lit(old_shards or shards))
     rows = bounded(docs).select(
-        F.struct(*columns).alias("row"), F.col(id_col).alias("id"),
+        F.struct(*columns).alias("row"), F.col(id_col).alias("id"), given.alias("given"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        (F.col(old).cast("int") if old else F.pmod(h, F.lit(shards)).cast("int")).alias("old"),
+        F.when(given.between(0, shards - 1), given).otherwise(-1).cast("int").alias("old"),
         F.pmod(F.shiftright(h, 8), F.lit(BUCKETS)).cast("int").alias("bucket"), ident.alias("ident"),
     )
     if text_col not in columns:
@@ -150,7 +143,7 @@ def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | Non
     starts = starts.join(blocks, block).select(*cell, (F.col("block_first") + F.col("cell_first")).alias("first"))
     inside = Window.partitionBy(*cell).orderBy("text_crc32", "ident", "id", "size")
     slot = (F.col("first") + F.row_number().over(inside) - 1).cast("long")
-    return moved.join(starts, cell).select("row", "size", "text_crc32", "old", "shard", slot.alias("slot"))
+    return moved.join(starts, cell).select("row", "size", "text_crc32", F.col("given").alias("old"), "shard", slot.alias("slot"))
 
 
 def _part():
@@ -159,7 +152,7 @@ def _part():
 
 def _plan(rows: DataFrame, shards: int, capacities: Sequence[int] | None) -> tuple[dict[tuple, int], list[int]]:
     blocks = [tuple(r) for r in rows.groupBy("old", "bucket").agg(F.lit(0), F.sum("size")).collect()]
-    limit = min(capacities) if capacities else max(1, sum(b[3] for b in blocks) // shards)
+    limit = max(1, sum(b[3] for b in blocks) // shards)
     big = [b[0] * BUCKETS + b[1] for b in blocks if b[3] > limit]
     if big:
         split = rows.where((F.col("old") * BUCKETS + F.col("bucket")).isin(big)).groupBy("old", "bucket", _part()).agg(F.sum("size"))
@@ -170,10 +163,20 @@ def _plan(rows: DataFrame, shards: int, capacities: Sequence[int] | None) -> tup
 def rewrite(sharded: DataFrame, path: str) -> list[int]:
     """Write the shards that gave or took documents as path/shard=N; the other folders stay.
 
+    A shard that gave all its documents has no rows to overwrite it, so its folder is deleted.
+
     sharded is a result of resharded with the old shard of each row. Returns the shards written.
     """
-    touched = sharded.where("old <> shard")
-    affected = sorted({r[0] for r in touched.select("old").distinct().collect()} | {r[0] for r in touched.select("shard").distinct().collect()})
+    touched = sharded.where("old is null or old <> shard")
+    affected = sorted({r[0] for r in touched.where("old is not null").select("old").distinct().collect()} | {r[0] for r in touched.select("shard").distinct().collect()})
     rows = sharded.where(F.col("shard").isin(affected)).select("row.*", "slot", "shard")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    filled = {r[0] for r in sharded.select("shard").distinct().collect()}
+    for shard in set(affected) - filled:
+        _delete(sharded.sparkSession, f"{path}/shard={shard}")
     return affected
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

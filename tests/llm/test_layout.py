@@ -3,7 +3,7 @@
 import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -150,5 +150,70 @@ def test_rewrite_touches_only_affected_shards(spark, tmp_path):
     assert spark.read.parquet(path).count() == 90 and (moved == 0) == (touched == [])
 
 
+def fewest_bytes(loads, capacities):
+    """The fewest units that must move until no shard is above its capacity, by trying all plans of single units."""
+    todo = [tuple(loads)]
+    seen, moved = {tuple(loads)}, 0
+    while todo:
+        if any(all(x <= c for x, c in zip(state, capacities)) for state in todo):
+            return moved
+        nxt = set()
+        for state in todo:
+            for s in range(len(state)):
+                for t in range(len(state)):
+                    if s != t and state[s]:
+                        now = list(state)
+                        now[s], now[t] = now[s] - 1, now[t] + 1
+                        nxt.add(tuple(now))
+        todo, moved = list(nxt - seen), moved + 1
+        seen |= nxt
+    raise AssertionError
+
+
+def test_no_plan_moves_fewer_bytes():
+    r = random.Random(5)
+    for _ in range(40):
+        n = r.randint(2, 4)
+        blocks = [(r.randrange(n), k, 0, 1) for k in range(r.randint(1, 9))]
+        loads = [sum(b[3] for b in blocks if b[0] == s) for s in range(n)]
+        caps = [len(blocks) // n + (i < len(blocks) % n) for i in range(n)]
+        moves = resharding.transfers(blocks, n)
+        after = [sum(1 for b in blocks if moves.get(b[:3], b[0]) == s) for s in range(n)]
+        assert all(x <= c for x, c in zip(after, caps)) and len(moves) == fewest_bytes(loads, caps)
+
+
+def test_uneven_blocks_move_no_more_than_the_flow():
+    r = random.Random(6)
+    for _ in range(30):
+        n = r.randint(2, 6)
+        blocks = [(r.randrange(n), k, 0, r.randint(1, 60)) for k in range(400)]
+        total = sum(b[3] for b in blocks)
+        caps = [total // n + (i < total % n) for i in range(n)]
+        loads = [sum(b[3] for b in blocks if b[0] == s) for s in range(n)]
+        moves = resharding.transfers(blocks, n)
+        size = {b[:3]: b[3] for b in blocks}
+        after = [sum(b[3] for b in blocks if moves.get(b[:3], b[0]) == s) for s in range(n)]
+        assert sum(size[k] for k in moves) <= sum(max(0, x - c) for x, c in zip(loads, caps))
+        assert all(x <= c + 60 * n for x, c in zip(after, caps))
+
+
+def test_rewrite_leaves_no_old_copy_in_an_emptied_shard(spark, tmp_path):
+    path = str(tmp_path / "out")
+    docs = spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(30)], "doc_id long, text string, was int")
+    docs.withColumn("shard", F.col("was")).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
+    resharding.rewrite(resharding.resharded(docs, 3, capacities=[10_000, 10_000, 0], old="was"), path)
+    rows = spark.read.parquet(path).select("doc_id", "shard").collect()
+    assert sorted(r[0] for r in rows) == list(range(30)) and {r[1] for r in rows} == {0, 1}
+
+
+def test_old_shards_that_are_none(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", (None, -3, 99, 0, 1)[i % 5]) for i in range(500)], "doc_id long, text string, was int")
+    rows = resharding.resharded(docs, 4, old="was").collect()
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert len(rows) == 500 and set(load) == set(range(4)) and max(load.values()) < 1.05 * min(load.values()) and {r["old"] for r in rows} == {None, -3, 99, 0, 1}
+
+
 def test_empty(empty):
     assert tokens.token_counts(empty).collect() == [] and mixing.mixed(empty).collect() == []
