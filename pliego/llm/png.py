@@ -61,6 +61,8 @@ def read_png(data: bytes) -> np.ndarray:
             raise DamagedImage(f"checksum of {kind!r}")
         at += 12 + length
         if kind == b"IHDR":
+            if length != 13:
+                raise DamagedImage("header")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -172,6 +174,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         out: list[list] = [[] for _ in types]
         for cell in batch.column("media"):
+            if not cell.is_valid:
+                raise DamagedImage("no image")
             media = cell.as_buffer().to_pybytes()
             samples = read_png(media)
             payload = samples.tobytes()

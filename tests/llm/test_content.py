@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,14 +215,83 @@ def test_each_generator_finds_its_span_in_a_text_without_others():
         assert (text.index(found), kind, text.index(found) + len(found)) in pii.candidates(text)
 
 
-def test_sample_reaches_all_places_and_all_generators(spark):
-    dense = " ".join(f"ssn 1{k:02d}-45-6789 of" for k in range(60))
-    rows = [(dense,), ("write to jane (at) example (dot) com",), *((f"{c}{c}{c} " * 15 + "ssn 123-45-6789 of",) for c in "abcdefghijklmnopqrstuvwxyz")]
-    docs = spark.createDataFrame(rows, "text string")
-    every = pii.sample_texts(docs, 100)
-    assert any("(at)" in t for t in every)  # no digit, no @
-    own = [t for t in every if "ssn 1" in t and t not in pii.sample_texts(docs.where("text not like 'ssn%'"), 100)]
-    assert len(own) == 8 and max(dense.index(t) for t in own) > 400  # not only the first
-    assert len(pii.sample_texts(docs, 100, each=3)) == len(every) - 5
-    few = pii.sample_texts(docs, 100, snippets=10)
-    assert len(few) == 10 and few != sorted(every)[:10] and set(few) <= set(every)
+def test_spans_of_unseen_surroundings():
+    """Precision and recall of spans in surroundings that neither trees nor thresholds have seen."""
+    redactor = pii.fit()
+    hit, missed, wrong = Counter(), Counter(), Counter()
+    for text, span, personal in pii.planted(40, part=2):
+        base = pii.base_spans(text)
+        found = base + redactor.added(text, base)
+        kind = pii.KINDS[span[1]]
+        if personal:
+            if any(a <= span[0] and span[2] <= b for a, _, b in found):
+                hit[kind] += 1
+            else:
+                missed[kind] += 1
+        elif any(s not in base and s[0] < span[2] and s[2] > span[0] for s in found):
+            wrong[kind] += 1
+    for kind in ("email", "phone", "secret", "account", "identity"):
+        assert hit[kind] / (hit[kind] + missed[kind]) >= 0.9 and hit[kind] / (hit[kind] + wrong[kind]) >= 0.9, (kind, hit, missed, wrong)
+
+
+def test_dense_long_texts_take_linear_time():
+    import time
+
+    part = "call 555 123 4567 or ssn 123-45-6789, password=8f219e9cb0eb53f169 mail a.b@c.es ip 10.0.0.1 x"
+    redactor, seconds = pii.fit(), []
+    for times in (500, 2000):
+        text = " ".join([part] * times)
+        began = time.process_time()
+        base = pii.base_spans(text)
+        spans = base + redactor.added(text, base)
+        seconds.append(time.process_time() - began)
+        assert len(spans) >= 4 * times
+    assert seconds[1] < 8 * seconds[0]
+
+
+def test_texts_of_megabytes(spark):
+    r = random.Random(12)
+    long = " ".join("".join(r.choice("aeioulrstn") for _ in range(6)) for _ in range(150_000)) + " end. write to jane at example dot com"
+    item = "the quick brown fox jumps over the lazy dog and runs away from it"
+    docs = spark.createDataFrame([(1, long), (2, "x" * 1_000_000), (3, long + " " + item)], "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in pii.personal_data(docs).select("doc_id", "spans").collect()}
+    assert spans[1].startswith("email:") and spans[2] == ""
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(x["doc_id"], x["item_id"]) for x in decontam.matches(docs, bench).collect()] == [(3, 7)]
+    stored = {x["doc_id"]: (x["n_bytes"], x["payload_bytes"] % 576) for x in png.features(png.stored(docs)).collect()}
+    assert stored == {1: (len(long), 0), 2: (1_000_000, 0), 3: (len(long) + len(item) + 1, 0)}
+    lab = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(docs, lab).count() == 3
+
+
+def test_images_against_another_decoder_and_a_direct_transform():
+    """Each chunk and line decoded by hand; the hash from the transform's definition."""
+    for text in (b"", b"hello", bytes(range(128)) * 40):
+        data = png.write_png(png.payload_image(text))
+        at, parts = 8, []
+        while at < len(data):
+            size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+            assert zlib.crc32(data[at + 4 : at + 8 + size]) == int.from_bytes(data[at + 8 + size : at + 12 + size], "big")
+            parts.append((kind, data[at + 8 : at + 8 + size]))
+            at += 12 + size
+        assert [k for k, _ in parts] == [b"IHDR", b"IDAT", b"IEND"]
+        width, height = (int.from_bytes(parts[0][1][i : i + 4], "big") for i in (0, 4))
+        raw, lines = zlib.decompress(parts[1][1]), []
+        for y in range(height):
+            line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+            assert line[0] == 2
+            lines.append([(v + (lines[-1][x] if lines else 0)) % 256 for x, v in enumerate(line[1:])])
+        payload = bytes(v for line in lines for v in line)
+        assert payload[: len(text)] == text and set(payload[len(text) :]) <= {255} and len(payload) % 576 == 0
+        means = [[np.mean([lines[y][x] for y in range(i * height // 32, max((i + 1) * height // 32, i * height // 32 + 1)) for x in range(j * width // 32, max((j + 1) * width // 32, j * width // 32 + 1))]) for j in range(32)] for i in range(32)]
+        low = [round(sum(means[i][j] * np.cos(np.pi / 32 * (i + 0.5) * u) * np.cos(np.pi / 32 * (j + 0.5) * v) for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+        middle = np.median(low[1:])
+        assert png.cosine_hash(png.read_png(data)) == f"{int(''.join('1' if x > middle else '0' for x in low), 2):016x}"
+
+
+def test_null_and_short_images(spark):
+    short = png.SIGNATURE + png._chunk(b"IHDR", b"\0" * 5) + png._chunk(b"IEND", b"")
+    with pytest.raises(png.DamagedImage):
+        png.read_png(short)
+    with pytest.raises(Exception, match="no image"):
+        png.features(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).collect()
