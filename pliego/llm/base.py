@@ -125,6 +125,35 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, most:
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(cold, on))
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, spread_by: list[str], most: int = 1000) -> DataFrame:
+    """As hot_join, in one pass over rows: a key with more than total / most rows gets several
+    parts, to which its rows are dealt by a hash of ``spread_by``; the part is column _salt.
+    """
+    limit = max(1, total // most)
+    hot = keyed.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).alias("_parts"))
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    parts = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1).cast("int")
+    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return left.join(right, [*on, "_salt"])
+
+
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df as a bucketed table in the shared folder: joins on the keys then move only their other side."""
+    spark = df.sparkSession
+    path, name, parts = work_dir(spark), f"pliego_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(name)
+    atexit.register(_forget, spark, name, path)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session has ended, and its list of tables with it
+        pass
+    _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

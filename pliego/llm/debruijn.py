@@ -3,11 +3,15 @@
 Edges of the graph are token k-mers, that is windows of ``window`` words. Documents are cut
 into anchored segments (super-k-mers that share a minimiser, see anchors), so an edge is
 looked for only where its anchor occurs twice, and equal segments collapse into one before
-any edge is laid out. A later copy of a whole segment needs no graph. The first copies of
-anchors with several contents are dealt out by anchor, and each task compacts the
-nonbranching paths of its anchors. Paths end at the borders of their segments; a join of
-path ends with path starts, on the coordinates of the path and of its source, compacts them
-into long spans. A span is removed, its source lies before it and runs in step with it.
+any edge is laid out: a later copy of a segment is a path of repeated edges as it stands.
+The first copies of anchors with several contents are dealt out by anchor, and each task
+compacts the nonbranching paths of its anchors.
+
+Paths end at the borders of their segments. A join of path ends with path starts, on the
+coordinates of the path and of its source, compacts them into long spans: a span lies in one
+document and runs in step with its source, which lies before it. Spans, not edges, are then
+verified: the words at the source's coordinates are read and digested (128 bits), and a span
+is removed only where its own words have that digest.
 
 An anchor with more than HOT contents is not gathered in one task: its edges get their
 forks and sources from a grouped count and a join.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import merged
-from .base import keyed, public_id
+from .base import bucketed, hot_join, keyed, public_id, written
 from .segments import WordItems, branching, contents, fetched, packed, repeated, unpacked
 
 
@@ -121,26 +125,20 @@ def _edge_rows(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, hot: int = HOT) -> DataFrame:
-    """(doc_id, th, lo, hi): word ranges covered by windows that start earlier as well.
-
-    docs has the columns of base.keyed; documents are ordered by (doc_id, th). Ranges may
-    overlap.
-    """
+def repeated_paths(docs: DataFrame, blobs: DataFrame, window: int = 20, hot: int = HOT) -> DataFrame:
+    """(doc_id, th, lo, n, s_doc, s_th, s_at): windows lo to lo + n of a document that run in step
+    with the windows from s_at on of an earlier place. Each window lies in one path at most."""
     found = repeated(docs, WordItems(), window)
     content = contents(found)
-    later = (
-        found.join(content.where("copies > 1").select("anchor", "digest", "source"), ["anchor", "digest"])
-        .where(F.struct("doc_id", "th", "start") != F.col("source"))
-        .select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + (window - 1)).alias("hi"))
-    )
+    sources = content.where("places > 1").select("anchor", "digest", "source", F.col("places").alias("n"))
+    later = hot_join(found, sources, ["anchor", "digest"], found.count()).where(F.struct("doc_id", "th", "start") != F.col("source"))
+    copied = later.select("doc_id", "th", F.col("start").alias("lo"), F.col("windows").cast("long").alias("n"), F.col("source.doc_id").alias("s_doc"), F.col("source.th").alias("s_th"), F.col("source.start").alias("s_at"))
     forks = branching(content)
-    pieces = fetched(docs, content.join(forks, "anchor"), WordItems(), window)
+    pieces = fetched(blobs, content.join(forks, "anchor"), WordItems(), window)
     crowded = forks.where(F.col("n") > hot).select("anchor")
     cold = pieces.join(crowded, "anchor", "left_anti").drop("digest").repartition("anchor").sortWithinPartitions("anchor")
     edges = pieces.join(crowded, "anchor", "left_semi").mapInArrow(_edge_rows(window), "anchor long, key long, doc_id long, th int, at long, before long, after long")
-    paths = cold.mapInArrow(_path_rows(window), _PATH).unionByName(_edge_paths(edges))
-    return later.unionByName(_spans(paths, window))
+    return copied.unionByName(cold.mapInArrow(_path_rows(window), _PATH)).unionByName(_edge_paths(edges))
 
 
 def _edge_paths(edges: DataFrame) -> DataFrame:
@@ -162,14 +160,41 @@ def _edge_paths(edges: DataFrame) -> DataFrame:
     return paths.select("doc_id", "th", "lo", "n", F.col("s.doc_id").alias("s_doc"), F.col("s.th").alias("s_th"), F.col("s.at").alias("s_at"))
 
 
-def _spans(paths: DataFrame, window: int) -> DataFrame:
-    """Paths joined end to start, where path and source both go on, as word ranges."""
+def compacted(paths: DataFrame, window: int) -> DataFrame:
+    """(doc_id, th, lo, words, s_doc, s_th, s_lo): paths joined end to start where both they and
+    their sources go on, as ranges of words."""
     ends = paths.select("doc_id", "th", (F.col("lo") + F.col("n")).alias("lo"), "s_doc", "s_th", (F.col("s_at") + F.col("n")).alias("s_at"), F.lit(1).alias("goes_on"))
-    joined = paths.join(ends.distinct(), ["doc_id", "th", "lo", "s_doc", "s_th", "s_at"], "left")
-    order = Window.partitionBy("doc_id", "th").orderBy("lo", "n")
+    joined = paths.join(ends, ["doc_id", "th", "lo", "s_doc", "s_th", "s_at"], "left")
+    order = Window.partitionBy("doc_id", "th").orderBy("lo")
     spans = joined.withColumn("span", F.sum(F.when(F.col("goes_on") == 1, 0).otherwise(1)).over(order))
-    spans = spans.groupBy("doc_id", "th", "span").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("n")).alias("end"))
-    return spans.select("doc_id", "th", "lo", (F.col("end") + (window - 1)).alias("hi"))
+    spans = spans.groupBy("doc_id", "th", "span").agg(F.min("lo").alias("lo"), F.sum("n").alias("n"), F.min_by(F.struct("s_doc", "s_th", "s_at"), "lo").alias("s"))
+    return spans.select("doc_id", "th", "lo", (F.col("n") + (window - 1)).alias("words"), "s.s_doc", "s.s_th", F.col("s.s_at").alias("s_lo"))
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _source_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        out: list[list] = [[] for _ in types]
+        for doc_id, th, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), unpacked(batch), batch.column("wanted")):
+            words = text.split()
+            for w in wanted.as_py():
+                lo, count = w["s_lo"], w["words"]
+                for x, value in zip(out, (doc_id, th, lo, count, w["n"], _digest(words[lo : lo + count]))):
+                    x.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["s_doc", "s_th", "s_lo", "words", "n", "digest"])
+
+
+def with_source_digests(spans: DataFrame, blobs: DataFrame) -> DataFrame:
+    """spans with ``digest``, that of the words at the coordinates of the source."""
+    ranges = spans.groupBy("s_doc", "s_th", "s_lo", "words").agg(F.count("*").alias("n"))
+    lists = ranges.groupBy(F.col("s_doc").alias("doc_id"), F.col("s_th").alias("th")).agg(F.collect_list(F.struct("s_lo", "words", "n")).alias("wanted"))
+    sources = blobs.join(lists, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "blob", "wanted")
+    digests = written(sources.mapInArrow(_source_rows, "s_doc long, s_th int, s_lo long, words long, n long, digest binary"))
+    return hot_join(spans, digests, ["s_doc", "s_th", "s_lo", "words"], spans.count())
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +202,10 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, digests, kept_texts = [], [], [], []
         for text, ranges in zip(unpacked(batch), batch.column("ranges").to_pylist()):
             words = text.split()
+            sure = [(r["lo"], r["lo"] + r["words"]) for r in ranges or () if _digest(words[r["lo"] : r["lo"] + r["words"]]) == r["digest"]]
             kept = words
-            if ranges:
-                s, e = merged(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
+            if sure:
+                s, e = merged(*(np.array(x) for x in zip(*sure)))
                 kept = [w for a, b in zip([0, *e.tolist()], [*s.tolist(), len(words)]) for w in words[a:b]]
             joined = b" ".join(kept)
             n_words.append(len(words))
@@ -204,7 +230,9 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_
     hash of the text. An empty table gives an empty result. Other columns are not read.
     """
     docs = keyed(docs, id_col, text_col)
-    ranges = repeated_spans(docs, window, **limits).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    found = packed(docs).join(ranges, ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
+    blobs = bucketed(packed(docs), ["doc_id", "th"])  # three joins read the texts; none shuffles them
+    spans = written(compacted(repeated_paths(docs, blobs, window, **limits), window))
+    sure = with_source_digests(spans, blobs).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "words", "digest")).alias("ranges"))
+    found = blobs.join(sure, ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
     out = found.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumn("doc_id", public_id())

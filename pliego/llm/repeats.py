@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import rlbwt
 from .anchors import merged
-from .base import keyed, public_id
+from .base import hot_join, keyed, public_id
 from .segments import ByteItems, branching, contents, fetched, packed, repeated, unpacked
 
 #: Distinct contents of one anchor that one task may index together.
@@ -77,15 +77,16 @@ def _window_rows(window: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = 200, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
+def repeated_ranges(docs: DataFrame, blobs: DataFrame, window: int = 200, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, th, ranges): the byte ranges of each document that repeated windows cover.
 
-    docs has the columns of base.keyed. Ranges may overlap; documents without any are absent.
+    docs has the columns of base.keyed, blobs those of segments.packed. Ranges may overlap;
+    rows that agree in id and text have one row here; documents without any are absent.
     """
     found = repeated(docs, ByteItems(), window)
     content = contents(found)
     forks = branching(content)
-    pieces = fetched(docs, content.join(forks, "anchor"), ByteItems(), window)
+    pieces = fetched(blobs, content.join(forks, "anchor"), ByteItems(), window)
     crowded = forks.where(F.col("n") > hot).select("anchor")
     cold = pieces.join(crowded, "anchor", "left_anti").select("anchor", "digest", "piece").repartition("anchor").sortWithinPartitions("anchor", "digest")
     marks = cold.mapInArrow(_index_rows(window, chunk), "anchor long, digest long, lo int, hi int")
@@ -93,10 +94,12 @@ def repeated_ranges(docs: DataFrame, window: int = 200, hot: int = HOT, chunk: i
     single = warm.mapInArrow(_window_rows(window), "anchor long, digest long, lo int, key long")
     again = single.groupBy("anchor", "key").count().where("count > 1").select("anchor", "key")
     marks = marks.unionByName(single.join(again, ["anchor", "key"], "left_semi").select("anchor", "digest", "lo", (F.col("lo") + 1).alias("hi")))
-    copied = content.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), F.col("windows").alias("hi"))
-    spans = found.select("anchor", "digest", "doc_id", "th", "start").join(marks.unionByName(copied), ["anchor", "digest"])
-    span = F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (window - 1)).alias("hi"))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(span).alias("ranges"))
+    copied = content.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), F.col("windows").alias("hi"), F.col("places").alias("n"))
+    every = marks.withColumn("n", F.lit(1).cast("long")).unionByName(copied)
+    marked = every.groupBy("anchor", "digest").agg(F.max("n").alias("n"), F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    spans = hot_join(found.select("anchor", "digest", "doc_id", "th", "start"), marked, ["anchor", "digest"], found.count())
+    span = F.transform("marks", lambda m: F.struct((F.col("start") + m["lo"]).alias("lo"), (F.col("start") + m["hi"] + (window - 1)).alias("hi")))
+    return spans.select("doc_id", "th", span.alias("own")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("own")).alias("ranges"))
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +127,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     not read.
     """
     docs = keyed(docs, id_col, text_col)
-    found = packed(docs).join(repeated_ranges(docs, window, **limits), ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
+    blobs = packed(docs)
+    found = blobs.join(repeated_ranges(docs, blobs, window, **limits), ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
     out = found.mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", public_id())

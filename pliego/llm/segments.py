@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import segments
-from .base import batch_bytes, written
+from .base import batch_bytes, dropped, salted_join, written
 
 _SEGMENT = "doc_id long, th int, start long, windows int, anchor long, digest long, weight int"
 _FIELDS = [x.split()[0] for x in _SEGMENT.split(", ")]
@@ -141,15 +141,26 @@ def segment_rows(docs: DataFrame, kind, window: int, digests: bool = True) -> Da
 
 
 def repeated(docs: DataFrame, kind, window: int) -> DataFrame:
-    """The segments of docs whose windows may recur: those of an anchor that occurs twice. Written out."""
-    twice = segment_rows(docs, kind, window, digests=False).groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
-    return written(segment_rows(docs, kind, window).join(twice, "anchor", "left_semi"))
+    """The segments of docs whose windows may recur, those of an anchor that occurs twice, with ``rows``.
+
+    Rows of docs that agree in id and text give each segment once, with their number. Written out.
+    """
+    anchors = segment_rows(docs, kind, window, digests=False).groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1")
+    twice = written(anchors)
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    found = salted_join(segment_rows(docs, kind, window), twice, ["anchor"], total, ["doc_id", "th"])
+    out = written(found.groupBy("anchor", "_salt", *(c for c in _FIELDS if c != "anchor")).agg(F.count("*").alias("rows")).drop("_salt"))
+    dropped(twice)
+    return out
 
 
 def contents(found: DataFrame) -> DataFrame:
-    """Each distinct segment content: its first place in order of (doc_id, th, start) and its copies."""
+    """Each distinct segment content: its first place in order of (doc_id, th, start), the ``places``
+    where it stands and its ``copies``, repeated rows included."""
     place = F.struct("doc_id", "th", "start")
-    return found.groupBy("anchor", "digest").agg(F.min(place).alias("source"), F.first("windows").alias("windows"), F.count("*").alias("copies"), F.max("weight").alias("weight"))
+    return found.groupBy("anchor", "digest").agg(
+        F.min(place).alias("source"), F.first("windows").alias("windows"), F.count("*").alias("places"), F.sum("rows").alias("copies"), F.max("weight").alias("weight")
+    )
 
 
 def branching(content: DataFrame) -> DataFrame:
@@ -174,11 +185,8 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (unpack.decompress(x.as_buffer()) for x in batch.column("blob"))
 
 
-def fetched(docs: DataFrame, content: DataFrame, kind, window: int) -> DataFrame:
-    """content with a column piece: the text of each content, read at its first place.
-
-    Where rows agree in id and text, the piece comes once for each of them.
-    """
+def fetched(blobs: DataFrame, content: DataFrame, kind, window: int) -> DataFrame:
+    """content with a column piece: the text of each content, read at its first place in blobs (see packed)."""
     lists = content.select("source.*", "windows", "anchor", "digest").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor", "digest")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,5 +207,5 @@ def fetched(docs: DataFrame, content: DataFrame, kind, window: int) -> DataFrame
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], fields)
 
-    first = packed(docs).join(lists, ["doc_id", "th"]).select("doc_id", "th", "blob", "wanted")
+    first = blobs.join(lists, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "blob", "wanted")
     return first.mapInArrow(run, "anchor long, digest long, doc_id long, th int, start long, windows int, piece binary")

@@ -5,11 +5,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from pliego.llm import debruijn, repeats, rlbwt
 from pliego.llm.anchors import segments
+from pliego.llm.base import keyed
+from pliego.llm.segments import packed
 
 
 def direct_bytes(texts, window=200):
@@ -96,5 +100,38 @@ def test_random_words(spark):
     assert sorted(map(tuple, got)) == sorted((x[0], *x[2:]) for x in direct_words(texts, lambda x: x[0], 6))
 
 
+def test_paths_compact_into_one_span_for_each_copy(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeioulrstn") for _ in range(r.randint(3, 8)))
+    passage = [word() for _ in range(600)]
+    texts = [(i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for i in range(4)]
+    docs = keyed(spark.createDataFrame(texts, "doc_id long, text string"))
+    blobs = packed(docs)
+    paths = debruijn.repeated_paths(docs, blobs)
+    spans = [tuple(x) for x in debruijn.compacted(paths, 20).select("doc_id", "lo", "words", "s_doc", "s_lo").collect()]
+    assert sorted(spans) == [(i, 30, 600, 0, 30) for i in (1, 2, 3)] and paths.count() > 3 * len(spans)
+
+
+def test_only_words_that_the_source_has_are_removed():
+    words = [f"w{i}" for i in range(60)]
+    blob = zstandard.ZstdCompressor().compress(" ".join(words).encode())
+    right = debruijn._digest([w.encode() for w in words[5:30]])
+    for digest, removed in ((right, 25), (right[::-1], 0)):
+        batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "blob": blob, "ranges": [{"lo": 5, "words": 25, "digest": digest}]}])
+        assert [b.column("n_removed").to_pylist() for b in debruijn._kept_rows([batch])] == [[removed]]
+
+
+def test_repeated_rows_cost_no_more_ranges(spark):
+    r = random.Random(10)
+    text = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    docs = keyed(spark.createDataFrame([(1, text)] * 40 + [(2, text[:1500])], "doc_id long, text string"))
+    rows = {x["doc_id"]: x["ranges"] for x in repeats.repeated_ranges(docs, packed(docs)).collect()}
+    one = {x["doc_id"]: x["ranges"] for x in repeats.repeated_ranges(docs.dropDuplicates(), packed(docs.dropDuplicates())).collect()}
+    assert set(rows) == {1, 2} and len(rows[1]) <= 3 * len(one[1]) + 60
+    got = repeats.remove_repeats(docs.drop("th")).collect()
+    assert len(got) == 41 and {(x["n_bytes"], x["n_removed"]) for x in got} == {(3000, 3000), (1500, 1500)}
+    assert {(x["doc_id"], x["n_removed"]) for x in debruijn.remove_repeated_spans(docs.drop("th"), window=5).collect()} == {(1, 0), (2, len(text[:1500].split()) - (text[1500] != " " and text[1499] != " "))}
+
+
 def test_empty_tables(empty):
     assert repeats.remove_repeats(empty).collect() == [] and debruijn.remove_repeated_spans(empty).collect() == []
