@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,18 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/pliego-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes a query's shuffle files when the query ends, as its result is on disk then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and losing an
     executor costs nothing that was computed before. The folder goes when the
@@ -100,7 +114,8 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.parquet(path)
+    with _swept(spark):
+        df.write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_lies_at"] = path
@@ -141,7 +156,8 @@ def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
     """df as a bucketed table in the shared folder: joins on the keys then move only their other side."""
     spark = df.sparkSession
     path, name, parts = work_dir(spark), f"pliego_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(name)
+    with _swept(spark):
+        df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(name)
     atexit.register(_forget, spark, name, path)
     return spark.table(name)
 

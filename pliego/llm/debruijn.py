@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import merged
-from .base import bucketed, hot_join, keyed, public_id, written
+from .base import bucketed, dropped, hot_join, keyed, public_id, written
 from .segments import WordItems, branching, contents, fetched, packed, repeated, unpacked
 
 
@@ -129,16 +129,18 @@ def repeated_paths(docs: DataFrame, blobs: DataFrame, window: int = 20, hot: int
     """(doc_id, th, lo, n, s_doc, s_th, s_at): windows lo to lo + n of a document that run in step
     with the windows from s_at on of an earlier place. Each window lies in one path at most."""
     found = repeated(docs, WordItems(), window)
-    content = contents(found)
+    content = written(contents(found))
     sources = content.where("places > 1").select("anchor", "digest", "source", F.col("places").alias("n"))
     later = hot_join(found, sources, ["anchor", "digest"], found.count()).where(F.struct("doc_id", "th", "start") != F.col("source"))
     copied = later.select("doc_id", "th", F.col("start").alias("lo"), F.col("windows").cast("long").alias("n"), F.col("source.doc_id").alias("s_doc"), F.col("source.th").alias("s_th"), F.col("source.start").alias("s_at"))
     forks = branching(content)
-    pieces = fetched(blobs, content.join(forks, "anchor"), WordItems(), window)
+    pieces = written(fetched(blobs, content.join(forks, "anchor"), WordItems(), window))
     crowded = forks.where(F.col("n") > hot).select("anchor")
     cold = pieces.join(crowded, "anchor", "left_anti").drop("digest").repartition("anchor").sortWithinPartitions("anchor")
     edges = pieces.join(crowded, "anchor", "left_semi").mapInArrow(_edge_rows(window), "anchor long, key long, doc_id long, th int, at long, before long, after long")
-    return copied.unionByName(cold.mapInArrow(_path_rows(window), _PATH)).unionByName(_edge_paths(edges))
+    paths = written(copied.unionByName(cold.mapInArrow(_path_rows(window), _PATH)).unionByName(_edge_paths(edges)))
+    dropped(found, content, pieces)
+    return paths
 
 
 def _edge_paths(edges: DataFrame) -> DataFrame:
@@ -231,7 +233,9 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_
     """
     docs = keyed(docs, id_col, text_col)
     blobs = bucketed(packed(docs), ["doc_id", "th"])  # three joins read the texts; none shuffles them
-    spans = written(compacted(repeated_paths(docs, blobs, window, **limits), window))
+    paths = repeated_paths(docs, blobs, window, **limits)
+    spans = written(compacted(paths, window))
+    dropped(paths)
     sure = with_source_digests(spans, blobs).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "words", "digest")).alias("ranges"))
     found = blobs.join(sure, ["doc_id", "th"], "left").select("doc_id", "blob", "ranges")
     out = found.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

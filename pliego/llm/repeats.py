@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import rlbwt
 from .anchors import merged
-from .base import hot_join, keyed, public_id
+from .base import dropped, hot_join, keyed, public_id, written
 from .segments import ByteItems, branching, contents, fetched, packed, repeated, unpacked
 
 #: Distinct contents of one anchor that one task may index together.
@@ -84,9 +84,9 @@ def repeated_ranges(docs: DataFrame, blobs: DataFrame, window: int = 200, hot: i
     rows that agree in id and text have one row here; documents without any are absent.
     """
     found = repeated(docs, ByteItems(), window)
-    content = contents(found)
+    content = written(contents(found))
     forks = branching(content)
-    pieces = fetched(blobs, content.join(forks, "anchor"), ByteItems(), window)
+    pieces = written(fetched(blobs, content.join(forks, "anchor"), ByteItems(), window))
     crowded = forks.where(F.col("n") > hot).select("anchor")
     cold = pieces.join(crowded, "anchor", "left_anti").select("anchor", "digest", "piece").repartition("anchor").sortWithinPartitions("anchor", "digest")
     marks = cold.mapInArrow(_index_rows(window, chunk), "anchor long, digest long, lo int, hi int")
@@ -99,7 +99,9 @@ def repeated_ranges(docs: DataFrame, blobs: DataFrame, window: int = 200, hot: i
     marked = every.groupBy("anchor", "digest").agg(F.max("n").alias("n"), F.collect_list(F.struct("lo", "hi")).alias("marks"))
     spans = hot_join(found.select("anchor", "digest", "doc_id", "th", "start"), marked, ["anchor", "digest"], found.count())
     span = F.transform("marks", lambda m: F.struct((F.col("start") + m["lo"]).alias("lo"), (F.col("start") + m["hi"] + (window - 1)).alias("hi")))
-    return spans.select("doc_id", "th", span.alias("own")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("own")).alias("ranges"))
+    ranges = written(spans.select("doc_id", "th", span.alias("own")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("own")).alias("ranges")))
+    dropped(found, content, pieces)
+    return ranges
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
