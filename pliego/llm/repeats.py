@@ -96,11 +96,11 @@ def repeated_ranges(docs: DataFrame, blobs: DataFrame, window: int = 200, hot: i
     marks = marks.unionByName(single.join(again, ["anchor", "key"], "left_semi").select("anchor", "digest", "lo", (F.col("lo") + 1).alias("hi")))
     copied = content.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), F.col("windows").alias("hi"), F.col("places").alias("n"))
     every = marks.withColumn("n", F.lit(1).cast("long")).unionByName(copied)
-    marked = every.groupBy("anchor", "digest").agg(F.max("n").alias("n"), F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    marked = written(every.groupBy("anchor", "digest").agg(F.max("n").alias("n"), F.collect_list(F.struct("lo", "hi")).alias("marks")))
     spans = hot_join(found.select("anchor", "digest", "doc_id", "th", "start"), marked, ["anchor", "digest"], found.count())
     span = F.transform("marks", lambda m: F.struct((F.col("start") + m["lo"]).alias("lo"), (F.col("start") + m["hi"] + (window - 1)).alias("hi")))
     ranges = written(spans.select("doc_id", "th", span.alias("own")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("own")).alias("ranges")))
-    dropped(found, content, pieces)
+    dropped(found, content, pieces, marked)
     return ranges
 
 
