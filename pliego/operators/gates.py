@@ -75,3 +75,150 @@ def structural_signals(m: Column) -> Column:
         F.when(p("no_kind") >= 25, "many_unclassified"), F.when(p("with_docs") < 50, "few_documents"), F.when(pct(m["total"] - m["with_place"], m["total"]) >= 20, "places_missing"),
         F.when(pct(m["total"] - m["with_amount"], m["total"]) >= 50, "amounts_missing"),
     ))
+
+
+#: The limits of the artifact and merge verdicts.
+LIMITS = {
+    "artifact_error_rate": 0.05, "merge_error_rate": 0.01, "merge_generic_title_ratio": 0.10, "merge_unresolved_gateway_ratio": 0.10, "merge_nav_title_count": 0,
+    "merge_unknown_kind_ratio": 0.05, "merge_resolver_error_rate": 0.01, "merge_resolved_document_ratio": 0.90,
+}
+
+
+def candidate_measures(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Measures of candidate links (record, title_generic, gateway, nav_title, nav_like, kind, fields_missing, merge_ready, error) by group, in one aggregation."""
+    n = F.count("*")
+    share = lambda c: F.round(F.count_if(F.coalesce(c, F.lit(False))) / n, 6)
+    return candidates.groupBy(*keys).agg(
+        n.alias("candidates_after_filter"), share(F.col("error")).alias("error_rate"), share(F.col("title_generic")).alias("generic_title_ratio"), share(F.col("gateway")).alias("unresolved_gateway_ratio"),
+        F.count_if("nav_title").alias("nav_title_count"), F.count_if("nav_like").alias("nav_like_survivor_count"), share(F.col("kind") == "unknown").alias("unknown_kind_ratio"),
+        F.count_if("fields_missing").alias("missing_v2_field_count"), F.count_if("merge_ready").alias("merge_ready_true_count"), F.count_distinct("record").alias("records_with_candidates"),
+    )
+
+
+def quality_verdicts(m: DataFrame, limits: dict[str, float] = LIMITS, resolver: bool = False) -> DataFrame:
+    """Measures (candidate_measures, records_with_candidates_ratio) with artifact and merge verdicts.
+
+    Adds artifact_status, artifact_blocking, artifact_warnings, merge_status, merge_blocking.
+    With ``resolver`` the measures resolver_error_rate, resolved_document_ratio and
+    merge_ready_candidate_count and unresolved_after_resolver_count count as well.
+    """
+    c, names = F.col, lambda rules: F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules)))
+    artifact = names([("error_rate", c("error_rate") > limits["artifact_error_rate"]), ("no_candidates", c("candidates_after_filter") == 0)])
+    warnings = [
+        ("missing_fields", c("missing_v2_field_count") > 0), ("generic_titles", c("generic_title_ratio") > 0.30), ("unresolved_gateways", c("unresolved_gateway_ratio") > 0.30),
+        ("nav_like", c("nav_like_survivor_count") > 0), ("unknown_kinds", c("unknown_kind_ratio") > 0.10), ("few_records", c("records_with_candidates_ratio") < 0.50),
+    ]
+    blocking = [
+        ("artifact", F.size("artifact_blocking") > 0), ("error_rate", c("error_rate") > limits["merge_error_rate"]), ("generic_titles", c("generic_title_ratio") > limits["merge_generic_title_ratio"]),
+        ("unresolved_gateways", c("unresolved_gateway_ratio") > limits["merge_unresolved_gateway_ratio"]), ("nav_titles", c("nav_title_count") > limits["merge_nav_title_count"]), ("nav_like", c("nav_like_survivor_count") > 0),
+        ("unknown_kinds", c("unknown_kind_ratio") > limits["merge_unknown_kind_ratio"]), ("missing_fields", c("missing_v2_field_count") > 0), ("none_ready", c("merge_ready_true_count") == 0),
+    ]
+    if resolver:
+        blocking += [("resolver_errors", c("resolver_error_rate") > limits["merge_resolver_error_rate"]), ("few_resolved", c("resolved_document_ratio") < limits["merge_resolved_document_ratio"]), ("none_ready_after_resolver", c("merge_ready_candidate_count") == 0)]
+        warnings += [("resolver_errors", c("resolver_error_rate") > 0), ("unresolved_after_resolver", c("unresolved_after_resolver_count") > 0)]
+    out = m.withColumn("artifact_blocking", artifact).withColumn("artifact_warnings", names(warnings)).withColumn("merge_blocking", names(blocking))
+    verdict = lambda x: F.when(F.size(x) == 0, "PASS").otherwise("FAIL")
+    return out.withColumns({"artifact_status": verdict("artifact_blocking"), "merge_status": verdict("merge_blocking")})
+
+
+def merge_gate(m: Column) -> Column:
+    """struct(artifact, resolution, documents, write) of a run's measures: PASS, WARN or FAIL each; writing is never allowed.
+
+    m has f2a_records, f2a_candidates, f2a_error_rate, resolver_error_rate,
+    resolved_document_ratio, merge_ready_candidates, accepted, not_joined.
+    """
+    zero = lambda c: F.coalesce(m[c], F.lit(0))
+    artifact = F.when((zero("f2a_records") <= 0) | (zero("f2a_candidates") <= 0) | (zero("f2a_error_rate") > 0.05), "FAIL").otherwise("PASS")
+    resolution = F.when((zero("resolver_error_rate") > 0.05) | (zero("resolved_document_ratio") < 0.95) | (zero("merge_ready_candidates") <= 0), "FAIL").otherwise("PASS")
+    documents = F.when((zero("accepted") == 0) | (resolution != "PASS"), "FAIL").when(zero("not_joined") > 0, "WARN").otherwise("PASS")
+    return F.struct(artifact.alias("artifact"), resolution.alias("resolution"), documents.alias("documents"), F.lit("FAIL").alias("write"))
+
+
+def production_validation(records: DataFrame, meta: DataFrame, schema: str, state: str) -> DataFrame:
+    """One row: counts of a published data set, the issues found and the verdict PASS or FAIL.
+
+    records has lifecycle_category and active_opportunity_eligible (null where absent); meta
+    is one row with schema, publication_state, generation_id and dataset_sha256.
+    """
+    active, category = F.coalesce("active_opportunity_eligible", F.lit(False)), F.col("lifecycle_category")
+    counts = records.agg(
+        F.count("*").alias("records"), F.count_if(active).alias("active"), F.count_if(F.coalesce(category, F.lit("")) == "").alias("missing_category"), F.count_if(F.col("active_opportunity_eligible").isNull()).alias("missing_active"),
+        F.count_if(active & (category == "OPEN_WITH_AWARD_EVIDENCE")).alias("active_with_award"), F.count_if(active & (category == "CLEAR_AWARDED")).alias("active_awarded"),
+    )
+    own = F.coalesce(F.col("schema") == schema, F.lit(False))
+    absent = lambda c: own & (F.coalesce(F.col(c), F.lit("")) == "")
+    rules = [
+        ("schema", ~own), ("publication_state", own & ~F.coalesce(F.col("publication_state") == state, F.lit(False))), ("generation_id", absent("generation_id")), ("dataset_sha256", absent("dataset_sha256")),
+        ("missing_category", F.col("missing_category") > 0), ("missing_active", F.col("missing_active") > 0), ("active_with_award", F.col("active_with_award") > 0), ("active_awarded", F.col("active_awarded") > 0),
+    ]
+    issues = F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules)))
+    found = counts.crossJoin(F.broadcast(meta.limit(1))).withColumn("issues", issues)
+    return found.withColumn("verdict", F.when(F.size("issues") == 0, "PASS").otherwise("FAIL")).drop(*meta.columns)
+
+
+def shard_validation(source: DataFrame, shards: DataFrame, ident: str, year: str, years: tuple[int, ...], declared: int | None = None, needed: tuple[int, ...] = ()) -> DataFrame:
+    """One row: whether shards (ident, year, shard) hold just the records of the source, by count, by multiset of ids, and an archive without listed years."""
+    from .aggregates import multiset_difference
+
+    sizes = source.agg(F.count("*").alias("source_records")).crossJoin(shards.agg(F.count("*").alias("sharded_records"), F.count_if((F.col("shard") == "archive") & F.col(year).isin(*years)).alias("archive_in_range")))
+    differ = multiset_difference(source, shards, ident).agg(F.count("*").alias("ids_changed"))
+    rules = [
+        ("record_count", F.col("source_records") != F.col("sharded_records")), ("ids_changed", F.col("ids_changed") > 0), ("archive_in_range", F.col("archive_in_range") > 0),
+        ("year_missing", F.lit(not set(needed) <= set(years))), ("declared_count", F.lit(declared).cast("long").isNotNull() & (F.lit(declared).cast("long") != F.col("source_records"))),
+    ]
+    found = sizes.crossJoin(differ).withColumn("issues", F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules))))
+    return found.withColumn("verdict", F.when(F.size("issues") == 0, "PASS").otherwise("FAIL"))
+
+
+def source_coverage(runs: DataFrame) -> DataFrame:
+    """(source, status, retrieved_at): each requested source of runs (requested, completed, failed, generated_at).
+
+    failed before ok before degraded; only a source that is ok has a time of retrieval.
+    Without requested sources the completed ones count.
+    """
+    none = F.array().cast("array<string>")
+    asked = F.when(F.size(F.coalesce("requested", none)) > 0, F.col("requested")).otherwise(F.coalesce("completed", none))
+    rows = runs.select(F.explode(asked).alias("source"), F.coalesce("completed", none).alias("completed"), F.coalesce("failed", none).alias("failed"), "generated_at")
+    status = F.when(F.array_contains("failed", F.col("source")), "failed").when(F.array_contains("completed", F.col("source")), "ok").otherwise("degraded")
+    return rows.select("source", status.alias("status"), F.when(status == "ok", F.col("generated_at")).alias("retrieved_at"))
+
+
+def freshness(coverage: DataFrame) -> DataFrame:
+    """(retrieved_at, publishable): the latest retrieval of a source that is ok; without any, nothing may be published."""
+    return coverage.agg(F.max("retrieved_at").alias("retrieved_at")).withColumn("publishable", F.col("retrieved_at").isNotNull())
+
+
+def appendix_status(has_text: Column, role: Column, present: Column, deferred: Column) -> Column:
+    """ready, partial or insufficient_text of a notice by the names of its fields that have a value.
+
+    Subject, codes and one of value, budget, duration and criteria make a notice ready,
+    unless a field is deferred to another document.
+    """
+    has = lambda *names: F.arrays_overlap(present, F.array(*map(F.lit, names)))
+    core = has("objeto") & has("cpv") & has("valor_estimado", "presupuesto_base", "duracion", "criterios_adjudicacion")
+    some = has("objeto", "cpv", "valor_estimado", "presupuesto_base", "duracion", "criterios_adjudicacion")
+    return F.when(~has_text | (role != "anuncio_placsp"), "insufficient_text").when(core & ~deferred, "ready").when(some, "partial").otherwise("insufficient_text")
+
+
+def enforced(value: Column, status: Column, confidence: Column, evidence: Column, floor: str, strict: bool) -> Column:
+    """struct(value, status) of a field after the floor of confidence and, if strict, the demand for evidence."""
+    rank = lambda c: F.create_map(F.lit("low"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("high"), F.lit(2))[c]
+    claimed = value.isNotNull() & status.isin("extracted", "partial")
+    bare = claimed & F.lit(strict) & (F.coalesce(evidence, F.lit("")) == "")
+    weak = claimed & F.coalesce(rank(confidence) < rank(F.lit(floor)), F.lit(False))
+    return F.struct(F.when(~F.coalesce(bare | weak, F.lit(False)), value).alias("value"), F.when(bare, "insufficient_evidence").when(weak, "below_min_confidence").otherwise(status).alias("status"))
+
+
+def known_labels(existing: Column, proposed: Column, known: tuple[str, ...]) -> Column:
+    """The sorted union of labels; a proposal with an unknown label leaves the existing ones."""
+    unknown = F.exists(proposed, lambda d: ~d.isin(*known))
+    return F.when(F.coalesce(unknown, F.lit(False)), existing).otherwise(F.array_sort(F.array_union(F.coalesce(existing, F.array().cast("array<string>")), F.coalesce(proposed, F.array().cast("array<string>")))))
+
+
+def structure_issues(envelope: Column) -> Column:
+    """What keeps a JSON text from being a data set: no object, no list under data, no object under meta."""
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(envelope), path, "variant"))
+    whole = F.coalesce(kind("$").startswith("OBJECT"), F.lit(False))
+    return F.array_compact(F.array(
+        F.when(~whole, "not_an_object"), F.when(whole & ~F.coalesce(kind("$.data").startswith("ARRAY"), F.lit(False)), "no_data_list"), F.when(whole & ~F.coalesce(kind("$.meta").startswith("OBJECT"), F.lit(False)), "no_meta"),
+    ))
