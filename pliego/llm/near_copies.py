@@ -9,11 +9,11 @@ have a sample in common, and so its key, with a chance of about 1 - (1 - s^SAMPL
 that is 0.99997 at 0.8. The exact similarity of the shingle sets decides on each pair.
 
 Texts with equal sets are one node. The nodes of a key are first compared with one of them
-(another one for each key). Nodes that then share a key without being in one component are
-compared where they share one of the rarest fifth of their shingles, as two sets of that
-similarity always do. Before any two sets meet, their parities are compared: a set's PARITY
-bits each tell whether an odd number of its shingles falls on them, so two sets differ in at
-least as many shingles as bits. Neither step loses a pair of that similarity.
+(another one for each key), then those that are not in one component yet with each other.
+Before any two sets are read, their sizes and parities are compared: a set's PARITY longs
+tell of each bit whether an odd number of its shingles falls on it, so two sets differ in at
+least as many shingles as bits. No pair of the similarity is lost by that, and only texts of
+pairs that it lets through are fetched.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import NO_ID, batch_bytes, bounded, dropped, hot_join, written
@@ -98,7 +98,9 @@ def _sketch_rows(shingle: int):
         for batch in batches:
             sets = [shingles(t, shingle) for t in _texts(batch)]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(node), _lists([sample_keys(s) for s in sets])], ["key", "th", "node", "keys"])
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), PARITY).T
+            marks = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in bits)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(node), *marks, _lists([sample_keys(s) for s in sets])], ["key", "th", "node", "size", *_BITS, "keys"])
 
     return run
 
@@ -119,17 +121,15 @@ def _set_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unpack = zstandard.ZstdDecompressor().decompress
-            sets = [shingles(unpack(b.as_buffer()), shingle) for b in batch.column("blob")]
-            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), PARITY)
-            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets]), *(pa.array(x) for x in bits.T.copy())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "found", *_BITS])
+            sets = [shingles(unpack(b.as_buffer()), shingle).view(np.int64) for b in batch.column("blob")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "found"])
 
     return run
 
 
-def _side(sets: DataFrame, name: str, *more: str) -> DataFrame:
-    """sets with all columns named for one side of a pair."""
-    return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", *_BITS, *more)))
+def _side(marks: DataFrame, name: str) -> DataFrame:
+    """marks (node, size and parity of each node) with its columns named for one side of a pair."""
+    return marks.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", *_BITS)))
 
 
 def _possible(similarity: float) -> Column:
@@ -142,15 +142,20 @@ def _possible(similarity: float) -> Column:
     return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (differ <= most)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least the similarity."""
-    possible = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").where(_possible(similarity)).select("a", "b")
+def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets, read from the texts of rows, have at least the similarity. Written out."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = sketches.select("node", "key", "th").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "th")).alias("k")).select("node", "k.*")
+    packed = rows.mapInArrow(_packed_rows, "key long, th long, blob binary")
+    sets = written(packed.join(chosen, ["key", "th"]).dropDuplicates(["node"]).mapInArrow(_set_rows(shingle), "node long, found array<long>"))
     found = lambda name: sets.select(F.col("node").alias(name), F.col("found").alias(f"{name}_found"))
-    both = possible.join(found("a"), "a").join(found("b"), "b").withColumn("n", F.size(F.array_intersect("a_found", "b_found")))
-    return both.where(F.col("n") >= similarity * (F.size("a_found") + F.size("b_found") - F.col("n"))).select("a", "b")
+    both = pairs.join(found("a"), "a").join(found("b"), "b").withColumn("n", F.size(F.array_intersect("a_found", "b_found")))
+    sure = written(both.where(F.col("n") >= similarity * (F.size("a_found") + F.size("b_found") - F.col("n"))).select("a", "b"))
+    dropped(sets)
+    return sure
 
 
-def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _across(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of members (group, node, component) that share a group but no component.
 
     Of a group's components the largest is only compared with the others, never with itself.
@@ -161,7 +166,7 @@ def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     top = counts.groupBy("group").agg(F.max_by("component", "c").alias("top"), F.count("*").alias("parts"), F.sum("c").alias("n")).where("parts > 1")
     top = top.select("group", "top", "n", F.ceil(F.col("n") / DEALT).alias("deals"))
     mixed = hot_join(members, top, ["group"], members.count())
-    own = mixed.select("group", F.col("node").alias("a"), F.col("component").alias("a_component"), "top", "deals").join(_side(sets, "a"), "a")
+    own = mixed.select("group", F.col("node").alias("a"), F.col("component").alias("a_component"), "top", "deals").join(_side(marks, "a"), "a")
     few = own.where("a_component <> top").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("top", "deals")
     every = own.select("group", F.col("a").alias("b"), F.col("a_component").alias("b_component"), "top", F.pmod(F.xxhash64("a"), F.col("deals")).alias("deal"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("size", *_BITS)))
     apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("top")) | (F.col("a") < F.col("b")))
@@ -169,44 +174,28 @@ def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return few.join(every, on & apart & _possible(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
-    """(group, node): each node with the rarest of its shingles, enough that any two similar nodes share one.
-
-    A similar set lacks at most n - ceil(similarity x n) of the n shingles of a node.
-    """
-    each = sets.select("node", "size", F.explode("found").alias("shingle"))
-    total = sets.agg(F.sum("size")).first()[0] or 0
-    shared = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    # Shingles of one node only come first and need no row; they use up places all the same.
-    ranked = hot_join(each, shared, ["shingle"], total).withColumn("rank", rank).withColumn("shared", F.count("*").over(Window.partitionBy("node")))
-    places = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
-    return ranked.where(F.col("rank") + F.col("size") - F.col("shared") <= places).select(F.col("shingle").alias("group"), "node")
-
-
 def groups(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, th, component) for each of rows (key, th, text); th tells the texts of one key apart.
 
     component is the same for texts that can be reached from each other over pairs of at
     least the similarity. Texts without words are one node.
     """
-    sketches = written(rows.mapInArrow(_sketch_rows(shingle), "key long, th long, node long, keys array<long>"))
+    bits = ", ".join(f"{c} long" for c in _BITS)
+    sketches = written(rows.mapInArrow(_sketch_rows(shingle), f"key long, th long, node long, size long, {bits}, keys array<long>"))
+    marks = written(sketches.select("node", "size", *_BITS).dropDuplicates(["node"]))
     spread = written(sketches.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("group")))
     hubs = spread.groupBy("group").agg(F.min_by("node", F.xxhash64("node", "group")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     alive = written(hot_join(spread, hubs, ["group"], spread.count()))
     dropped(spread)
-    chosen = sketches.join(alive.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "th")).alias("k")).select("node", "k.*")
-    packed = rows.mapInArrow(_packed_rows, "key long, th long, blob binary")
-    sets = written(packed.join(chosen, ["key", "th"]).dropDuplicates(["node"]).mapInArrow(_set_rows(shingle), "node long, size long, found array<long>, " + ", ".join(f"{c} long" for c in _BITS)))
-    first = written(_verified(alive.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), sets, similarity))
-    joined = components(first)
-    placed = written(alive.join(joined, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")))
-    split = placed.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group")
-    open_ = placed.join(split, "group", "left_semi").select("node", "component").distinct()
-    rare = _rarest(sets.join(open_.select("node"), "node", "left_semi"), similarity)
-    rest = _verified(_across(written(rare.join(open_, "node")), sets, similarity), sets, similarity)
+    near = alive.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    near = written(near.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_possible(similarity)).select("a", "b"))
+    first = _verified(near, rows, sketches, shingle, similarity)
+    placed = written(alive.join(components(first), "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")))
+    dropped(alive)
+    apart = written(_across(placed, marks, similarity).join(near, ["a", "b"], "left_anti"))
+    rest = _verified(apart, rows, sketches, shingle, similarity)
     linked = components(first.unionByName(rest))
-    dropped(alive, placed, sets, first)
+    dropped(placed, marks, near, apart, first, rest)
     return sketches.select("key", "th", "node").join(linked, "node", "left").select("key", "th", F.coalesce("component", "node").alias("component"))
 
 
