@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import checks, documents, orders, records, rows  # noqa: F401  registering is their effect
+    from . import checks, documents, listings, orders, records, rows  # noqa: F401  registering is their effect
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
