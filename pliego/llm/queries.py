@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontam, golay, mixing, pii, png, repeats, resharding, tokens, toxicity
+from . import conversations, debruijn, decontam, golay, importance, mixing, pii, png, repeats, resharding, tokens, toxicity, url_rules
 from .base import table
 
 
@@ -55,6 +55,20 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png.features(png.stored(table(spark, sf_dir, "documents")))
 
 
+def op11_token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_rules.judged(table(spark, sf_dir, "pages"), columns=["page_id"])
+    return found.select("row.page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+def op12_tight_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audited(rows, conversations.damaged(rows))
+
+
+def op13_sort_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_repeats": op1_suffix_repeats,
@@ -67,10 +81,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_edit_decontam": op8_edit_decontam,
         "op9_flow_reshard": op9_flow_reshard,
         "op10_png_media": op10_png_media,
+        "op11_token_rules": op11_token_rules,
+        "op12_tight_arcs": op12_tight_arcs,
+        "op13_sort_count": op13_sort_count,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_systematic_mix": mixing.ORACLE_SQL,
+        "op11_token_rules": url_rules.ORACLE_SQL,
+        "op12_tight_arcs": conversations.ORACLE_SQL,
+        "op13_sort_count": importance.ORACLE_SQL,
     }
