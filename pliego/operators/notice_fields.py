@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.notices import let
 from ..functions.semantics import fold_accents
 from . import appendix_tables as T
 from .fields import DEADLINES, HEADINGS
@@ -119,32 +120,47 @@ def subject(lines: Lines) -> Column:
         own = F.regexp_extract(F.get(lines, i)["raw"], r"(?s)^[^:]*:(.*)$", 1)
         return F.struct(clean(F.concat_ws(" ", own, _raws(_until(_behind(lines, i, 4), _heading)))).alias("value"), F.get(lines, i)["page"].alias("page"))
 
-    found = _first(F.filter(F.transform(_at(lines, _starts("objeto del contrato:")), titled), lambda x: x["value"] != ""))
-    published = _first(_at(lines, _starts("publicado en la plataforma")))
-    title = F.nullif(clean(_raws(_until(_behind(lines, published, 5), _starts("contrato sujeto a regulacion")))), F.lit(""))
-    direct = found.isNotNull()
-    return _field(
-        "objeto", F.coalesce(found["value"], title), F.when(direct, "high").otherwise("medium"), F.when(direct, "extracted").otherwise("partial"),
-        F.coalesce(found["page"], F.get(lines, published + 1)["page"]), F.coalesce(F.concat(F.lit("Objeto del Contrato: "), found["value"]), title), "heading_window",
-    )
+    def title(i: Column) -> Column:
+        return F.struct(F.nullif(clean(_raws(_until(_behind(lines, i, 5), _starts("contrato sujeto a regulacion")))), F.lit("")).alias("value"), F.get(lines, i + 1)["page"].alias("page"))
+
+    direct = _first(F.filter(F.transform(_at(lines, _starts("objeto del contrato:")), titled), lambda x: x["value"] != ""))
+    published = let(_first(_at(lines, _starts("publicado en la plataforma"))), title)
+
+    def shown(x: Column) -> Column:
+        own, found = x["own"].isNotNull(), F.coalesce(x["own"], x["title"])
+        evidence = F.when(own, F.concat(F.lit("Objeto del Contrato: "), found["value"])).otherwise(found["value"])
+        return _field("objeto", found["value"], F.when(own, "high").otherwise("medium"), F.when(own, "extracted").otherwise("partial"), found["page"], evidence, "heading_window")
+
+    return let(F.struct(direct.alias("own"), published.alias("title")), shown)
 
 
 def codes(lines: Lines) -> Column:
     """Classification codes with labels in the lines behind their headings, each code once."""
     shape = r"^\s*([0-9]{8})\s*-\s*(.+?)\.?\s*$"
-    anchors = _at(lines, _starts("categorias/cpv", "clasificacion cpv"))
-    block = lambda i: F.filter(_until(_behind(lines, i, 11), lambda x: ~x["raw"].rlike(shape) & ~x["raw"].rlike(r"^\s*[0-9]")), lambda x: x["raw"].rlike(shape))
-    all_found = F.transform(F.flatten(F.transform(anchors, block)), lambda x: F.struct(F.regexp_extract(x["raw"], shape, 1).alias("code"), clean(F.regexp_extract(x["raw"], shape, 2)).alias("label"), x["raw"].alias("raw")))
-    names = F.transform(all_found, lambda x: x["code"])
-    once = F.filter(all_found, lambda x, i: F.array_position(names, x["code"]) == i + 1)
-    value = F.when(F.size(once) > 0, _json(F.transform(once, lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label")))))
-    return _field("cpv", value, "high", "extracted", F.get(lines, _first(anchors))["page"], F.when(value.isNotNull(), F.concat(F.lit("Categorias/CPV\n"), _raws(F.slice(once, 1, 6), "\n"))))
+    block = lambda i: F.filter(_until(_behind(lines, i, 11), lambda x: ~x["raw"].rlike(r"^\s*[0-9]")), lambda x: x["raw"].rlike(shape))
+    code = lambda x: F.struct(F.regexp_extract(x["raw"], shape, 1).alias("code"), clean(F.regexp_extract(x["raw"], shape, 2)).alias("label"), x["raw"].alias("raw"), x["page"].alias("page"))
+
+    def once(found: Column) -> Column:
+        return let(F.transform(found, lambda x: x["code"]), lambda names: F.filter(found, lambda x, i: F.array_position(names, x["code"]) == i + 1))
+
+    def shown(found: Column) -> Column:
+        value = _json(F.transform(found, lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label"))))
+        return _field("cpv", value, "high", "extracted", _first(found)["page"], F.when(F.size(found) > 0, F.concat(F.lit("Categorias/CPV\n"), _raws(F.slice(found, 1, 6), "\n"))))
+
+    every = F.flatten(F.transform(_at(lines, _starts("categorias/cpv", "clasificacion cpv")), lambda i: F.transform(block(i), code)))
+    return let(let(every, once), shown)
+
+
+_WORTH = r"valor estimado del contrato\s+([\d.,]+)\s*eur"
+
+
+def _worth(x: Column) -> Column:
+    return F.when(F.contains(x["fold"], F.lit("valor estimado")), _part(x["fold"], _WORTH))
 
 
 def estimated_value(lines: Lines) -> Column:
-    amount = lambda x: _amount(_part(x["fold"], r"valor estimado del contrato\s+([\d.,]+)\s*eur"))
-    line = _first(F.filter(lines, lambda x: amount(x).isNotNull()))
-    return _field("valor_estimado", _json(F.struct(amount(line).alias("amount"), F.lit("EUR").alias("currency"))), "high", "extracted", line["page"], line["raw"], "regex")
+    shown = lambda x: _field("valor_estimado", _json(F.struct(_amount(_worth(x)).alias("amount"), F.lit("EUR").alias("currency"))), "high", "extracted", x["page"], x["raw"], "regex")
+    return let(_first(F.filter(lines, lambda x: _amount(_worth(x)).isNotNull())), shown)
 
 
 def base_budget(lines: Lines) -> Column:
@@ -154,16 +170,20 @@ def base_budget(lines: Lines) -> Column:
     last = lambda items: F.get(items, F.size(items) - 1)
 
     def amounts(i: Column) -> Column:
-        block = _until(_behind(lines, i, 4), lambda x: net(x).isNull() & gross(x).isNull() & _heading(x))
-        used = F.filter(block, lambda x: net(x).isNotNull() | gross(x).isNotNull())
-        return F.struct(
-            _amount(last(_some(F.transform(block, gross)))).alias("gross"), _amount(last(_some(F.transform(block, net)))).alias("net"), F.get(lines, i)["page"].alias("page"),
-            F.concat_ws("\n", F.get(lines, i)["raw"], _raws(F.slice(used, 1, 3), "\n")).alias("seen"),
-        )
+        def of(block: Column) -> Column:
+            return F.struct(
+                _amount(last(_some(F.transform(block, lambda x: x["gross"])))).alias("gross"), _amount(last(_some(F.transform(block, lambda x: x["net"])))).alias("net"), F.get(lines, i)["page"].alias("page"),
+                F.concat_ws("\n", F.get(lines, i)["raw"], _raws(F.slice(F.filter(block, lambda x: x["net"].isNotNull() | x["gross"].isNotNull()), 1, 3), "\n")).alias("seen"),
+            )
+
+        read = F.transform(_behind(lines, i, 4), lambda x: F.struct(net(x).alias("net"), gross(x).alias("gross"), x["raw"].alias("raw"), _heading(x).alias("heading")))
+        return let(_until(read, lambda x: x["net"].isNull() & x["gross"].isNull() & x["heading"]), of)
 
-    found = _first(F.filter(F.transform(_at(lines, _starts("presupuesto base de licitacion")), amounts), lambda x: x["gross"].isNotNull() | x["net"].isNotNull()))
-    value = _json(F.struct(found["gross"].alias("importe_con_impuestos"), found["net"].alias("importe_sin_impuestos"), F.lit("EUR").alias("currency")))
-    return _field("presupuesto_base", value, "medium", "partial", found["page"], found["seen"])
+    def shown(x: Column) -> Column:
+        value = F.struct(x["gross"].alias("importe_con_impuestos"), x["net"].alias("importe_sin_impuestos"), F.lit("EUR").alias("currency"))
+        return _field("presupuesto_base", _json(value), "medium", "partial", x["page"], x["seen"])
+
+    return let(_first(F.filter(F.transform(_at(lines, _starts("presupuesto base de licitacion")), amounts), lambda x: x["gross"].isNotNull() | x["net"].isNotNull())), shown)
 
 
 def duration(lines: Lines) -> Column:
@@ -171,42 +191,52 @@ def duration(lines: Lines) -> Column:
     span = r"del\s+(\d{2}/\d{2}/\d{4})\s+al\s+(\d{2}/\d{2}/\d{4})"
     dated = lambda i: _first(F.filter(F.transform(_from(lines, i, 4), lambda x, j: F.when(x["fold"].rlike(span), i + j)), lambda j: j.isNotNull()))
     pairs = F.transform(_at(lines, lambda x: F.contains(x["fold"], F.lit("plazo de ejecucion"))), lambda i: F.struct(i.alias("i"), dated(i).alias("j")))
-    found = _first(F.filter(pairs, lambda x: x["j"].isNotNull()))
-    line = F.get(lines, found["j"])
-    note = _first(F.filter(_until(_behind(lines, found["j"], 3), lambda x: _heading(x) & ~_starts("observaciones:")(x)), _starts("observaciones:")))
-    value = F.struct(
-        _iso(_part(line["fold"], span, 1)).alias("desde"), _iso(_part(line["fold"], span, 2)).alias("hasta"), clean(F.regexp_extract(note["raw"], r"(?s)^[^:]*:(.*)$", 1)).alias("observaciones")
-    )
-    seen = F.when(found.isNotNull(), F.concat_ws("\n", F.get(lines, found["i"])["raw"], line["raw"], note["raw"]))
-    return _field("duracion", _json(value), "high", "extracted", F.get(lines, found["i"])["page"], seen)
+    note = lambda j: _first(F.filter(_until(_behind(lines, j, 3), lambda x: _heading(x) & ~_starts("observaciones:")(x)), _starts("observaciones:")))["raw"]
+
+    def read(x: Column) -> Column:
+        line = F.get(lines, x["j"])
+        return F.when(x.isNotNull(), F.struct(F.get(lines, x["i"]).alias("head"), line["fold"].alias("fold"), line["raw"].alias("raw"), note(x["j"]).alias("note")))
+
+    def shown(x: Column) -> Column:
+        value = F.struct(_iso(_part(x["fold"], span, 1)).alias("desde"), _iso(_part(x["fold"], span, 2)).alias("hasta"), clean(F.regexp_extract(x["note"], r"(?s)^[^:]*:(.*)$", 1)).alias("observaciones"))
+        return _field("duracion", _json(value), "high", "extracted", x["head"]["page"], F.when(x.isNotNull(), F.concat_ws("\n", x["head"]["raw"], x["raw"], x["note"])))
+
+    return let(let(_first(F.filter(pairs, lambda x: x["j"].isNotNull())), read), shown)
+
+
+_LOT = r"^lote\s+(\d+):\s*(.+)$"
+
+
+def _is_lot(x: Column) -> Column:
+    return F.startswith(x["fold"], F.lit("lote")) & x["fold"].rlike(_LOT)
 
 
 def lots(lines: Lines) -> Column:
     """Lots: number, description and the value in up to 7 lines before the next lot; their number alone is no value."""
-    header = r"^lote\s+(\d+):\s*(.+)$"
-    worth = lambda x: _part(x["fold"], r"valor estimado del contrato\s+([\d.,]+)\s*eur")
 
     def lot(i: Column) -> Column:
-        line, block = F.get(lines, i), _until(_behind(lines, i, 7), lambda x: x["fold"].rlike(header) & worth(x).isNull())
-        return F.struct(
-            _part(line["fold"], header).try_cast("int").alias("num"), clean(F.regexp_extract(line["raw"], r"(?s)^[^:]*:(.*)$", 1)).alias("descripcion"), _amount(_first(_some(F.transform(block, worth)))).alias("valor_estimado")
-        )
+        line = F.get(lines, i)
+        worth = _first(_some(F.transform(_until(_behind(lines, i, 7), lambda x: _is_lot(x) & _worth(x).isNull()), _worth)))
+        return F.struct(_part(line["fold"], _LOT).try_cast("int").alias("num"), clean(F.regexp_extract(line["raw"], r"(?s)^[^:]*:(.*)$", 1)).alias("descripcion"), _amount(worth).alias("valor_estimado"))
+
+    def shown(x: Column) -> Column:
+        found, counted = x["found"], x["counted"]
+        some = F.size(found) > 0
+        names = F.transform(F.slice(found, 1, 4), lambda y: F.concat(F.lit("Lote "), y["num"].cast("string"), F.lit(": "), F.left(y["descripcion"], F.lit(60))))
+        seen = F.concat_ws("\n", F.trim(counted["raw"]), F.array_join(names, "\n"))
+        return _field("lotes", F.when(some, _json(found)), F.when(some, "medium").otherwise("low"), "partial", F.coalesce(counted["page"], F.lit(1)), F.when(some | counted.isNotNull(), seen))
 
-    found = F.transform(_at(lines, lambda x: x["fold"].rlike(header)), lot)
     counted = _first(F.filter(lines, lambda x: x["fold"].rlike(r"de lotes:\s*\d+")))
-    some = F.size(found) > 0
-    seen = F.concat_ws("\n", F.trim(counted["raw"]), F.array_join(F.transform(F.slice(found, 1, 4), lambda x: F.concat(F.lit("Lote "), x["num"].cast("string"), F.lit(": "), F.left(x["descripcion"], F.lit(60)))), "\n"))
-    return _field(
-        "lotes", F.when(some, _json(found)), F.when(some, "medium").otherwise("low"), "partial", F.coalesce(counted["page"], F.lit(1)), F.when(some | counted.isNotNull(), seen),
-    )
+    return let(F.struct(F.transform(_at(lines, _is_lot), lot).alias("found"), counted.alias("counted")), shown)
 
 
 def deadlines(lines: Lines) -> Column:
     """Deadlines of the known kinds, each once, and the time that offers stay valid."""
     until = r"hasta el\s+(\d{2}/\d{2}/\d{4})\s+a las\s+(\d{2}:\d{2})"
+    nothing = F.lit(None).cast("string")
 
     def kind(x: Column) -> Column:
-        out = F.lit(None).cast("string")
+        out = nothing
         for prefix, name in reversed(DEADLINES.items()):
             out = F.when(F.startswith(x["fold"], F.lit(prefix)), F.lit(name)).otherwise(out)
         return out
@@ -215,22 +245,23 @@ def deadlines(lines: Lines) -> Column:
         return F.struct(tipo.alias("tipo"), day.alias("fecha_limite"), hour.alias("hora"), raw.alias("raw"))
 
     def dated(i: Column) -> Column:
-        line = _first(F.filter(_from(lines, i, 4), lambda x: x["fold"].rlike(until)))
-        return F.when(line.isNotNull(), one(kind(F.get(lines, i)), _iso(_part(line["fold"], until, 1)), _part(line["fold"], until, 2), F.lit(None).cast("string")))
+        stated = lambda x: F.when(x.isNotNull(), one(kind(F.get(lines, i)), _iso(_part(x["fold"], until, 1)), _part(x["fold"], until, 2), nothing))
+        return let(_first(F.filter(_from(lines, i, 4), lambda x: x["fold"].rlike(until))), stated)
 
     def valid(i: Column) -> Column:
-        line = _first(F.filter(_behind(lines, i, 2), lambda x: x["fold"].rlike(r"^\d+\s*mes")))
-        return F.when(line.isNotNull(), one(F.lit("validez_oferta"), F.lit(None).cast("string"), F.lit(None).cast("string"), clean(line["raw"])))
+        stated = lambda x: F.when(x.isNotNull(), one(F.lit("validez_oferta"), nothing, nothing, clean(x["raw"])))
+        return let(_first(F.filter(_behind(lines, i, 2), lambda x: x["fold"].rlike(r"^\d+\s*mes"))), stated)
+
+    def shown(found: Column) -> Column:
+        seen = F.array_join(F.transform(F.slice(found, 1, 6), lambda x: F.concat_ws(" -> ", x["tipo"], x["fecha_limite"], x["hora"], x["raw"])), "\n")
+        return _field("plazos", _json(found), "medium", "extracted", _first(lines)["page"], F.when(F.size(found) > 0, seen))
 
-    dates = F.array_distinct(_some(F.transform(_at(lines, lambda x: kind(x).isNotNull()), dated)))
-    found = F.concat(dates, _some(F.transform(_at(lines, _starts("plazo de validez de la oferta")), valid)))
-    seen = F.array_join(F.transform(F.slice(found, 1, 6), lambda x: F.concat_ws(" -> ", x["tipo"], x["fecha_limite"], x["hora"], x["raw"])), "\n")
-    return _field("plazos", _json(found), "medium", "extracted", F.get(lines, F.lit(0))["page"], F.when(F.size(found) > 0, seen))
+    dates = F.array_distinct(_some(F.transform(_at(lines, _starts(*DEADLINES)), dated)))
+    return let(F.concat(dates, _some(F.transform(_at(lines, _starts("plazo de validez de la oferta")), valid))), shown)
 
 
-def criteria(lines: Lines) -> tuple[Column, Column, Column]:
-    """Award criteria: all, the weight of the price, and the technical ones that have a name."""
-    kind = r"^subtipo criterio\s*:\s*(precio|otros)"
+def criteria(lines: Lines) -> Column:
+    """Award criteria, as an array of three fields: all, the weight of the price, and the technical ones that have a name."""
 
     def usable(x: Column) -> Column:
         return ~_starts(*T.NO_CRITERION)(x) & ~F.contains(x["fold"], F.lit("no tiene criterios"))
@@ -242,63 +273,71 @@ def criteria(lines: Lines) -> tuple[Column, Column, Column]:
         name = F.coalesce(clean(_first(F.filter(above, usable))["raw"]), F.when(price, "Precio"))
         return F.struct(name.alias("nombre"), F.when(price, "Precio").otherwise("Otros").alias("subtipo"), weight.try_cast("int").alias("ponderacion"), F.get(lines, i)["page"].alias("page"))
 
-    found = F.transform(_at(lines, lambda x: x["fold"].rlike(kind)), criterion)
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
-    seen = F.array_join(F.transform(F.slice(found, 1, 6), lambda x: F.concat(text(x["nombre"]), F.lit(" / Subtipo: "), x["subtipo"], F.lit(" / Ponderacion: "), text(x["ponderacion"]))), "\n")
-    page = _first(found)["page"]
-    shown = F.transform(found, lambda x: F.struct(x["nombre"].alias("nombre"), x["subtipo"].alias("subtipo"), x["ponderacion"].alias("ponderacion")))
-    price = _first(F.filter(found, lambda x: x["subtipo"] == "Precio"))
-    other = F.filter(found, lambda x: (x["subtipo"] == "Otros") & (x["nombre"] != ""))
-    named = F.transform(other, lambda x: F.struct(x["nombre"].alias("nombre"), x["ponderacion"].alias("ponderacion")))
-    return (
-        _field("criterios_adjudicacion", _json(shown), "medium", "extracted", page, F.when(F.size(found) > 0, seen)),
-        _field("criterios_precio", _json(F.struct(price["ponderacion"].alias("ponderacion"))), "medium", "extracted", page, F.when(price.isNotNull(), seen)),
-        _field("criterios_tecnicos", _json(named), "low", "partial", page, F.when(F.size(other) > 0, seen)),
-    )
 
+    def shown(x: Column) -> Column:
+        found, page, seen = x["found"], _first(x["found"])["page"], x["seen"]
+        price = _first(F.filter(found, lambda y: y["subtipo"] == "Precio"))
+        other = F.transform(F.filter(found, lambda y: (y["subtipo"] == "Otros") & (y["nombre"] != "")), lambda y: F.struct(y["nombre"].alias("nombre"), y["ponderacion"].alias("ponderacion")))
+        every = F.transform(found, lambda y: F.struct(y["nombre"].alias("nombre"), y["subtipo"].alias("subtipo"), y["ponderacion"].alias("ponderacion")))
+        return F.array(
+            _field("criterios_adjudicacion", _json(every), "medium", "extracted", page, F.when(F.size(found) > 0, seen)),
+            _field("criterios_precio", _json(F.struct(price["ponderacion"].alias("ponderacion"))), "medium", "extracted", page, F.when(price.isNotNull(), seen)),
+            _field("criterios_tecnicos", _json(other), "low", "partial", page, F.when(F.size(other) > 0, seen)),
+        )
+
+    def described(found: Column) -> Column:
+        names = F.transform(F.slice(found, 1, 6), lambda y: F.concat(text(y["nombre"]), F.lit(" / Subtipo: "), y["subtipo"], F.lit(" / Ponderacion: "), text(y["ponderacion"])))
+        return F.struct(found.alias("found"), F.array_join(names, "\n").alias("seen"))
 
-def _contract(lines: Lines, folded: Column) -> dict[str, Column]:
-    """The contract's data by name, null if absent, with the lines they come from under "_lines"."""
-    line = lambda prefix: _first(F.filter(lines, _starts(prefix)))
-    number = line("numero de expediente")
-    out = {"num_expediente": clean(F.regexp_replace(number["raw"], r"(?i)^n[uú]mero de expediente\s+", ""))}
-    for name, prefix in T.CONTRACT.items():
-        out[name] = F.nullif(clean(F.substring(line(prefix)["raw"], len(prefix), 2147483647)), F.lit(""))
-    out["directiva"] = F.upper(_part(folded, r"directiva\s+(20\d{2}/\d+/[a-z]+)"))
-    out["_lines"] = F.concat_ws("\n", F.trim(number["raw"]), *(F.trim(line(p)["raw"]) for p in T.CONTRACT.values()))
-    out["_page"] = F.coalesce(number["page"], F.lit(1))
-    return out
+    every = F.transform(_at(lines, lambda x: F.startswith(x["fold"], F.lit("subtipo")) & x["fold"].rlike(r"^subtipo criterio\s*:\s*(precio|otros)")), criterion)
+    return let(let(every, described), shown)
 
 
 def contract_data(lines: Lines, folded: Column) -> Column:
-    """File number, procedure, handling, contracting system, way of offering, directive."""
-    data = _contract(lines, folded)
-    seen, page = data.pop("_lines"), data.pop("_page")
-    return _field("contract_meta", F.to_json(F.struct(*(c.alias(n) for n, c in data.items()))), "high", "extracted", page, F.when(F.coalesce(*data.values()).isNotNull(), seen), "regex")
+    """(value, procedure, seen, page): file number, procedure, handling, contracting system, way of offering, directive."""
+    line = lambda prefix: _first(F.filter(lines, _starts(prefix)))
+    stated = F.struct(line("numero de expediente").alias("num_expediente"), *(line(p).alias(n) for n, p in T.CONTRACT.items()), F.upper(_part(folded, r"directiva\s+(20\d{2}/\d+/[a-z]+)")).alias("directiva"))
+
+    def shown(x: Column) -> Column:
+        rest = {n: F.nullif(clean(F.substring(x[n]["raw"], len(p), 2147483647)), F.lit("")) for n, p in T.CONTRACT.items()}
+        data = {"num_expediente": clean(F.regexp_replace(x["num_expediente"]["raw"], r"(?i)^n[uú]mero de expediente\s+", "")), **rest, "directiva": x["directiva"]}
+        seen = F.concat_ws("\n", *(F.trim(x[n]["raw"]) for n in ("num_expediente", *T.CONTRACT)))
+        return F.struct(
+            F.to_json(F.struct(*(c.alias(n) for n, c in data.items()))).alias("value"), data["procedimiento"].alias("procedure"), F.when(F.coalesce(*data.values()).isNotNull(), seen).alias("seen"),
+            F.coalesce(x["num_expediente"]["page"], F.lit(1)).alias("page"),
+        )
+
+    return let(stated, shown)
 
 
 def solvency(lines: Lines, name: str, heading: str) -> Column:
     """The lines at a heading of solvency, as evidence only: a notice mostly points at the tender documents."""
-    at = _first(_at(lines, _starts(heading)))
-    window = F.concat(_from(lines, at, 1), _until(_behind(lines, at, 2), _starts("criterio de solvencia", "preparacion de oferta")))
-    text = F.when(at.isNotNull(), _raws(window))
-    points = fold_accents(text).rlike("|".join(T.POINTERS))
-    return _field(name, F.lit(None).cast("string"), "low", F.when(points, "deferred_to_pcap").otherwise("evidence_only"), F.get(lines, at)["page"], text)
 
+    def read(at: Column) -> Column:
+        window = F.concat(_from(lines, at, 1), _until(_behind(lines, at, 2), _starts("criterio de solvencia", "preparacion de oferta")))
+        return F.struct(F.when(at.isNotNull(), _raws(window)).alias("text"), F.get(lines, at)["page"].alias("page"))
+
+    def shown(x: Column) -> Column:
+        points = fold_accents(x["text"]).rlike("|".join(T.POINTERS))
+        return _field(name, F.lit(None).cast("string"), "low", F.when(points, "deferred_to_pcap").otherwise("evidence_only"), x["page"], x["text"])
+
+    return let(let(_first(_at(lines, _starts(heading))), read), shown)
 
-def opportunity(lines: Lines, folded: Column, deadline_valid: Column) -> Column:
+
+def opportunity(lines: Lines, folded: Column, procedure: Column, deadline_valid: Column) -> Column:
     """Flags: dynamic purchasing system, restricted procedure, harmonised rules, EU funds, number of lots, valid deadline."""
-    headers = F.size(F.filter(lines, lambda x: x["fold"].rlike(r"^lote\s+\d+:\s*.+$")))
-    restricted = F.contains(fold_accents(F.coalesce(_contract(lines, folded)["procedimiento"], F.lit(""))), F.lit("restringido"))
+    restricted = F.contains(fold_accents(F.coalesce(procedure, F.lit(""))), F.lit("restringido"))
     funds = F.when(F.contains(folded, F.lit("no hay financiacion con fondos de la ue")), False).when(F.contains(folded, F.lit("fondos de la ue")) | F.contains(folded, F.lit("fondos ue")), True)
+    counted = let(F.size(F.filter(lines, _is_lot)), lambda n: F.when(n > 0, n).otherwise(_part(folded, r"de lotes:\s*(\d+)").try_cast("int")))
     value = F.struct(
         F.contains(folded, F.lit("sistema dinamico de adquisicion")).alias("es_sda"), restricted.alias("procedimiento_restringido"),
         (F.regexp_extract(folded, r"contrato sujeto a regulacion armonizada\s+(si|no)", 1) == "si").alias("sujeto_regulacion_armonizada"), funds.alias("fondos_ue"),
-        F.when(headers > 0, headers).otherwise(_part(folded, r"de lotes:\s*(\d+)").try_cast("int")).alias("num_lotes"), F.coalesce(deadline_valid, F.lit(False)).alias("deadline_valid"),
+        counted.alias("num_lotes"), F.coalesce(deadline_valid, F.lit(False)).alias("deadline_valid"),
     )
     told = F.filter(F.slice(lines, 1, 30), lambda x: F.contains(x["fold"], F.lit("regulacion armonizada")) | F.contains(x["fold"], F.lit("sistema de contratacion")))
-    seen = F.coalesce(F.nullif(_raws(F.slice(told, 1, 4), "\n"), F.lit("")), F.get(lines, F.lit(0))["raw"], F.lit(""))
-    return _field("opportunity_flags", _json(value), "high", "extracted", F.lit(1), seen, "derived")
+    seen = F.coalesce(F.nullif(_raws(F.slice(told, 1, 4), "\n"), F.lit("")), _first(lines)["raw"], F.lit(""))
+    return let(F.struct(value.alias("value"), seen.alias("seen")), lambda x: _field("opportunity_flags", _json(x["value"]), "high", "extracted", F.lit(1), x["seen"], "derived"))
 
 
 def document_role(lines: Lines, folded: Column) -> Column:
@@ -328,14 +367,17 @@ def notice_fields(docs: DataFrame, ident: list[str], text: str, deadline_valid:
     """
     valid = F.lit(False) if deadline_valid is None else deadline_valid
     rows = docs.select(*ident, valid.alias("_valid"), line_array(F.col(text)).alias("_lines"), fold_accents(F.coalesce(F.col(text), F.lit(""))).alias("_folded"))
-    lines, folded = F.col("_lines"), F.col("_folded")
+    lines, folded, contract = F.col("_lines"), F.col("_folded"), F.col("_contract")
+    rows = rows.withColumn("_contract", contract_data(lines, folded))
+    nothing, no_page = F.lit(None).cast("string"), F.lit(None).cast("int")
     found = [
-        subject(lines), codes(lines), estimated_value(lines), base_budget(lines), duration(lines), lots(lines), deadlines(lines), *criteria(lines), contract_data(lines, folded),
-        solvency(lines, "solvencia_economica", "criterio de solvencia economica"), solvency(lines, "solvencia_tecnica", "criterio de solvencia tecnica"), opportunity(lines, folded, F.col("_valid")),
+        subject(lines), codes(lines), estimated_value(lines), base_budget(lines), duration(lines), lots(lines), deadlines(lines),
+        _field("contract_meta", contract["value"], "high", "extracted", contract["page"], contract["seen"], "regex"),
+        solvency(lines, "solvencia_economica", "criterio de solvencia economica"), solvency(lines, "solvencia_tecnica", "criterio de solvencia tecnica"),
+        opportunity(lines, folded, contract["procedure"], F.col("_valid")),
+        *(_field(f, nothing, nothing, "deferred", no_page, nothing, "manual_later", "deferred") for f in T.DEFERRED),
     ]
-    nothing = F.lit(None).cast("string")
-    found += [_field(f, nothing, nothing, "deferred", F.lit(None).cast("int"), nothing, "manual_later", "deferred") for f in T.DEFERRED]
-    return rows.select(*ident, F.explode(F.array(*found)).alias("f")).select(*ident, "f.*")
+    return rows.select(*ident, F.explode(F.concat(F.array(*found), criteria(lines))).alias("f")).select(*ident, "f.*")
 
 
 def appendix_status(found: DataFrame, ident: list[str]) -> DataFrame:
