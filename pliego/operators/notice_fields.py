@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.notices import let
 from ..functions.semantics import fold_accents
 from . import appendix_tables as T
+from . import gates
 from .fields import DEADLINES, HEADINGS
 
 EXCERPT = 350
@@ -381,21 +382,9 @@ def notice_fields(docs: DataFrame, ident: list[str], text: str, deadline_valid:
 
 
 def appendix_status(found: DataFrame, ident: list[str]) -> DataFrame:
-    """(ident..., coverage, appendix_status) of notice_fields: ready with subject, code and a budget, date or criterion, partial if some field is left to the tender documents."""
-    has = lambda *names: F.count_if(F.col("field").isin(*names) & F.col("value").isNotNull())
-    rest = ("valor_estimado", "presupuesto_base", "duracion", "criterios_adjudicacion")
-    left = F.count_if(F.col("field").isin(*T.DEFERRED, *T.EVIDENCE_ONLY) & F.col("field_status").isin("deferred", "deferred_to_pcap", "evidence_only"))
-    sums = found.groupBy(*ident).agg(has(*T.NOTICE).alias("n"), has("objeto").alias("o"), has("cpv").alias("c"), has(*rest).alias("r"), left.alias("left"))
-    core = (F.col("o") > 0) & (F.col("c") > 0) & (F.col("r") > 0)
-    status = F.when(core & (F.col("left") == 0), "ready").when(F.col("o") + F.col("c") + F.col("r") > 0, "partial").otherwise("insufficient_text")
-    return sums.select(*ident, F.round(F.col("n") / len(T.NOTICE), 3).alias("coverage"), status.alias("appendix_status"))
-
-
-def enforced(found: DataFrame, least: str = "low", strict: bool = True) -> DataFrame:
-    """Fields whose value lacks evidence (if strict) or confidence lose it, and their status says so."""
-    rank = lambda c: F.when(c == "high", 2).when(c == "medium", 1).when(c == "low", 0)
-    stated = F.col("value").isNotNull() & F.col("field_status").isin("extracted", "partial")
-    bare = stated & (F.coalesce("evidence", F.lit("")) == "") if strict else F.lit(False)
-    weak = stated & (rank(F.col("confidence")) < rank(F.lit(least)))
-    status = F.when(bare, "insufficient_evidence").when(weak, "below_min_confidence").otherwise(F.col("field_status"))
-    return found.withColumns({"value": F.when(~(bare | F.coalesce(weak, F.lit(False))), F.col("value")), "field_status": status})
+    """(ident..., coverage, appendix_status) of notice_fields; a field that is left to the tender documents keeps a notice from being ready."""
+    left = F.col("field").isin(*T.DEFERRED, *T.EVIDENCE_ONLY) & F.col("field_status").isin("deferred", "deferred_to_pcap", "evidence_only")
+    sums = found.groupBy(*ident).agg(F.collect_set(F.when(F.col("value").isNotNull(), F.col("field"))).alias("present"), (F.count_if(left) > 0).alias("left"))
+    counted = F.size(F.array_intersect("present", F.array(*map(F.lit, T.NOTICE))))
+    status = gates.appendix_status(F.lit(True), F.lit("anuncio_placsp"), F.col("present"), F.col("left"))
+    return sums.select(*ident, F.round(counted / len(T.NOTICE), 3).alias("coverage"), status.alias("appendix_status"))

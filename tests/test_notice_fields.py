@@ -127,13 +127,6 @@ def test_status_and_coverage(spark, found):
     assert {r["d"] for r in N.appendix_status(complete, ["d"]).where("appendix_status = 'ready'").collect()} == {1, 5}
 
 
-def test_weak_and_bare_values_go(spark):
-    rows = [("a", "v", "low", "partial", "e"), ("b", "v", "high", "extracted", ""), ("c", "v", "high", "extracted", "e"), ("d", None, "low", "evidence_only", "e")]
-    df = spark.createDataFrame(rows, "field string, value string, confidence string, field_status string, evidence string")
-    got = {r["field"]: (r["value"], r["field_status"]) for r in N.enforced(df, "medium").collect()}
-    assert got == {"a": (None, "below_min_confidence"), "b": (None, "insufficient_evidence"), "c": ("v", "extracted"), "d": (None, "evidence_only")}
-
-
 @pytest.mark.parametrize(
     ("text", "role"),
     [
