@@ -156,3 +156,46 @@ TERRITORY_WORDS = {
     "RI": ["la rioja", "gobierno de la rioja"],
     "ES": ["ministerio", "gobierno de españa", "administración general del estado", "agencia estatal", "organismo autónomo"],
 }
+
+#: Patterns of a text that name the contracting body, in the order in which they are tried; the group is the name, or the whole match.
+ORGANISATION_PATTERNS = (
+    r"(?:órgano de contratación|organo de contratacion)\s*[:\-]\s*([^|\n.;]{4,140})",
+    r"(?:entidad adjudicadora|poder adjudicador)\s*[:\-]\s*([^|\n.;]{4,140})",
+    r"(?:autoridad portuaria de [^|\n.;]{2,80})",
+    r"(?:ayuntamiento de [^|\n.;]{2,80})",
+    r"(?:ajuntament de [^|\n.;]{2,80})",
+    r"(?:diputaci[oó]n de [^|\n.;]{2,80})",
+    r"(?:diputaci[oó] de [^|\n.;]{2,80})",
+    r"(?:cabildo (?:insular )?de [^|\n.;]{2,80})",
+    r"(?:universidad de [^|\n.;]{2,80})",
+    r"(?:universitat de [^|\n.;]{2,80})",
+    r"(?:ministerio de [^|\n.;]{2,80})",
+    r"(?:conseller[ií]a de [^|\n.;]{2,80})",
+    r"(?:consejería de [^|\n.;]{2,80})",
+    r"(?:mancomunidad de [^|\n.;]{2,80})",
+    r"(?:consorcio de [^|\n.;]{2,80})",
+    r"(?:patronato de [^|\n.;]{2,80})",
+)
+
+#: Patterns of an amount, in the order in which they are tried.
+AMOUNT_PATTERNS = (
+    r"presupuesto base de licitaci[oó]n[^:]*:\s*([\d\.,]+)",
+    r"valor estimado del contrato[^:]*:\s*([\d\.,]+)",
+    r"importe de licitaci[oó]n[^:]*:\s*([\d\.,]+)",
+    r"importe total[^:]*:\s*([\d\.,]+)",
+    r"presupuesto[^:]*:\s*([\d\.,]+)\s*(?:€|euros|eur)",
+    r"[Ii]mporte\s*:?\s*([\d\.,]+)\s*(?:EUR|€|euros|eur)\b",
+    r"[Ii]mporte\s*:?\s*([\d\.,]+)EUR",
+    r"([\d\.,]+)\s*(?:€|euros)\b",
+)
+
+#: Patterns of a deadline, in the order in which they are tried.
+DEADLINE_PATTERNS = (
+    r"fecha l[íi]mite de presentaci[oó]n[^:]*:\s*(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})",
+    r"plazo de presentaci[oó]n[^:]*:\s*(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})",
+    r"presentaci[oó]n de ofertas[^:]*:\s*(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})",
+    r"termini[^:]*:\s*(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})",
+)
+
+#: A text that says that a contract was awarded.
+AWARDED_PATTERN = r"\b(?:adjudica(?:do|da|t)|resuelt[ao]|formalizado)\b"
