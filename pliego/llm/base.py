@@ -60,7 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns (doc_id, th, text): th tells rows of one id with different texts apart.
+    """The columns (doc_id, th, text): th, 128 bits, tells rows of one id with different texts apart.
 
     A null text counts as empty, a null id as NO_ID. Rows that agree in id and text
     are one document to the operators that use this key. Other columns are left out,
@@ -69,7 +69,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return bounded(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.hash(text).alias("th"),
+        F.unhex(F.concat(F.lpad(F.hex(F.hash(text).cast("long") + (1 << 31)), 8, "0"), F.left(F.md5(text), F.lit(24)))).alias("th"),
         text.alias("text"),
     )
 

@@ -35,7 +35,7 @@ from .segments import WordItems, branching, contents, fetched, packed, repeated,
 
 #: Distinct contents of one anchor that one task may compact together.
 HOT = 2000
-_PATH = "doc_id long, th int, lo long, n long, s_doc long, s_th int, s_at long"
+_PATH = "doc_id long, th binary, lo long, n long, s_doc long, s_th binary, s_at long"
 
 
 def _keys(piece: bytes, count: int, window: int) -> list[int]:
@@ -81,7 +81,7 @@ def _compacted(group: list[tuple], window: int) -> list[tuple]:
 
 
 def _path_rows(window: int):
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
     names = [x.split()[0] for x in _PATH.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,7 +137,7 @@ def repeated_paths(docs: DataFrame, blobs: DataFrame, window: int = 20, hot: int
     pieces = written(fetched(blobs, content.join(forks, "anchor"), WordItems(), window))
     crowded = forks.where(F.col("n") > hot).select("anchor")
     cold = pieces.join(crowded, "anchor", "left_anti").drop("digest").repartition("anchor").sortWithinPartitions("anchor")
-    edges = pieces.join(crowded, "anchor", "left_semi").mapInArrow(_edge_rows(window), "anchor long, key long, doc_id long, th int, at long, before long, after long")
+    edges = pieces.join(crowded, "anchor", "left_semi").mapInArrow(_edge_rows(window), "anchor long, key long, doc_id long, th binary, at long, before long, after long")
     paths = written(copied.unionByName(cold.mapInArrow(_path_rows(window), _PATH)).unionByName(_edge_paths(edges)))
     dropped(found, content, pieces)
     return paths
@@ -178,7 +178,7 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _source_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
         out: list[list] = [[] for _ in types]
         for doc_id, th, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), unpacked(batch), batch.column("wanted")):
@@ -195,7 +195,7 @@ def with_source_digests(spans: DataFrame, blobs: DataFrame) -> DataFrame:
     ranges = spans.groupBy("s_doc", "s_th", "s_lo", "words").agg(F.count("*").alias("n"))
     lists = ranges.groupBy(F.col("s_doc").alias("doc_id"), F.col("s_th").alias("th")).agg(F.collect_list(F.struct("s_lo", "words", "n")).alias("wanted"))
     sources = blobs.join(lists, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "blob", "wanted")
-    digests = written(sources.mapInArrow(_source_rows, "s_doc long, s_th int, s_lo long, words long, n long, digest binary"))
+    digests = written(sources.mapInArrow(_source_rows, "s_doc long, s_th binary, s_lo long, words long, n long, digest binary"))
     return hot_join(spans, digests, ["s_doc", "s_th", "s_lo", "words"], spans.count())
 
 

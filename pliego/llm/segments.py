@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .anchors import segments
 from .base import batch_bytes, dropped, salted_join, written
 
-_SEGMENT = "doc_id long, th int, start long, windows int, anchor long, digest long, weight int"
+_SEGMENT = "doc_id long, th binary, start long, windows int, anchor long, digest long, weight int"
 _FIELDS = [x.split()[0] for x in _SEGMENT.split(", ")]
 #: Bytes of text that are laid out at once, but for longer documents.
 _HELD = 1 << 18
@@ -177,7 +177,7 @@ def packed(docs: DataFrame) -> DataFrame:
             blobs = pa.array([pack.compress(t) for t in texts(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), blobs], ["doc_id", "th", "blob"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, blob binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th binary, blob binary")
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -191,7 +191,7 @@ def fetched(blobs: DataFrame, content: DataFrame, kind, window: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ["anchor", "digest", "doc_id", "th", "start", "windows", "piece"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             out: list[list] = [[] for _ in fields]
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), unpacked(batch), batch.column("wanted"))
@@ -208,4 +208,4 @@ def fetched(blobs: DataFrame, content: DataFrame, kind, window: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], fields)
 
     first = blobs.join(lists, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "blob", "wanted")
-    return first.mapInArrow(run, "anchor long, digest long, doc_id long, th int, start long, windows int, piece binary")
+    return first.mapInArrow(run, "anchor long, digest long, doc_id long, th binary, start long, windows int, piece binary")

@@ -135,3 +135,27 @@ def test_repeated_rows_cost_no_more_ranges(spark):
 
 def test_empty_tables(empty):
     assert repeats.remove_repeats(empty).collect() == [] and debruijn.remove_repeated_spans(empty).collect() == []
+
+
+@pytest.fixture(scope="module")
+def colliding(spark):
+    """Two texts with one 32-bit hash, and a third document that copies a part of one of them."""
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.md5(F.concat_ws(":", "id", k))), " ")
+    made = spark.range(250_000).select("id", F.hash(words).alias("h"))
+    ids = made.groupBy("h").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").orderBy("h").first()["ids"][:2]
+    one, two = (r["t"] for r in spark.range(250_000).where(F.col("id").isin(ids)).select(words.alias("t")).collect())
+    return [(None, one), (None, two), (5, one[400:1100] + " and more"), (None, passage_of(one, two)), (6, two)]
+
+
+def passage_of(one, two):
+    return one[:500] + " between " + two[600:]
+
+
+def test_texts_of_one_hash_under_null_ids(spark, colliding):
+    docs = spark.createDataFrame(colliding, "doc_id long, text string").repartition(3)
+    got = repeats.remove_repeats(docs).drop("kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(direct_bytes(colliding), key=repr)
+    order = {r["text"]: r["th"] for r in keyed(docs).collect()}
+    want = [x[:1] + x[2:] for x in direct_words(colliding, lambda r: (r[0] is not None, r[0] or 0, bytes(order[r[1]])))]
+    got = debruijn.remove_repeated_spans(docs).drop("kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
