@@ -5,12 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a missing document id inside the operators.
@@ -59,6 +59,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(columns: list[str]) -> Column:
+    """A struct ``row`` of columns, whatever their names: dots, spaces and backticks are part of them."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(c) for c in columns)).alias("row")
+
+
+def mapped_whole(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df after mapInArrow with a function that keeps its columns, whose names do not matter: f sees c0, c1, ..."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns (doc_id, th, text): th, 128 bits, tells rows of one id with different texts apart.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded
+from .base import bounded, mapped_whole
 
 RATE = 0.075
 #: Characters of items that one task holds; their automaton takes about 70 bytes for each.
@@ -162,18 +162,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, at_once:
     return found
 
 
-def _clean_rows(items: list[tuple[int, str]], rate: float, text_col: str):
+def _clean_rows(items: list[tuple[int, str]], rate: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, rate)
         for batch in batches:
-            clean = [not t or not matcher.find(t) for t in batch.column(text_col).to_pylist()]
+            clean = [not t or not matcher.find(str(t)) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, at_once: int = ITEMS_AT_ONCE, text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold an item; all columns are kept."""
+    """docs without the rows that hold an item; all columns are kept, whatever their names.
+
+    Rows with a null or empty text hold nothing and stay, as do all rows if the benchmark has
+    no items; repeated rows go or stay together. An empty table stays empty.
+    """
+    place = docs.columns.index(text_col)
     for items in item_blocks(benchmark, at_once):
-        docs = bounded(docs).mapInArrow(_clean_rows(items, rate, text_col), docs.schema)
+        docs = mapped_whole(bounded(docs), _clean_rows(items, rate, place))
     return docs

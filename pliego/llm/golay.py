@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NO_ID, batch_bytes, bounded, written
+from .base import NO_ID, batch_bytes, bounded, whole_row, written
 from .components import components
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^9+x^7+x^6+x^5+x+1.
@@ -257,7 +257,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, id_col: s
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), text.alias("text"))
+    rows = docs.select(whole_row(docs.columns), key.alias("key"), text.alias("text"))
     found = near_duplicates(rows, shingle, crowd, "key")
     first = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n")))
     kept = rows.drop("text")

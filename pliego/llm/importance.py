@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded, written
+from .base import bounded, whole_row, written
 
 #: Buckets of features; a stream has 16 bits for each.
 BUCKETS = 10_000
@@ -182,8 +182,7 @@ def resampled(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int =
 def draw(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """(row, rank): the drawn rows of docs, whole, in a struct. Rows of one id, null among them, are drawn together, at the best of their ranks."""
     picked = resampled(docs, target, id_col=id_col, **options).where("rank IS NOT NULL").groupBy(F.col("doc_id").alias("drawn")).agg(F.min("rank").alias("rank"))
-    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
-    held = docs.select(row, F.col(id_col).cast("long").alias("id"))
+    held = docs.select(whole_row(docs.columns), F.col(id_col).cast("long").alias("id"))
     return held.join(picked, F.col("id").eqNullSafe(F.col("drawn"))).select("row", "rank")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, bounded, written
+from .base import WORD, bounded, whole_row, written
 
 #: A source is taken this many times at most.
 MOST = 3
@@ -86,7 +86,7 @@ def mixed(docs: DataFrame, columns: list[str] | None = None, weights: tuple[int,
     columns = columns or docs.columns
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = bounded(docs).select(
-        F.struct(*columns).alias("row"),
+        whole_row(columns),
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         _source_key(F.col(source_col)).alias("key"),
@@ -102,7 +102,11 @@ def mixed(docs: DataFrame, columns: list[str] | None = None, weights: tuple[int,
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it was drawn, with the columns of docs."""
+    """The mix itself: each row of docs as often as it was drawn (not at all, or up to ``most`` times), with the columns of docs, whatever their names.
+
+    Rows with a null or blank text are drawn like others of size 0; a null source is a source; rows
+    that repeat are drawn one by one; an empty table stays empty (see ``mixed``).
+    """
     drawn = mixed(docs, **options).where("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import NO_ID, batch_bytes, bounded, dropped, hot_join, written
+from .base import NO_ID, batch_bytes, bounded, dropped, hot_join, whole_row, written
 from .components import components
 from .golay import LOWER, codewords, simhash
 
@@ -210,7 +210,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
-    rows = bounded(docs).select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = bounded(docs).select(whole_row(docs.columns), key.alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = written(groups(rows.select("key", "th", "text"), shingle, similarity))
     first = found.groupBy("component").agg(F.min(F.struct("key", "th")).alias("k")).select("k.*")
     counts = found.groupBy("key", "th").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .base import bounded, written
+from .base import bounded, whole_row, written
 
 BUCKETS = 4096
 SPLIT = 4096
@@ -110,7 +110,8 @@ def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | Non
     old shard comes from column ``old``, or from a hash of the text over ``old_shards`` (as
     many as ``shards`` by default); a null, negative or too large one is no shard to stay in. capacities are bytes
     for each shard, equal shares by default. Equal texts stay in one shard unless they
-    exceed a whole shard's share; such a group is split by a hash of the id. slot counts a
+    exceed a whole shard's share; such a group is split by a hash of the id, so one row that is
+    repeated beyond a shard's share, id and all, stays one block and its slots one task. slot counts a
     shard's documents from 0 without gaps. Rows that agree in id and text take neighbouring
     slots in any order. An empty table gives an empty result.
     """
@@ -120,7 +121,7 @@ def resharded(docs: DataFrame, shards: int = 16, capacities: Sequence[int] | Non
     ident = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     given = F.col(old).cast("long") if old else F.pmod(h, F.lit(old_shards or shards))
     rows = bounded(docs).select(
-        F.struct(*columns).alias("row"), F.col(id_col).alias("id"), given.alias("given"),
+        whole_row(columns), F.col(id_col).alias("id"), given.alias("given"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.when(given.between(0, shards - 1), given).otherwise(-1).cast("int").alias("old"),
         F.pmod(F.shiftright(h, 8), F.lit(BUCKETS)).cast("int").alias("bucket"), ident.alias("ident"),

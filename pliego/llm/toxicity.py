@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .base import bounded, written
+from .base import bounded, whole_row, written
 
-#: Most labelled rows a model is fit on, and most lexicon voters it keeps.
+#: Most labelled rows a model is fit on (rows, not ids), and most lexicon voters it keeps.
 SAMPLE, VOTERS = 20_000, 300
 #: A lexicon voter fires in this many toxic sample documents at least.
 SUPPORT = 4
@@ -84,11 +85,16 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of a bounded sample of labelled rows outside the held-out fold. Written out."""
+    """(text, toxic) of at most ``sample`` labelled rows outside the held-out fold. Written out.
+
+    Rows that agree in id and text are one. The rows are chosen by a hash of the id, from ids
+    and digests alone; texts are read only of those chosen.
+    """
     given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id"))).distinct().join(given, "doc_id")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return written(docs.join(chosen, "doc_id").select("text", "toxic"))
+    rows = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.md5("text").alias("th"), "text")
+    known = rows.join(given, "doc_id").select("doc_id", "th", "toxic").distinct()
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample)
+    return written(rows.join(chosen, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("text", "toxic"))
 
 
 def _vote_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +196,8 @@ def _score_rows(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)
-            scores = pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), scores], ["row", "score"])
+            scores = pa.array([model.score(str(t.as_py() or "")) for t in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("held_out"), scores], ["row", "held_out", "score"])
 
     return run
 
@@ -199,16 +205,16 @@ def _score_rows(model: Model, text_col: str):
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """(row, held_out, score, predicted), one row for each row of docs.
 
-    ``row`` is a struct of the given columns of docs (all by default). Scores depend on the
-    text alone; null and empty texts get the score of a text without words. A null id is in
+    ``row`` is a struct of the given columns of docs (all by default), whatever their names.
+    Scores depend on the text alone; null and empty texts get the score of a text without words. A null id is in
     the held-out fold and is never learnt from; an id labelled twice counts as toxic if one
     of its labels is. Rows of labels without a document, and null labels, are not used. An
     empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    model = fit(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), labels, **limits)
+    text, ident = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col)
+    model = fit(docs.select(ident.alias("doc_id"), text.alias("text")), labels, **limits)
     columns = columns or docs.columns
-    rows = bounded(docs).select(F.struct(*columns).alias("row"), *([] if text_col in columns else [text.alias("text")]))
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_score_rows(model, text_col), f"row {kind}, score double")
-    return out.select("row", held_out(F.col("row")[id_col]).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = bounded(docs).select(whole_row(columns), held_out(ident).alias("held_out"), *([] if text_col in columns else [text.alias("text")]))
+    schema = StructType([*rows.schema.fields[:2], StructField("score", DoubleType())])
+    out = rows.mapInArrow(_score_rows(model, text_col), schema)
+    return out.select("row", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import salted_join, written
+from .base import salted_join, whole_row, written
 
 #: So many rules at most are written into the query; more are joined.
 INLINE = 1000
@@ -158,9 +158,8 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = SITES + PATTERNS, columns:
     have an empty host and path, which no place rule fits. Equal rows are judged alike and
     each comes back; an empty table gives an empty result. Long urls are read whole.
     """
-    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in (columns or pages.columns)]
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.struct(*quoted).alias("row"), host.alias("host"), path.alias("path"))
+    rows = pages.select(whole_row(columns or pages.columns), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("subject", F.concat("host", "path")).withColumn("tokens", _tokens(F.col("subject")))
     filed = _filed(rows, rules)
     found = _inline(rows, filed) if len(rules) <= inline else _joined(rows, filed)

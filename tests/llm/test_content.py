@@ -295,3 +295,42 @@ def test_null_and_short_images(spark):
         png.read_png(short)
     with pytest.raises(Exception, match="no image"):
         png.features(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).collect()
+
+
+ODD = ("a.b", "my col", "a:b", "x`y", "row", "score", "key", "th")
+
+
+@pytest.fixture(scope="module")
+def oddly_named(spark):
+    """Documents with columns that need quoting or that the operators use themselves."""
+    rows = [(i, t, "s", *range(len(ODD))) for i, t in enumerate(["you scum", "fine words all around", "fine words all around", None, "", "the benchmark item of twelve words that stands here for a test"])]
+    names = ["doc_id", "text", "source", *ODD]
+    return spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'c{i} int' for i in range(len(ODD)))}").toDF(*names)
+
+
+def test_columns_of_any_name(spark, oddly_named):
+    from pliego.llm import decontam, mixing, near_copies, resharding, toxicity
+
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "benchmark item of twelve words that stands here")], "item_id long, text string")
+    names = oddly_named.columns
+    assert toxicity.scored(oddly_named, labels).select("row.*").columns == names and toxicity.scored(oddly_named, labels).count() == 6
+    clean = decontam.decontaminated(oddly_named, items)
+    assert clean.columns == names and sorted(r["doc_id"] for r in clean.collect()) == [0, 1, 2, 3, 4]
+    kept = near_copies.one_of_each(oddly_named)
+    assert kept.columns == names and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 5]
+    assert mixing.mix(oddly_named).columns == names
+    assert resharding.resharded(oddly_named, shards=2).select("row.*").columns == names
+    for df in (kept, mixing.mix(oddly_named), resharding.resharded(oddly_named, shards=2).select("row.*")):
+        assert {tuple(r)[3:] for r in df.collect()} == {tuple(range(len(ODD)))}
+
+
+def test_the_sample_is_of_rows(spark):
+    from pliego.llm import toxicity
+
+    docs = spark.createDataFrame([(i % 3 + 1, f"text {i} {i % 7}") for i in range(600)] + [(1, "same")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, 10).count() == 10
+    every = toxicity.labelled(docs, labels, 10_000)
+    free = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    assert every.count() == every.distinct().count() == sum(200 + (i == 1) for i in free)
