@@ -199,3 +199,30 @@ DEADLINE_PATTERNS = (
 
 #: A text that says that a contract was awarded.
 AWARDED_PATTERN = r"\b(?:adjudica(?:do|da|t)|resuelt[ao]|formalizado)\b"
+
+
+#: Texts of a notice in one sentence, by language, and short names of months.
+SUMMARY = {
+    "es": {
+        "full": "Licitación de {disc} para {org}, con presupuesto {budget} y {deadline}.", "plain": "Licitación para {org}, con presupuesto {budget} y {deadline}.", "no_budget": "no disponible", "deadline": "plazo hasta {date}",
+        "no_deadline": "sin plazo publicado", "expires": "Vence en {n} días", "awarded": "Adjudicada", "void": "Declarada desierta", "months": ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sept", "oct", "nov", "dic"],
+    },
+    "ca": {
+        "full": "Licitació de {disc} per a {org}, amb pressupost {budget} i {deadline}.", "plain": "Licitació per a {org}, amb pressupost {budget} i {deadline}.", "no_budget": "no disponible", "deadline": "termini fins {date}",
+        "no_deadline": "sense termini publicat", "expires": "Venç en {n} dies", "awarded": "Adjudicada", "void": "Declarada deserta", "months": ["gen", "febr", "març", "abr", "maig", "juny", "jul", "ag", "set", "oct", "nov", "des"],
+    },
+}
+
+#: Notices that stand in for a data set that cannot be read: id, title, body, awardee, budget, disciplines, territory, published, deadline, status, relevance.
+SAMPLE = (
+    ("s1", "Diseño de identidad corporativa y manual de marca — Ajuntament de Girona", "Ajuntament de Girona", "", 28500.0, ["branding", "editorial"], "CT", None, "2026-04-20", "Vigente", 95),
+    ("s2", "Servicio de diseño gráfico y producción de materiales — SEPE", "Servicio Público de Empleo Estatal", "", 120000.0, ["editorial", "impressio"], "MD", "2026-03-08", "2026-04-15", "Vigente", 92),
+    ("s3", "Diseño museográfico y señalética — MNAC", "Museu Nacional d'Art de Catalunya", "Studio Baldrich S.L.", 320000.0, ["senyaletica", "branding"], "CT", "2026-02-18", "2026-03-01", "Adjudicado", 90),
+    ("s4", "Campaña publicitaria de promoción turística — Agència Catalana de Turisme", "Agència Catalana de Turisme", "", 450000.0, ["publicitat", "branding"], "CT", "2026-03-07", "2026-04-10", "Vigente", 88),
+    ("s5", "Producción audiovisual y motion graphics — RTVE", "RTVE", "", 85000.0, ["audiovisual"], "MD", "2026-03-01", "2026-04-05", "Vigente", 83),
+    ("s6", "Serveis de fotografia institucional — Diputació de Barcelona", "Diputació de Barcelona", "", 22000.0, ["fotografia"], "CT", "2026-02-28", "2026-04-01", "Vigente", 80),
+    ("s7", "Diseño web y sistema de comunicación digital — Gobierno de Navarra", "Gobierno de Navarra", "", 195000.0, ["web", "uxui"], "NA", "2026-02-25", "2026-04-25", "Vigente", 78),
+    ("s8", "Ilustración editorial para campaña — Junta de Andalucía", "Junta de Andalucía", "", 18000.0, ["illustracio", "editorial"], "AN", "2026-03-10", "2026-03-28", "Vigente", 75),
+    ("s9", "Impresión y producción gráfica de materiales institucionales — Ministerio de Cultura", "Ministerio de Cultura", "Gràfiques Valls S.A.", 67000.0, ["impressio", "editorial"], "MD", "2026-01-15", "2026-02-01", "Adjudicado", 72),
+    ("s10", "Señalética y rotulación — Ayuntamiento de Vitoria-Gasteiz", "Ayuntamiento de Vitoria-Gasteiz", "", 35000.0, ["senyaletica"], "PV", "2026-03-05", "2026-04-30", "Desierta", 70),
+)

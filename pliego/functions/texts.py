@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .semantics import fold_accents
 
-# Character entities by name.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "Aacute": "Á", "Eacute": "É", "Iacute": "Í",
-    "Oacute": "Ó", "Uacute": "Ú", "agrave": "à", "egrave": "è", "ograve": "ò", "ntilde": "ñ", "Ntilde": "Ñ", "ccedil": "ç", "Ccedil": "Ç", "uuml": "ü", "iuml": "ï", "ordf": "ª", "ordm": "º",
-    "middot": "·", "euro": "€", "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "amp": "&",
-}
+#: The names of character references as the standard library lists them; some count without their semicolon too.
+ENTITIES = {n: v for n, v in html5.items() if n.endswith(";")}
+OPEN_ENTITIES = {n: v for n, v in html5.items() if not n.endswith(";")}
 
 
 def unescaped(c: Column) -> Column:
-    """Character references as the characters they stand for: numbers and the names of ENTITIES."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&#[xX]?[0-9a-fA-F]{1,6};)"), 1))
+    """Character references as the characters they stand for: numbers, and all names of HTML, the old ones also where a text goes on without a semicolon.
+
+    Each is replaced once: longer ones first, those that stand for an ampersand last.
+    """
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&(?:#[xX]?[0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]{1,31};?))"), 1))
     number = lambda r: F.when(F.lower(r).startswith("&#x"), F.conv(F.regexp_extract(r, "([0-9a-fA-F]+);", 1), 16, 10).cast("int")).otherwise(F.regexp_extract(r, "([0-9]+);", 1).try_cast("int"))
     sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
-    c = F.aggregate(found, c, lambda text, r: F.replace(text, r, F.coalesce(sign(number(r)), r)))
-    for name, value in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
-    return c
+    names = F.create_map(*(F.lit(x) for n, v in ENTITIES.items() for x in (f"&{n}", v)))
+    opened = F.array(*(F.struct(F.lit(-len(n)).alias("size"), F.lit(f"&{n}").alias("name"), F.lit(v).alias("v")) for n, v in OPEN_ENTITIES.items()))
+    start = lambda r: F.array_min(F.filter(opened, lambda x: F.startswith(r, x["name"])))  # noqa: E731  the longest
+    begun = lambda r: F.concat(start(r)["v"], F.substr(r, F.length(start(r)["name"]) + 1))
+    meant = F.transform(found, lambda r: F.struct(-F.length(r).alias("size"), r.alias("r"), F.coalesce(names[r], sign(number(r)), begun(r), r).alias("v")))
+    last = lambda x: F.startswith(x["v"], F.lit("&"))
+    ordered = F.array_sort(meant)
+    return F.aggregate(F.concat(F.filter(ordered, lambda x: ~last(x)), F.filter(ordered, last)), c, lambda text, x: F.replace(text, x["r"], x["v"]))
 
 
 def strip_html(c: Column) -> Column:

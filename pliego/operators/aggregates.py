@@ -92,3 +92,32 @@ def set_change(before: Column, after: Column) -> Column:
         F.when((F.size(gained) == 0) & (F.size(lost) == 0), F.when(F.size(after) == 0, "still_none").otherwise("unchanged"))
         .when(F.size(before) == 0, "newly").when(F.size(lost) == 0, "gained").when(F.size(gained) == 0, "lost").otherwise("changed")
     )
+
+
+def reclassified(rows: DataFrame, ident: str, existing: Column, proposed: Column, matched: Column, known: Sequence[str]) -> DataFrame:
+    """rows' (ident, before, after, added, matched): the sorted union of existing and proposed labels; one with an unknown label leaves the existing ones."""
+    none = F.array().cast("array<string>")
+    before = F.array_sort(F.array_distinct(F.coalesce(existing, none)))
+    union = F.array_sort(F.array_union(before, F.coalesce(proposed, none)))
+    after = F.when(F.exists(union, lambda d: ~d.isin(*known)), before).otherwise(union)
+    out = rows.select(ident, before.alias("before"), after.alias("after"), F.coalesce(matched, none).alias("matched"))
+    return out.withColumn("added", F.array_except("after", "before"))
+
+
+def reclassification_report(changes: DataFrame, known: Sequence[str]) -> DataFrame:
+    """(measure, value, before, after, n) of reclassified rows, from one aggregation.
+
+    For each label its rows before and after; for each keyword its hits (n); and as counts
+    (value null): rows, records_changed, additions, newly_classified, unclassified before and
+    after, unknown labels among the existing ones.
+    """
+    pair = lambda m, v=F.lit(None).cast("string"), b=F.lit(0), a=F.lit(0), n=F.lit(0): F.struct(F.lit(m).alias("measure"), v.alias("value"), b.cast("long").alias("before"), a.cast("long").alias("after"), n.cast("long").alias("n"))
+    one, changed = F.lit(1), F.size("added") > 0
+    bare = lambda c: F.when(F.size(c) == 0, 1).otherwise(0)
+    counts = F.array(
+        pair("records", n=one), pair("records_changed", n=changed.cast("int")), pair("additions", n=F.size("added")), pair("newly_classified", n=(changed & (F.size("before") == 0)).cast("int")), pair("unclassified", b=bare("before"), a=bare("after")),
+        pair("unknown_labels", n=F.size(F.filter("before", lambda d: ~d.isin(*known)))),
+    )
+    labels = F.concat(F.transform("before", lambda d: pair("label", d, b=F.lit(1))), F.transform("after", lambda d: pair("label", d, a=F.lit(1))), F.transform("matched", lambda k: pair("keyword", k, n=F.lit(1))))
+    flat = changes.select(F.explode(F.concat(counts, labels)).alias("p")).select("p.*")
+    return flat.groupBy("measure", "value").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum("n").alias("n"))

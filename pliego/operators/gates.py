@@ -138,7 +138,8 @@ def production_validation(records: DataFrame, meta: DataFrame, schema: str, stat
     """One row: counts of a published data set, the issues found and the verdict PASS or FAIL.
 
     records has lifecycle_category and active_opportunity_eligible (null where absent); meta
-    is one row with schema, publication_state, generation_id and dataset_sha256.
+    is one row with schema, publication_state, generation_id and dataset_sha256; without a
+    row the schema is at issue.
     """
     active, category = F.coalesce("active_opportunity_eligible", F.lit(False)), F.col("lifecycle_category")
     counts = records.agg(
@@ -152,19 +153,19 @@ def production_validation(records: DataFrame, meta: DataFrame, schema: str, stat
         ("missing_category", F.col("missing_category") > 0), ("missing_active", F.col("missing_active") > 0), ("active_with_award", F.col("active_with_award") > 0), ("active_awarded", F.col("active_awarded") > 0),
     ]
     issues = F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules)))
-    found = counts.crossJoin(F.broadcast(meta.limit(1))).withColumn("issues", issues)
+    found = counts.join(F.broadcast(meta.limit(1)), F.lit(True), "left").withColumn("issues", issues)
     return found.withColumn("verdict", F.when(F.size("issues") == 0, "PASS").otherwise("FAIL")).drop(*meta.columns)
 
 
 def shard_validation(source: DataFrame, shards: DataFrame, ident: str, year: str, years: tuple[int, ...], declared: int | None = None, needed: tuple[int, ...] = ()) -> DataFrame:
-    """One row: whether shards (ident, year, shard) hold just the records of the source, by count, by multiset of ids, and an archive without listed years."""
+    """One row: whether shards (ident, year, shard) hold just the records of the source (some at least), by count, by multiset of ids, and an archive without listed years."""
     from .aggregates import multiset_difference
 
     sizes = source.agg(F.count("*").alias("source_records")).crossJoin(shards.agg(F.count("*").alias("sharded_records"), F.count_if((F.col("shard") == "archive") & F.col(year).isin(*years)).alias("archive_in_range")))
     differ = multiset_difference(source, shards, ident).agg(F.count("*").alias("ids_changed"))
     rules = [
         ("record_count", F.col("source_records") != F.col("sharded_records")), ("ids_changed", F.col("ids_changed") > 0), ("archive_in_range", F.col("archive_in_range") > 0),
-        ("year_missing", F.lit(not set(needed) <= set(years))), ("declared_count", F.lit(declared).cast("long").isNotNull() & (F.lit(declared).cast("long") != F.col("source_records"))),
+        ("no_records", F.col("source_records") == 0), ("year_missing", F.lit(not set(needed) <= set(years))), ("declared_count", F.lit(declared).cast("long").isNotNull() & (F.lit(declared).cast("long") != F.col("source_records"))),
     ]
     found = sizes.crossJoin(differ).withColumn("issues", F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules))))
     return found.withColumn("verdict", F.when(F.size("issues") == 0, "PASS").otherwise("FAIL"))
@@ -222,3 +223,28 @@ def structure_issues(envelope: Column) -> Column:
     return F.array_compact(F.array(
         F.when(~whole, "not_an_object"), F.when(whole & ~F.coalesce(kind("$.data").startswith("ARRAY"), F.lit(False)), "no_data_list"), F.when(whole & ~F.coalesce(kind("$.meta").startswith("OBJECT"), F.lit(False)), "no_meta"),
     ))
+
+
+def input_problems(meta: DataFrame, documents: DataFrame, schema: str) -> DataFrame:
+    """(rule, n, problem): what is wrong with a manifest before its documents are read; no rows if nothing is.
+
+    meta is one row (schema, production_write_performed, has_records); documents
+    (extraction_status, text, display_role, display_label, matched_url). Without a row of meta
+    its rules fail.
+    """
+    m = meta.groupBy().agg(F.first("schema").alias("schema"), F.first("production_write_performed").alias("written"), F.first("has_records").alias("records"))
+    d = documents.agg(
+        F.count_if((F.col("extraction_status") == "extracted") & (F.coalesce("text", F.lit("")) == "")).alias("missing_text"),
+        F.count_if(~F.coalesce("display_role", F.lit("unknown")).isin("unknown") & (F.col("display_label") == "Documento pdf")).alias("generic_label"),
+        F.count_if(F.col("matched_url").isNotNull() & ~F.startswith("matched_url", F.lit("http"))).alias("invented_url"),
+    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    rule = lambda name, n, said: F.struct(F.lit(name).alias("rule"), n.cast("long").alias("n"), said.alias("problem"))
+    wrong = lambda c: F.when(F.coalesce(c, F.lit(False)), 0).otherwise(1)
+    rules = F.array(
+        rule("schema", wrong(F.col("schema") == schema), F.concat(F.lit("input schema is "), text("schema"), F.lit(f", expected {schema}"))),
+        rule("written", wrong(~F.col("written")), F.concat(F.lit("production_write_performed is "), text("written"))), rule("records", wrong(F.col("records")), F.lit("input has no list of records")),
+        rule("missing_text", F.col("missing_text"), F.concat(text("missing_text"), F.lit(" extracted document(s) have no readable text"))), rule("generic_label", F.col("generic_label"), F.lit("a classified document has the generic label")),
+        rule("invented_url", F.col("invented_url"), F.lit("a matched address is none")),
+    )
+    return m.crossJoin(d).select(F.explode(F.filter(rules, lambda x: x["n"] > 0)).alias("r")).select("r.*")  # one row each

@@ -78,6 +78,12 @@ def best_award_name(results: Column) -> Column:
     return F.when(F.size(results) > 0, F.element_at(results, F.array_position(ranks, F.array_max(ranks)).cast("int"))["winning_party_name"])
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """df with ``_deal``, which says that a row is there: 0, or for a null key a number that spreads such rows over the join's tasks."""
+    plain = [f.name for f in df.schema if isinstance(f.dataType, StringType) and f.name != key]
+    return df.withColumn("_deal", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*plain), F.lit(1009)) if plain else 0).otherwise(0).cast("int"))
+
+
 def rank_merge(previous: DataFrame, incoming: DataFrame, today: str, key: str = "ckey") -> DataFrame:
     """Full outer merge of two states; one row for each key on either side, with all columns of both.
 
@@ -88,13 +94,14 @@ def rank_merge(previous: DataFrame, incoming: DataFrame, today: str, key: str =
     and data_limit are the previous ones unless blank; the first date is the earliest and
     the last the latest. All other columns are the base's. A change of status adds a line of
     history. Both sides need the key, notice_type, estat, adjudicatari, data_pub and
-    historial, each key once; a column that one side lacks is null there.
+    historial, each key once; a column that one side lacks is null there. Rows with a null
+    key meet none: each comes out as it is, new or preserved.
     """
     previous, incoming = _with_columns_of(previous, incoming), _with_columns_of(incoming, previous)
     kinds = {f.name: f.dataType for f in previous.schema}
-    p, n = previous.alias("p"), incoming.alias("n")
-    j = p.join(n, F.col(f"p.{key}") == F.col(f"n.{key}"), "full_outer")
-    has_p, has_n = F.col(f"p.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
+    p, n = _dealt(previous, key).alias("p"), _dealt(incoming, key).alias("n")
+    j = p.join(n, (F.col(f"p.{key}") == F.col(f"n.{key}")) & (F.col("p._deal") == F.col("n._deal")), "full_outer")
+    has_p, has_n = F.col("p._deal").isNotNull(), F.col("n._deal").isNotNull()
     rank_p, rank_n = (status_rank(F.coalesce(F.col(f"{s}.notice_type"), F.lit("UNKNOWN"))) for s in "pn")
     wins, both = has_n & (~has_p | (rank_n > rank_p)), has_p & has_n
     side = lambda c: F.when(wins, F.col(f"n.{c}")).otherwise(F.col(f"p.{c}"))

@@ -146,9 +146,9 @@ def legacy_merge(previous: DataFrame, incoming: DataFrame, today: str, carried:
     """
     from .merge import change_note
 
-    j = previous.alias("p").join(incoming.alias("n"), F.col("p.id") == F.col("n.id"), "full_outer")
+    j = previous.withColumn("_here", F.lit(True)).alias("p").join(incoming.withColumn("_here", F.lit(True)).alias("n"), F.col("p.id") == F.col("n.id"), "full_outer")
     p, n = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"n.{c}"))
-    has_p, has_n = p("id").isNotNull(), n("id").isNotNull()
+    has_p, has_n = p("_here").isNotNull(), n("_here").isNotNull()
     before, now = F.coalesce(p("estat"), F.lit("Vigente")), F.coalesce(n("estat"), F.lit("Vigente"))
     awardee = F.coalesce(truthy(n("adjudicatari")), truthy(p("adjudicatari")), F.lit(""))
     line = lambda d, note: F.array(F.struct(d.alias("data"), now.alias("estat"), note.alias("nota")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import truthy
 from ..functions.texts import endpoint_family
+from .dedup import best_of
 
 LEGAL, TECHNICAL = "legaldocumentreference", "technicaldocumentreference"
 #: Fixed value: the section of a record's documents in which a role is filed.
@@ -96,3 +97,20 @@ def grouped_plan(accepted: DataFrame, record: str, position: str) -> DataFrame:
     """(record, n, documents): the documents to append to each record, in order."""
     fields = F.struct(F.col(position).alias("position"), *(c for c in accepted.columns if c not in (record, position)))
     return accepted.groupBy(record).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(fields)).alias("documents"))
+
+
+def with_record_documents(records: DataFrame, ident: str, key: str, position: str, documents: str = "documents") -> DataFrame:
+    """One record for each (id, key), null ones too: the first that has documents, else the first."""
+    return best_of(records, [ident, key], [F.coalesce(F.size(documents), F.lit(0)) > 0, -F.col(position)])
+
+
+def labelled_documents(documents: DataFrame, roles: DataFrame, records: DataFrame, position: str = "position") -> DataFrame:
+    """documents (record_id, canonical_key, doc_sha256, url) with the role of their digest and the documents that production lists for their record.
+
+    roles (doc_sha256, role, position): the last role of a digest counts. records (record_id,
+    canonical_key, position, documents). Documents without either keep nulls, and each stays one row.
+    """
+    last = roles.where(truthy(F.col("doc_sha256")).isNotNull()).groupBy("doc_sha256").agg(F.max_by("role", position).alias("role"))
+    chosen = with_record_documents(records, "record_id", "canonical_key", position).select(F.col("record_id").alias("_r"), F.col("canonical_key").alias("_k"), F.col("documents").alias("record_documents"))
+    out = documents.join(last, "doc_sha256", "left")
+    return out.join(chosen, F.col("record_id").eqNullSafe(F.col("_r")) & F.col("canonical_key").eqNullSafe(F.col("_k")), "left").drop("_r", "_k")

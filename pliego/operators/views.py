@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.notices import display_status, is_new, status_key
+from ..functions.notices import display_status, is_new, mapped, status_key
 from ..functions.semantics import any_kw, norm_ws, period_key
+from ..functions.tables import SAMPLE, TERRITORIES
+from ..sources.exports import file_manifest, verified_files
 from .records import ui_order
 
 #: Stands for rows without any discipline in a choice of disciplines.
@@ -31,6 +35,10 @@ class Filters:
     awardee: str = ""
 
 
+#: The choices that a view opens with.
+INITIAL = Filters(active_only=True)
+
+
 def _text(c: str) -> Column:
     return F.lower(F.coalesce(F.col(c), F.lit("")))
 
@@ -149,18 +157,26 @@ def with_states(rows: DataFrame, ident: str = "id") -> DataFrame:
     return rows.join(rows.groupBy(ident).agg(F.count("*").alias("states")), ident, "left")
 
 
-def tiers(spark: SparkSession, path: str, priority: dict[int, Sequence[str]], whole: str, form: str = "parquet"):
+def tiers(spark: SparkSession, path: str, priority: dict[int, Sequence[str]], whole: str, form: str = "parquet", manifest: DataFrame | None = None):
     """The shards of one priority after another, each as a DataFrame read from its folders alone.
 
-    If a shard cannot be read, the whole data set at ``whole`` is the one and only tier.
+    If a shard is missing or has damaged files, the whole data set at ``whole`` is the one and
+    only tier. Damage shows in listing and footers, or, with a ``manifest`` (file_manifest of
+    what was written), in any byte: then all files are read once and compared before any
+    tier is given out.
     """
     found = []
     try:
         for level in sorted(priority):
             found.append(spark.read.format(form).option("basePath", path).load([f"{path}/shard={s}" for s in priority[level]]))
-    except Exception:  # whatever is missing or broken: fall back to the whole
-        found = [spark.read.format(form).load(whole)]
-    yield from found
+        sound = manifest is None or not verified_files(file_manifest(spark, path, "shard"), manifest).where("state <> 'ok'").take(1)
+    except PySparkException as e:
+        if e.getCondition() == "DATA_SOURCE_NOT_FOUND":
+            raise
+        sound = False
+    except Py4JJavaError:
+        sound = False
+    yield from found if sound else [spark.read.format(form).load(whole)]
 
 
 def text_filter(rows: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
@@ -173,3 +189,12 @@ def text_filter(rows: DataFrame, query: str, columns: Sequence[str]) -> DataFram
 
 def keyword_filter(rows: DataFrame, text: Column, keywords: Sequence[str]) -> DataFrame:
     return rows.where(any_kw(norm_ws(text), list(keywords)))
+
+
+def or_sample(spark: SparkSession, read: Callable[[], DataFrame], today: str) -> tuple[DataFrame, bool]:
+    """What read gives, or the sample notices if it cannot be read; and whether it is the sample. A notice without a date was published today."""
+    try:
+        return read(), False
+    except PySparkException:
+        rows = spark.createDataFrame([(*r[:7], r[7] or today, *r[8:]) for r in SAMPLE], "id string, titol string, organisme string, adjudicatari string, pressupost double, disciplines array<string>, ccaa string, data_pub string, data_limit string, estat string, rellevancia int")
+        return rows.withColumn("lloc", mapped(TERRITORIES, F.col("ccaa"))), True

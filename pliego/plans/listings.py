@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import editions as D
+from ..operators import selection as Sel
 from ..sources.exports import export_lines
 from ..sources.tables import load
 from .registry import query
@@ -42,3 +43,20 @@ def jury_groups(spark, sf_dir):
         F.when(segment != "BUILDING", segment).alias("category_judged"), (F.col("c_acctbal") > 9000).alias("is_chair"),
     )
     return D.jury_groups(D.jurors_found(rows, " 7 ")).select("year", "pos", "category", "group_pos", "chair")
+
+
+_PILOT = """r AS (SELECT c_custkey AS id, 'b' || (c_custkey % 17) AS organisme, n_name AS ccaa, c_acctbal > 2000 AS valid, count(o_orderkey) AS n, list(o_orderkey::VARCHAR ORDER BY o_orderkey) AS docs FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+t AS (SELECT *, CASE WHEN valid THEN 1 ELSE 2 END AS tier FROM r), u AS (SELECT *, row_number() OVER g AS turn, first_value({'n': n, 'o': organisme, 'c': ccaa, 'i': id::VARCHAR}) OVER g AS first FROM t WINDOW g AS (PARTITION BY tier, organisme, ccaa ORDER BY n, id::VARCHAR)),
+o AS (SELECT *, row_number() OVER (ORDER BY tier, turn, first, n, organisme, ccaa, id::VARCHAR) - 1 AS place, least(n, 4) AS size FROM u),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)"""
+
+
+@query(f"WITH {_PILOT} SELECT place::INT AS place, id, CASE tier WHEN 1 THEN 'deadline_valid' ELSE 'strict_temporal_fallback' END AS selection_tier, array_to_string(docs[:least(size, 1001 - before)], ',') AS documents FROM s WHERE place < 600 AND before < 1001")
+def pilot_selection(spark, sf_dir):
+    """Records for a pilot, bodies and territories in turn, at most 600 with 1001 documents; customers with their orders stand for records."""
+    orders = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")).alias("documents"))
+    rows = load(spark, sf_dir, "customer").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("b"), (F.col("c_custkey") % 17).cast("string")).alias("organisme"), F.col("n_name").alias("ccaa"), (F.col("c_acctbal") > 2000).alias("valid")
+    )
+    found = Sel.pilot(rows.join(orders, "id"), "documents", F.col("valid"), 600, 1001, 4)
+    return found.select("place", "id", "selection_tier", F.array_join("documents", ",").alias("documents"))

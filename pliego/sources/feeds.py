@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -56,21 +57,38 @@ def entries(files: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, member: str = ".atom") -> DataFrame:
-    """(file, xml): the members of zip archives below a folder, named archive!member; bad archives give none."""
+    """(file, xml, reason): the members of zip archives below a folder, named archive!member.
+
+    A member that cannot be read has a null xml and a reason; an archive that is none has one
+    row of that kind under its own name. The other members stay.
+    """
     archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        members = sorted(m for m in archive.namelist() if m.endswith(member))
-                        for m in members:
-                            yield pa.RecordBatch.from_arrays([pa.array([f"{name}!{m}"]), pa.array([archive.read(m).decode("utf-8", "replace")])], ["file", "xml"])
-                except zipfile.BadZipFile:
-                    continue
+                for row in _members(name, content, member):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], ["file", "xml", "reason"])
+
+    return archives.mapInArrow(run, "file string, xml string, reason string")
 
-    return archives.mapInArrow(run, "file string, xml string")
+
+#: What reading a damaged, encrypted or oddly packed member of an archive raises.
+_DAMAGE = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError)
+
+
+def _members(name: str, content: bytes, member: str) -> Iterator[tuple[str, str | None, str | None]]:
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except _DAMAGE as e:
+        yield name, None, f"{type(e).__name__}: {e}"
+        return
+    with archive:
+        for m in sorted(m for m in archive.namelist() if m.endswith(member)):
+            try:
+                yield f"{name}!{m}", archive.read(m).decode("utf-8", "replace"), None
+            except _DAMAGE as e:
+                yield f"{name}!{m}", None, f"{type(e).__name__}: {e}"
 
 
 def _text(path: str) -> Column:
@@ -122,9 +140,23 @@ AWARDS = (
 DOCUMENTS = "array<struct<notice_id:string,notice_type:string,document_type:string,source_section:string,title:string,url:string,mime_hint:string,format_hint:string,published_at:string,provenance:string>>"
 
 
-def _named(element) -> list[tuple[str, str]]:
-    """(local name in lower case, trimmed text) of an element and all below it, in document order."""
-    return [(e.tag.rpartition("}")[2].lower(), (e.text or "").strip()) for e in element.iter() if isinstance(e.tag, str)]
+_PREFIXED = re.compile(r"(\s)[A-Za-z_][\w.-]*:([A-Za-z_][\w.-]*\s*=)")
+
+
+def _walked(text: str) -> tuple[list[tuple[str, str]], list[int]]:
+    """(local name in lower case, trimmed text) of each element in document order, and the end of the range of those at and below it.
+
+    Entries have lost their declarations, so prefixes of attributes are taken off where they keep it from being read.
+    """
+    try:
+        root = ElementTree.fromstring(text)
+    except ElementTree.ParseError:
+        root = ElementTree.fromstring(re.sub("<[^<>]*>", lambda tag: _PREFIXED.sub(r"\1\2", tag.group()), text))
+    elements = [e for e in root.iter() if isinstance(e.tag, str)]
+    sizes: dict[int, int] = {}
+    for e in reversed(elements):
+        sizes[id(e)] = 1 + sum(sizes.get(id(child), 0) for child in e)
+    return [(e.tag.rpartition("}")[2].lower(), (e.text or "").strip()) for e in elements], [i + sizes[id(e)] for i, e in enumerate(elements)]
 
 
 def _first_text(found: list[tuple[str, str]], names: tuple[str, ...], fits=bool) -> str | None:
@@ -169,7 +201,10 @@ def _document(found: list[tuple[str, str]], notice: tuple[str, str]) -> dict:
 
 def details(rows: DataFrame, issued: str | None = None) -> DataFrame:
     """(file, position, folder_id, notice_type_code, notice_type, related_contract_ids, winning_party_nif,
-    formalization_date, award_results, documents) of entries: elements at any depth, by local name.
+    formalization_date, award_results, documents, reason) of entries: elements at any depth, by local name.
+
+    One walk numbers the elements of an entry; what lies below an element is then a range. An
+    entry that is no XML has nulls and a reason.
 
     Each TenderResult gives an award and each document element a document, nested ones too;
     a field is its first value that fits. An amended contract counts before the status code.
@@ -180,27 +215,31 @@ def details(rows: DataFrame, issued: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for text, issue in zip(batch.column("entry").to_pylist(), batch.column("issued").to_pylist()):
-                root = ElementTree.fromstring(text)
-                found = _named(root)
+                try:
+                    found, ends = _walked(text)
+                except ElementTree.ParseError as e:
+                    for x, v in zip(out, (*[None] * 8, str(e))):
+                        x.append(v)
+                    continue
                 code = (_first_text(found, ("contractfolderstatuscode",)) or "").upper()
                 kind = "CONTRACT_MODIFICATION" if any(n == "contractmodification" for n, _ in found) else NOTICE_TYPE_BY_CODE.get(code, "UNKNOWN")
                 notice, formalized = (next((v for n, v in found if n == "id"), ""), kind), _formalized(found, code, issue or "")
-                under = lambda *names: [x for e in root.iter() if isinstance(e.tag, str) and (x := _named(e))[0][0] in names]
+                under = lambda *names: [found[i : ends[i]] for i, (n, _) in enumerate(found) if n in names]
                 nif = next((v for p in under("winningparty") for n, v in p if n == "companyid" and _NIF.match(v)), "")
                 row = (
                     next((v for n, v in found if n == "contractfolderid"), ""), next((v for n, v in found if n == "noticetypecode"), ""), kind,
                     list(dict.fromkeys(v for n, v in found if n in ("contractid", "contractidentifier") and v)), nif, formalized,
-                    [_award(x, notice, formalized) for x in under("tenderresult")], [_document(x, notice) for x in under(*DOCUMENT_TAGS)],
+                    [_award(x, notice, formalized) for x in under("tenderresult")], [_document(x, notice) for x in under(*DOCUMENT_TAGS)], None,
                 )
                 for x, v in zip(out, row):
                     x.append(v)
-            kinds = [*types, pa.list_(_AWARD_TYPE), pa.list_(_DOCUMENT_TYPE)]
+            kinds = [*types, pa.list_(_AWARD_TYPE), pa.list_(_DOCUMENT_TYPE), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("position"), *(pa.array(x, t) for x, t in zip(out, kinds))], _DETAILS)
 
     given = rows.select("file", "position", "entry", (F.col(issued) if issued else F.lit(None)).cast("string").alias("issued"))
-    return given.mapInArrow(run, f"file string, position int, folder_id string, notice_type_code string, notice_type string, related_contract_ids array<string>, winning_party_nif string, formalization_date string, award_results {AWARDS}, documents {DOCUMENTS}")
+    return given.mapInArrow(run, f"file string, position int, folder_id string, notice_type_code string, notice_type string, related_contract_ids array<string>, winning_party_nif string, formalization_date string, award_results {AWARDS}, documents {DOCUMENTS}, reason string")
 
 
 def _struct_type(kind: str) -> pa.DataType:
@@ -209,4 +248,4 @@ def _struct_type(kind: str) -> pa.DataType:
 
 
 _AWARD_TYPE, _DOCUMENT_TYPE = _struct_type(AWARDS), _struct_type(DOCUMENTS)
-_DETAILS = ["file", "position", "folder_id", "notice_type_code", "notice_type", "related_contract_ids", "winning_party_nif", "formalization_date", "award_results", "documents"]
+_DETAILS = ["file", "position", "folder_id", "notice_type_code", "notice_type", "related_contract_ids", "winning_party_nif", "formalization_date", "award_results", "documents", "reason"]

@@ -157,3 +157,89 @@ def test_resolution_blocks_what_the_rules_block(spark):
     got = [r["r"] for r in df.select(E.resolution(*(F.col(c) for c in "usmdgck")).alias("r")).collect()]
     assert got[0]["is_pdf"] and got[0]["blockers"] == [] and got[0]["merge_ready"] and got[2]["filename"] == "pléc.docx" and got[2]["merge_ready"]
     assert got[1]["blockers"] == ["not_resolved", "not_document", "html_page", "no_candidate_id", "no_canonical_key"] and got[3]["blockers"] == ["not_resolved", "not_document", "no_final_url"]
+
+
+def test_rows_without_a_key_keep_their_fields(spark):
+    row = lambda key, title: spark.createDataFrame([(key, "PUB", "Vigente", "", "2024-01-01", [], title)], "ckey string, notice_type string, estat string, adjudicatari string, data_pub string, historial array<struct<data:string,estat:string,nota:string>>, titol string")
+    merged = M.rank_merge(row(None, "old"), row(None, "new").unionByName(row("k", "keyed")), "2024-04-01").collect()
+    assert sorted((r["titol"], r["ckey"] or "", r["outcome"]) for r in merged) == [("keyed", "k", "new"), ("new", "", "new"), ("old", "", "preserved")]
+    assert all(r["data_pub"] == "2024-01-01" and r["notice_type"] == "PUB" for r in merged)
+
+
+def test_legacy_rows_without_an_id_keep_their_fields(spark):
+    from pliego.operators.records import legacy_merge
+
+    ddl = "id string, estat string, adjudicatari string, data_pub string, historial array<struct<data:string,estat:string,nota:string>>, titol string"
+    merged = legacy_merge(spark.createDataFrame([(None, "Vigente", "", "d", [], "old")], ddl), spark.createDataFrame([(None, "Vigente", "", "d", [], "new")], ddl), "2024-04-01", ["titol"]).collect()
+    assert sorted((r["titol"], r["outcome"]) for r in merged) == [("new", "new"), ("old", "preserved")]
+
+
+def test_a_data_set_without_meta_fails(spark):
+    from pliego.operators import gates as G
+
+    records = spark.createDataFrame([("CLEAR_OPEN", True)], "lifecycle_category string, active_opportunity_eligible boolean")
+    meta = spark.createDataFrame([], "schema string, publication_state string, generation_id string, dataset_sha256 string")
+    found = G.production_validation(records, meta, "s/1", "published").collect()
+    assert [(r["verdict"], r["issues"], r["records"]) for r in found] == [("FAIL", ["schema"], 1)]
+    none = spark.createDataFrame([], "id int, y int, shard string")
+    assert G.shard_validation(none, none, "id", "y", (2024,)).first()["issues"] == ["no_records"]
+
+
+def test_damaged_entries_and_members_cost_nothing_else(spark, tmp_path):
+    import io
+    import zipfile
+
+    rows = spark.createDataFrame([("f", 0, '<entry><id xsi:type="a">1</id><TenderResult><ResultCode>8</ResultCode></TenderResult></entry>'), ("f", 1, "<entry><id>2</entry>"), ("f", 2, None)], "file string, position int, entry string").where("entry is not null")
+    got = {r["position"]: r for r in feeds.details(rows).collect()}
+    assert got[0]["award_results"][0]["result_code"] == "8" and got[0]["award_results"][0]["notice_id"] == "1" and got[0]["reason"] is None
+    assert got[1]["award_results"] is None and "mismatched" in got[1]["reason"]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in "abc":
+            z.writestr(f"{name}.atom", f"<feed><entry><id>{name}</id></entry></feed>" + "x" * 300 * (name == "b"))
+    data = bytearray(buffer.getvalue())
+    at = data.find(b"b.atom") + 6
+    data[at : at + 12] = b"\xff" * 12
+    (tmp_path / "z.zip").write_bytes(bytes(data))
+    (tmp_path / "no.zip").write_bytes(b"nothing")
+    found = {r["file"].rsplit("/", 1)[1]: r for r in feeds.read_archives(spark, str(tmp_path)).collect()}
+    assert sorted(found) == ["no.zip", "z.zip!a.atom", "z.zip!b.atom", "z.zip!c.atom"]
+    assert found["z.zip!b.atom"]["xml"] is None and found["z.zip!b.atom"]["reason"] and found["no.zip"]["reason"] and found["z.zip!c.atom"]["reason"] is None
+    assert sorted(r["id"] for r in feeds.parsed(feeds.entries(feeds.read_archives(spark, str(tmp_path)))).collect()) == ["a", "c"]
+
+
+def test_nested_elements_are_found_once_each(spark):
+    xml = "<entry><id>1</id><TenderResult><ResultCode>8</ResultCode><TenderResult><ResultCode>9</ResultCode><!-- x --></TenderResult></TenderResult><ResultCode>7</ResultCode></entry>"
+    r = feeds.details(spark.createDataFrame([("f", 0, xml)], "file string, position int, entry string")).first()
+    assert [a["result_code"] for a in r["award_results"]] == ["8", "9"]
+
+
+def test_damaged_shards_give_way_to_the_whole(spark, tmp_path):
+    from pliego.operators import views as V
+    from pliego.sources.exports import file_manifest
+
+    rows = spark.range(3000).selectExpr("id", "uuid() AS t", "id % 2 AS shard")
+    rows.write.partitionBy("shard").parquet(str(tmp_path / "s"))
+    rows.write.parquet(str(tmp_path / "whole"))
+    manifest = file_manifest(spark, str(tmp_path / "s"), "shard")
+    manifest = spark.createDataFrame(manifest.collect(), manifest.schema)
+    levels = {1: ["0"], 2: ["1"]}
+    assert [t.count() for t in V.tiers(spark, str(tmp_path / "s"), levels, str(tmp_path / "whole"), manifest=manifest)] == [1500, 1500]
+    part = next((tmp_path / "s" / "shard=1").glob("part-*"))
+    data = bytearray(part.read_bytes())
+    data[100:400] = bytes(300)
+    part.write_bytes(bytes(data))
+    for crc in (tmp_path / "s" / "shard=1").glob(".*.crc"):
+        crc.unlink()
+    assert [t.count() for t in V.tiers(spark, str(tmp_path / "s"), levels, str(tmp_path / "whole"), manifest=manifest)] == [3000]
+    with pytest.raises(Exception, match="(?i)data.?source"):
+        list(V.tiers(spark, str(tmp_path / "s"), levels, str(tmp_path / "whole"), form="no_such_format"))
+
+
+def test_all_names_of_characters(spark):
+    import html
+
+    from pliego.functions.texts import unescaped
+
+    for text in ("a &times; b &deg; &copy;", "&amp;lt; &lt; &#38;gt; &gt;", "&notaname; &AMP;", "&NotEqualTilde;&eacute;&#x20AC;&#8364;", "&copy 2020 &copyx &notin; &not &ampamp;", "no references"):
+        assert spark.range(1).select(unescaped(F.lit(text))).first()[0] == html.unescape(text), text
