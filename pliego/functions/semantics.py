@@ -53,8 +53,11 @@ def upper_median(name: str) -> Column:
 
 
 def norm_ws(c: Column) -> Column:
-    """Unicode white space collapsed and trimmed, lower case; null gives ''."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")))
+    """Unicode white space collapsed and trimmed, lower case; null gives ''.
+
+    Only runs and signs other than a plain space are replaced: single spaces, nearly all, stay untouched.
+    """
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)(?: \s|[\s&&[^ ]])\s*", " ")))
 
 
 def kw_in(text: Column, keyword: str) -> Column:

@@ -30,9 +30,9 @@ _NORM = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 p AS (SELECT doc_id, CASE WHEN len(a) > 0 THEN 15 ELSE 0 END + least((len(a) - 1) * 5, 15) + 6 * len(s) + 2 * len(list_filter(m, lambda x: NOT list_contains(list_concat(a[1:1], s), x))) AS p FROM c)
 SELECT doc_id, greatest(0, least(100, p))::INT AS score FROM p""")
 def text_score(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents")
-    title = F.left(norm_ws(F.col("text")), F.lit(80))
-    return rows.select("doc_id", N.score(title, F.col("text"), F.lit(None).cast("array<string>"), STRONG, MEDIUM, TITLE).alias("score"))
+    """The score of each text, whose beginning stands for its title; white space is collapsed once."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", norm_ws(F.col("text")).alias("t"))
+    return rows.select("doc_id", N.score(F.left("t", F.lit(80)), F.col("t"), F.lit(None).cast("array<string>"), STRONG, MEDIUM, TITLE, normal=True).alias("score"))
 
 
 def _kw_sql(k: str) -> str:

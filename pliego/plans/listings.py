@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import editions as D
 from ..operators import selection as Sel
+from ..operators import signals as Sig
 from ..sources.exports import export_lines
 from ..sources.tables import load
 from .registry import query
@@ -60,3 +61,71 @@ def pilot_selection(spark, sf_dir):
     )
     found = Sel.pilot(rows.join(orders, "id"), "documents", F.col("valid"), 600, 1001, 4)
     return found.select("place", "id", "selection_tier", F.array_join("documents", ",").alias("documents"))
+
+
+_SELECTION = """m AS (SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_custkey % 13 <> 0) AS wd, count(*) FILTER (c_custkey % 4 <> 0) AS wo, count(DISTINCT c_mktsegment) + c_nationkey % 3 AS disc, count(*) FILTER (c_acctbal > 5000) AS wb, count(*) FILTER (c_mktsegment = 'BUILDING') AS un,
+    count(*) FILTER (c_custkey % 2 = 0) AS wx, count(*) FILTER (c_nationkey % 5 <> 0 OR c_custkey % 3 = 0) AS wt, count(*) FILTER (c_nationkey = 7) AS es, count(*) FILTER (c_acctbal > 9000 AND c_nationkey < 20) AS wa FROM customer GROUP BY 1),
+p AS (SELECT *, floor(wd / n * 100 + 0.5) AS pd, floor(wo / n * 100 + 0.5) AS po, floor(wb / n * 100 + 0.5) AS pb, floor(un / n * 100 + 0.5) AS pu, floor(wx / n * 100 + 0.5) AS px, floor((n - wt) / n * 100 + 0.5) AS pt, floor((n - wb) / n * 100 + 0.5) AS pn FROM m)"""
+_PCT = lambda c, n="n": f"CASE WHEN {c} = 0 THEN '0%' WHEN floor({c} / {n} * 100 + 0.5) = 0 THEN '<1%' ELSE floor({c} / {n} * 100 + 0.5)::INT || '%' END"
+_NUM = lambda c: f"CASE WHEN {c} < 10000 THEN ({c})::VARCHAR ELSE replace(format('{{:,}}', ({c})::BIGINT), ',', '.') END"
+
+
+def _signal(condition: str, label: str, reason: str) -> str:
+    return f"CASE WHEN {condition} THEN '{label}: ' || {reason} END"
+
+
+def _joined(*signals: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(signals)}], lambda x: x IS NOT NULL), ' | ')"
+
+
+def _spoken(column):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(": ", x["label"], x["reason"])), " | ")
+
+
+_OF = lambda c, end: f"{_NUM(c)} || ' de ' || {_NUM('n')} || ' registros (' || {_PCT(c)} || '){end}'"
+
+
+@query(f"""WITH {_SELECTION} SELECT c_nationkey,
+  {_joined(_signal("pd >= 90", "Alta cobertura de fecha de publicación", _OF("wd", " informan fecha.")), _signal("po >= 90", "Alta cobertura de organismo", _OF("wo", " informan organismo.")), _signal("disc >= 6", "Amplitud de disciplinas", "disc || ' disciplinas presentes en la selección.'"), _signal("pb >= 50", "Presupuesto base informado con frecuencia", _OF("wb", " con presupuesto base.")))} AS positive,
+  {_joined(_signal("pu >= 25", "Alta proporción sin disciplina", f"{_NUM('un')} || ' registros (' || {_PCT('un')} || ') aún sin clasificar · calidad de datos.'"), _signal("px < 50", "Cobertura documental baja", "'Solo ' || " + _OF("wx", " tienen documentos enlazados.")),
+           _signal("pt >= 20", "Registros sin territorio", f"{_NUM('(n - wt)')} || ' registros (' || {_PCT('(n - wt)')} || ') no informan territorio.'"), _signal("pn >= 50", "Mayoría sin presupuesto informado", _OF("(n - wb)", " sin presupuesto base.")))} AS negative,
+  {_joined(_signal("es > 0", "Concentración estatal (ES)", f"'El ámbito estatal supone el ' || {_PCT('es')} || ' de la selección y no equivale a un territorio local.'"), _signal("true", "Cobertura 2024–actual", "'El dataset no es un censo completo del mercado.'"),
+           _signal("wb > 0", "Presupuesto base orientativo", "'No es el importe de adjudicación ni equivale al valor de mercado.'"), _signal("wx > 0", "Documentos enlazados", "'Enlazados desde el expediente, no leídos ni analizados.'"),
+           _signal("wa > 0", "Adjudicataria informada", "'Campo informado en el expediente; no acredita la adjudicación real ni sus importes.'"))} AS caution FROM p""")
+def selection_signals(spark, sf_dir):
+    """What the coverage of a selection says for it, against it and with caution; nations stand for selections."""
+    key, balance, nation = F.col("c_custkey"), F.col("c_acctbal"), F.col("c_nationkey")
+    m = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+        F.count("*").alias("total"), F.count_if(key % 13 != 0).alias("with_date"), F.count_if(key % 4 != 0).alias("with_org"), F.count_distinct("c_mktsegment").alias("disciplines"), F.count_if(balance > 5000).alias("with_budget"),
+        F.count_if(F.col("c_mktsegment") == "BUILDING").alias("unclassified"), F.count_if(key % 2 == 0).alias("with_documents"), F.count_if((nation % 5 != 0) | (key % 3 == 0)).alias("with_territory"), F.count_if(nation == 7).alias("national"), F.count_if((balance > 9000) & (nation < 20)).alias("with_awardee"),
+    ).withColumn("disciplines", F.col("disciplines") + nation % 3)
+    found = m.select("c_nationkey", Sig.structural(F.struct(*m.columns)).alias("s"))
+    return found.select("c_nationkey", *(_spoken(F.col(f"s.{c}")).alias(c) for c in ("positive", "negative", "caution")))
+
+
+_PERIODS = """m AS (SELECT c_nationkey, year(o_orderdate) AS y, count(*) AS n, count(*) FILTER (o_totalprice > 150000) AS b, count(*) FILTER (o_orderkey % 3 = 0) AS d, count(DISTINCT o_orderpriority) AS k, count(*) FILTER (o_orderpriority = '5-LOW') AS u, count(*) FILTER (o_orderstatus = 'P') AS v,
+    count(*) FILTER (c_nationkey = 3) AS e FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+q AS (SELECT a.*, p.n AS pn, p.b AS pb, p.d AS pd, p.k AS pk, p.u AS pu, p.v AS pv, p.n IS NOT NULL AS has, a.y = 1998 AS running FROM m a LEFT JOIN m p ON p.c_nationkey = a.c_nationkey AND p.y = a.y - 1),
+r AS (SELECT *, has AND NOT (n > 0 AND n < 10) AND y < 1999 AS cmp, floor(d / n * 100 + 0.5)::INT AS dd, floor(pd / pn * 100 + 0.5)::INT AS pdd, floor(u / n * 100 + 0.5)::INT AS uu, floor(pu / pn * 100 + 0.5)::INT AS puu, floor(v / n * 100 + 0.5)::INT AS vv, floor(pv / pn * 100 + 0.5)::INT AS pvv FROM q)"""
+_VS = lambda a, b, unit="": f"{a} || '{unit} vs ' || {b} || '{unit}'"
+
+
+@query(f"""WITH {_PERIODS} SELECT c_nationkey, y::INT AS year,
+  {_joined(_signal("cmp AND n > pn", "Más actividad que el periodo anterior", "'+' || (n - pn) || ' vs ' || (y - 1) || ' (' || pn || ')'"), _signal("cmp AND b > pb", "Más registros con presupuesto", _VS("b", "pb")), _signal("cmp AND dd > pdd", "Mayor cobertura documental", _VS("dd", "pdd", "%")), _signal("cmp AND k > pk", "Más disciplinas presentes", _VS("k", "pk")))} AS positive,
+  {_joined(_signal("cmp AND n < pn", "Menos actividad que el periodo anterior", "(n - pn) || ' vs ' || (y - 1) || ' (' || pn || ')'"), _signal("cmp AND b < pb", "Menos registros con presupuesto", _VS("b", "pb")), _signal("cmp AND dd < pdd", "Menor cobertura documental", _VS("dd", "pdd", "%")), _signal("cmp AND k < pk", "Menos disciplinas presentes", _VS("k", "pk")),
+           _signal("cmp AND u > 0 AND uu > puu", "Más registros sin disciplina", _VS("uu", "puu", "%") + " || ' · calidad de datos'"), _signal("cmp AND v >= 3 AND vv > pvv", "Mayor proporción de desiertas", _VS("vv", "pvv", "%")))} AS negative,
+  {_joined(_signal("n < 10", "Periodo de bajo volumen", "'Solo ' || n || ' registros: evita conclusiones fuertes.'"), _signal("running", "Periodo en curso", "'Cifras parciales; la comparación con periodos cerrados es orientativa.'"), _signal("NOT has AND y < 1999", "Sin periodo anterior comparable", "'No hay cuatrimestre previo en la cobertura para comparar.'"),
+           _signal("e > 0", "Concentración estatal (ES)", "'El ámbito estatal supone el ' || floor(e / n * 100 + 0.5)::INT || '% y puede distorsionar la lectura territorial.'"), _signal("true", "Cobertura 2024–actual", "'El dataset no es un censo completo del mercado.'"),
+           _signal("b > 0", "Presupuesto orientativo", "'El presupuesto base no equivale al valor de mercado.'"), _signal("true", "Documentos enlazados", "'Los documentos están enlazados, no leídos ni analizados.'"))} AS caution FROM r""")
+def period_messages(spark, sf_dir):
+    """What a period says against the one before; the years of a nation's orders stand for periods."""
+    orders = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    m = orders.groupBy("c_nationkey", F.year("o_orderdate").alias("year")).agg(
+        F.count("*").alias("total"), F.count_if(F.col("o_totalprice") > 150000).alias("with_budget"), F.count_if(F.col("o_orderkey") % 3 == 0).alias("with_documents"), F.count_distinct("o_orderpriority").alias("disciplines"),
+        F.count_if(F.col("o_orderpriority") == "5-LOW").alias("unclassified"), F.count_if(F.col("o_orderstatus") == "P").alias("void"), F.count_if(F.col("c_nationkey") == 3).alias("national"),
+    )
+    measures = F.struct(*(c for c in m.columns if c not in ("c_nationkey", "year")))
+    before = m.select("c_nationkey", (F.col("year") + 1).alias("year"), measures.alias("before"))
+    rows = m.select("c_nationkey", "year", measures.alias("now")).join(before, ["c_nationkey", "year"], "left")
+    found = Sig.periodic(F.col("now"), F.col("before"), F.col("before").isNotNull(), F.col("year") > 1998, F.col("year") == 1998, (F.col("year") - 1).cast("string"))
+    return rows.select("c_nationkey", "year", found.alias("s")).select("c_nationkey", "year", *(_spoken(F.col(f"s.{c}")).alias(c) for c in ("positive", "negative", "caution")))

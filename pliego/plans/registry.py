@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import appendix, checks, documents, listings, orders, persistence, records, rows, summaries  # noqa: F401  registering is their effect
+    from . import appendix, checks, documents, evidence, listings, orders, persistence, records, rows, summaries  # noqa: F401  registering is their effect
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
