@@ -9,7 +9,11 @@ have a sample in common, and so its key, with a chance of about 1 - (1 - s^SAMPL
 that is 0.99997 at 0.8. The exact similarity of the shingle sets decides on each pair.
 
 Texts with equal sets are one node. The nodes of a key are first compared with one of them
-(another one for each key), then those that are not in one component yet with each other.
+(another one for each key), then those that are not in one component yet with each other; where
+that would be more than CROWD comparisons for a key, its nodes meet through their rarest
+shingles instead (prefix filtering): of two sets of the similarity, one of the rarest ninth of
+the smaller one is among the rarest fifth of the larger one, so no pair is lost, and a
+passage that a crowd of other texts shares brings none of them together.
 Before any two sets are read, their sizes and parities are compared: a set's PARITY longs
 tell of each bit whether an odd number of its shingles falls on it, so two sets differ in at
 least as many shingles as bits. No pair of the similarity is lost by that, and only texts of
@@ -24,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import NO_ID, batch_bytes, bounded, dropped, hot_join, whole_row, written
@@ -40,6 +44,8 @@ PARITY = 8
 _BITS = [f"w{i}" for i in range(PARITY)]
 #: Members of one group that one task compares with those outside the group's largest component.
 DEALT = 5000
+#: Comparisons of members that a group may take; one of more goes by rarest shingles.
+CROWD = 10**8
 
 _R = np.random.default_rng(5)
 _TIMES = _R.integers(0, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,12 +148,16 @@ def _possible(similarity: float) -> Column:
     return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (differ <= most)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets, read from the texts of rows, have at least the similarity. Written out."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(nodes: DataFrame, rows: DataFrame, sketches: DataFrame, shingle: int) -> DataFrame:
+    """(node, found): the shingle sets of nodes, read from one text of each. Written out."""
     chosen = sketches.select("node", "key", "th").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "th")).alias("k")).select("node", "k.*")
     packed = rows.mapInArrow(_packed_rows, "key long, th long, blob binary")
-    sets = written(packed.join(chosen, ["key", "th"]).dropDuplicates(["node"]).mapInArrow(_set_rows(shingle), "node long, found array<long>"))
+    return written(packed.join(chosen, ["key", "th"]).dropDuplicates(["node"]).mapInArrow(_set_rows(shingle), "node long, found array<long>"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets, read from the texts of rows, have at least the similarity. Written out."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows, sketches, shingle)
     found = lambda name: sets.select(F.col("node").alias(name), F.col("found").alias(f"{name}_found"))
     both = pairs.join(found("a"), "a").join(found("b"), "b").withColumn("n", F.size(F.array_intersect("a_found", "b_found")))
     sure = written(both.where(F.col("n") >= similarity * (F.size("a_found") + F.size("b_found") - F.col("n"))).select("a", "b"))
@@ -155,18 +165,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, shingle: i
     return sure
 
 
-def _across(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members (group, node, component) that share a group but no component.
+def _mixed(members: DataFrame) -> DataFrame:
+    """(group, top, n, pairs): groups of several components, the largest of them, their members and the comparisons with those outside it."""
+    counts = members.groupBy("group", "component").agg(F.count("*").alias("c"))
+    every = counts.groupBy("group").agg(F.max_by("component", "c").alias("top"), F.max("c").alias("most"), F.count("*").alias("parts"), F.sum("c").alias("n")).where("parts > 1")
+    return every.select("group", "top", "n", (F.col("n") * (F.col("n") - F.col("most"))).alias("pairs"))
+
+
+def _across(members: DataFrame, mixed: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (group, node, component) that share one of the mixed groups but no component.
 
     Of a group's components the largest is only compared with the others, never with itself.
     A large group's members are dealt out over several tasks, each with all members outside
     the largest component.
     """
-    counts = members.groupBy("group", "component").agg(F.count("*").alias("c"))
-    top = counts.groupBy("group").agg(F.max_by("component", "c").alias("top"), F.count("*").alias("parts"), F.sum("c").alias("n")).where("parts > 1")
-    top = top.select("group", "top", "n", F.ceil(F.col("n") / DEALT).alias("deals"))
-    mixed = hot_join(members, top, ["group"], members.count())
-    own = mixed.select("group", F.col("node").alias("a"), F.col("component").alias("a_component"), "top", "deals").join(_side(marks, "a"), "a")
+    top = mixed.select("group", "top", "n", F.ceil(F.col("n") / DEALT).alias("deals"))
+    own = hot_join(members, top, ["group"], members.count()).select("group", F.col("node").alias("a"), F.col("component").alias("a_component"), "top", "deals").join(_side(marks, "a"), "a")
     few = own.where("a_component <> top").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("top", "deals")
     every = own.select("group", F.col("a").alias("b"), F.col("a_component").alias("b_component"), "top", F.pmod(F.xxhash64("a"), F.col("deals")).alias("deal"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("size", *_BITS)))
     apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("top")) | (F.col("a") < F.col("b")))
@@ -174,7 +188,30 @@ def _across(members: DataFrame, marks: DataFrame, similarity: float) -> DataFram
     return few.join(every, on & apart & _possible(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def groups(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node, size, indexed): the rarest shingles of each set, as many as a similar larger partner needs (about a fifth);
+    indexed are those that a similar partner of no smaller size needs (about a ninth). Written out."""
+    each = written(sets.select("node", F.size("found").alias("size"), F.explode("found").alias("shingle")))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n")).withColumn("rows", F.col("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("rows", "shingle"))
+    rare = hot_join(each, counts, ["shingle"], each.count()).withColumn("place", place)
+    least = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    out = written(rare.where(F.col("place") <= least(similarity)).select("shingle", "node", "size", (F.col("place") <= least(2 * similarity / (1 + similarity))).alias("indexed")))
+    dropped(each)
+    return out
+
+
+def _through_rarest(members: DataFrame, sets: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (node, component) of different components that the similarity may hold for, found by their rarest shingles."""
+    rare = _rarest(sets, similarity)
+    own = rare.join(members, "node").select("shingle", "indexed", F.col("node").alias("a"), F.col("component").alias("a_component")).join(_side(marks, "a"), "a")
+    other = own.select("shingle", F.col("a").alias("b"), F.col("a_component").alias("b_component"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("size", *_BITS)))
+    small = own.where("indexed").drop("indexed")
+    meet = (small["shingle"] == other["shingle"]) & (F.col("a_size") <= F.col("b_size")) & (F.col("a_component") != F.col("b_component"))
+    return small.join(other, meet & _possible(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def groups(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(key, th, component) for each of rows (key, th, text); th tells the texts of one key apart.
 
     component is the same for texts that can be reached from each other over pairs of at
@@ -192,14 +229,20 @@ def groups(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     first = _verified(near, rows, sketches, shingle, similarity)
     placed = written(alive.join(components(first), "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")))
     dropped(alive)
-    apart = written(_across(placed, marks, similarity).join(near, ["a", "b"], "left_anti"))
+    mixed = written(_mixed(placed))
+    pairs = _across(placed, mixed.where(F.col("pairs") <= crowd), marks, similarity)
+    crowded = mixed.where(F.col("pairs") > crowd).select("group", "n")
+    if crowded.take(1):
+        members = written(hot_join(placed, crowded, ["group"], placed.count()).select("node", "component").distinct())
+        pairs = pairs.unionByName(_through_rarest(members, _sets(members.select("node"), rows, sketches, shingle), marks, similarity)).distinct()
+    apart = written(pairs.join(near, ["a", "b"], "left_anti"))
     rest = _verified(apart, rows, sketches, shingle, similarity)
     linked = components(first.unionByName(rest))
-    dropped(placed, marks, near, apart, first, rest)
+    dropped(placed, marks, near, mixed, apart, first, rest)
     return sketches.select("key", "th", "node").join(linked, "node", "left").select("key", "th", F.coalesce("component", "node").alias("component"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """docs without near-duplicates: one row of each group stays, that with its smallest id.
 
     Texts are lower-cased in A-Z; null, empty and blank ones are alike, and a text of fewer
@@ -211,7 +254,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
     rows = bounded(docs).select(whole_row(docs.columns), key.alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = written(groups(rows.select("key", "th", "text"), shingle, similarity))
+    found = written(groups(rows.select("key", "th", "text"), shingle, similarity, crowd))
     first = found.groupBy("component").agg(F.min(F.struct("key", "th")).alias("k")).select("k.*")
     counts = found.groupBy("key", "th").agg(F.count("*").alias("n"))
     first = written(first.join(counts, ["key", "th"]))

@@ -101,3 +101,32 @@ def test_crowded_group_of_unlike_nodes_makes_few_pairs(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(3)
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == sorted(least_of_groups(texts))
+
+
+def test_crowds_meet_through_their_rarest_shingles(spark):
+    texts = edited_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    got = sorted(r["doc_id"] for r in near_copies.one_of_each(docs, crowd=0).collect())
+    assert got == sorted(least_of_groups(texts))
+
+
+def test_a_passage_that_a_crowd_shares_brings_no_pairs(spark):
+    """Texts of four fifths one passage and one fifth their own words share most keys and are similar to none but their copies."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("aeioulrstn") for _ in range(r.randint(4, 9)))
+    passage, texts = [word() for _ in range(200)], []
+    for _ in range(80):
+        own = [word() for _ in range(50)]
+        texts += [" ".join(passage + own)] + ([" ".join(passage + own[:-1] + [word()])] if r.random() < 0.3 else [])
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    assert sorted(x["doc_id"] for x in near_copies.one_of_each(docs, crowd=0).collect()) == sorted(least_of_groups(texts))
+    sets = {i: shingled(t) for i, t in enumerate(texts)}
+    numbered = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    found = spark.createDataFrame([(i, sorted(numbered[s] for s in x)) for i, x in sets.items()], "node long, found array<long>")
+    rare = [tuple(x) for x in near_copies._rarest(found, 0.8).collect()]
+    by = {}
+    for shingle, node, size, indexed in rare:
+        by.setdefault(shingle, []).append((node, size, indexed))
+    pairs = {tuple(sorted((a, b))) for held in by.values() for a, n, i in held for b, m, _ in held if i and a != b and n <= m}
+    wanted = {(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])}
+    assert wanted <= pairs and len(pairs) <= len(wanted) + 10
