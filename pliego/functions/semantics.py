@@ -161,3 +161,14 @@ def tax_id_valid(c: Column) -> Column:
     number = F.concat(number, F.substring(s, 2, 7)).try_cast("int")
     shape = s.rlike(r"^([0-9]{8}|[XYZ][0-9]{7})[A-Z]$") & ~s.rlike("^[XYZ]?0000")
     return F.coalesce(shape & (F.substring(F.lit(letters), F.pmod(number, F.lit(23)) + 1, F.lit(1)) == F.right(s, F.lit(1))), F.lit(False))
+
+
+def number_es(c: Column) -> Column:
+    """A whole number with points between thousands, from five digits on; 0 if missing."""
+    n = F.floor(F.coalesce(c, F.lit(0)) + 0.5)
+    return F.when(F.abs(n) < 10000, n.cast("string")).otherwise(F.replace(F.format_number(n, 0), F.lit(","), F.lit(".")))
+
+
+def money_full(c: Column) -> Column:
+    """A whole amount in euros, '—' if missing; the space before the sign does not break."""
+    return F.when(c.isNull(), "—").otherwise(F.concat(number_es(c), F.lit("\u00a0€")))

@@ -121,3 +121,28 @@ def reclassification_report(changes: DataFrame, known: Sequence[str]) -> DataFra
     labels = F.concat(F.transform("before", lambda d: pair("label", d, b=F.lit(1))), F.transform("after", lambda d: pair("label", d, a=F.lit(1))), F.transform("matched", lambda k: pair("keyword", k, n=F.lit(1))))
     flat = changes.select(F.explode(F.concat(counts, labels)).alias("p")).select("p.*")
     return flat.groupBy("measure", "value").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum("n").alias("n"))
+
+
+def script_identities(records: DataFrame, text: str, position: str) -> DataFrame:
+    """(identities, unsupported): how many keys a script's map would have over JSON records, by id, else by url, else by place.
+
+    Numbers are one namespace (1 is 1.0), booleans and texts others; '', 0, false and null count
+    as missing; the key of a place is a text, which a record's own id may equal. A list or an
+    object as a key, or a record that is no object, is unsupported and must stop a caller.
+    """
+    whole = F.try_parse_json(F.col(text))
+    get = lambda p: F.try_variant_get(whole, p, "variant")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+    def key(path: str) -> Column:
+        k, as_ = kind(get(path)), (lambda t: F.try_variant_get(whole, path, t))
+        number = ~k.rlike("^(STRING|BOOLEAN|VOID|ARRAY|OBJECT)")
+        return (
+            F.when(k.rlike("^(ARRAY|OBJECT)"), "unsupported").when(k == "STRING", F.when(as_("string") != "", F.concat(F.lit("str:"), as_("string")))).when(k == "BOOLEAN", F.when(as_("boolean"), "bool:true"))
+            .when(number, F.when(as_("double") != 0, F.concat(F.lit("num:"), as_("double").cast("string"))))
+        )
+
+    place = F.concat(F.lit("str:__idx__"), F.col(position).cast("string"))
+    found = F.when(kind(whole).startswith("OBJECT"), F.coalesce(key("$.id"), key("$.url"), place)).otherwise("unsupported")
+    keys = records.select(found.alias("key")).groupBy("key").count()
+    return keys.agg(F.count_if(F.col("key") != "unsupported").alias("identities"), F.coalesce(F.sum(F.when(F.col("key") == "unsupported", F.col("count"))), F.lit(0)).alias("unsupported"))

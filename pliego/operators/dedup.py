@@ -80,3 +80,12 @@ def error_streaks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], e
 def stratified(df: DataFrame, stratum: str, order: Sequence[Column], each: int = 1) -> DataFrame:
     """The first rows of each stratum."""
     return top_n(df, [stratum], order, each)
+
+
+def spread(df: DataFrame, stratum: str, strata: Sequence[str], position: str, n: int = 5) -> DataFrame:
+    """n rows: the first one of each stratum, in the order of ``strata``, then others by position. Each stratum needs its first n rows at most."""
+    few = top_n(df, [stratum], [F.col(position)], n)
+    first = F.row_number().over(Window.partitionBy(stratum).orderBy(position)) == 1
+    at = F.array_position(F.array(*map(F.lit, strata)), F.col(stratum))
+    ranked = few.withColumn("_first", F.when(first & (at > 0), at))
+    return ranked.orderBy(F.col("_first").asc_nulls_last(), F.col(position)).limit(n).drop("_first")

@@ -94,10 +94,18 @@ def described(links: DataFrame, page_url: str | None = None) -> DataFrame:
     })
 
 
+#: Titles of links that lead about a site, in lower case.
+NAVIGATION = (
+    "cerrar", "imprimir", "volver", "siguiente", "anterior", "inicio", "atrás", "atras", "tancar", "tornar", "bienvenidos", "ongi etorri", "benvinguts", "benvidos", "welcome", "bienvenue", "home", "search", "contractor profile",
+    "companies", "información legal", "informacion legal", "suscribir alertas anuncio", "acuerdos sobre contratación c.a.e.", "acuerdos sobre contratacion c.a.e.", "plazo cerrado", "abierto / plazo de presentación",
+    "abierto / plazo de presentacion", "descargar", "descargar todos los archivos", "búsqueda de poderes adjudicadores", "busqueda de poderes adjudicadores", "acceso poderes adjudicadores",
+)
+
+
 def skip_reason(title: Column, confidence_rank: Column, min_rank: int = 0) -> Column:
     """Why a candidate is dropped, null if it is kept; the first reason counts."""
     t = F.lower(F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " ")))
-    return F.when(confidence_rank < min_rank, "below_min_confidence").when(t == "ver", "ver_title").when(t.contains("deferred modules"), "deferred_modules").when(t.isin("html", "xml", "documento html", "documento xml"), "generic_html_xml")
+    return F.when(confidence_rank < min_rank, "below_min_confidence").when(t == "ver", "ver_title").when(t.contains("deferred modules"), "deferred_modules").when(t.isin("html", "xml", "documento html", "documento xml"), "generic_html_xml").when(t.isin(*NAVIGATION), "generic_nav")
 
 
 def best_candidates(candidates: DataFrame, record: str, position: str, cap: int = 10) -> DataFrame:
@@ -214,3 +222,20 @@ def resolver_summary(rows: DataFrame, ok: Column, document: Column, error: Colum
     """Counts and ratios of a resolver run, one row."""
     c = rows.agg(F.count("*").alias("total"), F.count_if(ok).alias("resolved"), F.count_if(document).alias("documents"), F.count_if(error).alias("errors"))
     return c.select("*", *(ratio(F.col(x), F.col("total")).alias(f"{x}_ratio") for x in ("resolved", "documents", "errors")))
+
+
+def with_skips(candidates: DataFrame, record: str, min_rank: int = 0) -> DataFrame:
+    """candidates (text, confidence, extension, family, ...) with ``skipped``: why each is dropped, null if it is kept.
+
+    After the rules on titles, those that are left are looked at by family: where one is a
+    PDF, variants in HTML or XML give way to it.
+    """
+    from ..functions.notices import mapped
+
+    rows = candidates.withColumn("skipped", skip_reason(F.col("text"), mapped(CONFIDENCE, F.col("confidence"), 0), min_rank))
+    title = F.lower(F.coalesce("text", F.lit("")))
+    left = F.col("skipped").isNull() & F.col("family").isNotNull()
+    pdf = left & ((F.col("extension") == "pdf") | title.contains("pdf"))
+    variant = left & F.coalesce("extension", F.lit("")).isin("", "gateway") & title.rlike("html|xml") & ~title.contains("pdf")
+    has = F.max(F.coalesce(pdf, F.lit(False))).over(Window.partitionBy(record, "family"))
+    return rows.withColumn("skipped", F.when(variant & has, "pdf_preferred").otherwise(F.col("skipped")))

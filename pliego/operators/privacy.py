@@ -279,3 +279,18 @@ def outcome(findings: DataFrame, rows: DataFrame, ident: str) -> DataFrame:
 def summary(findings: DataFrame) -> DataFrame:
     """(severity, rule, n)."""
     return findings.groupBy("severity", "rule").agg(F.count("*").alias("n"))
+
+
+def collapsed(findings: DataFrame, keys: tuple[str, ...] = ("source", "surface", "severity", "rule", "pointer", "kind", "length")) -> DataFrame:
+    """Each finding once with ``n``, how often it occurs."""
+    return findings.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def report_order() -> list[Column]:
+    """By source and surface, errors before warnings, then by rule and place."""
+    return [F.col("source").asc(), F.col("surface").asc(), *finding_order()]
+
+
+def grouped_summary(findings: DataFrame) -> DataFrame:
+    """(severity, rule, source, n): bounded by rules and sources, whatever the number of findings."""
+    return findings.groupBy("severity", "rule", "source").agg(F.count("*").alias("n"))

@@ -160,3 +160,36 @@ def legacy_merge(previous: DataFrame, incoming: DataFrame, today: str, carried:
         F.coalesce(n("id"), p("id")).alias("id"), F.when(has_n, now).otherwise(p("estat")).alias("estat"), awardee.alias("adjudicatari"), F.coalesce(n("data_pub"), p("data_pub")).alias("data_pub"),
         history.alias("historial"), *fields, F.when(has_p & has_n, "updated").when(has_n, "new").otherwise("preserved").alias("outcome"),
     )
+
+
+def existing_urls(records: DataFrame, record: str = "record_id", documents: str = "documents") -> DataFrame:
+    """(record_id, url): the addresses of the documents of all rows that share an id, each once."""
+    return records.where(truthy(F.col(record)).isNotNull()).select(record, F.explode(F.col(documents)["url"]).alias("url")).where(truthy(F.col("url")).isNotNull()).distinct()
+
+
+def bridged_persistence(candidates: DataFrame, bridge: DataFrame, records: DataFrame, existing: DataFrame) -> DataFrame:
+    """persistence of candidates whose record and key come from a bridge (candidate_id, record_id, canonical_key, pos), with all fifteen reasons.
+
+    The last row of an id in the bridge counts. A candidate that passes the rules on itself
+    and is not in the bridge is "candidate_not_found"; its own canonical_key counts for the rule on keys only.
+    """
+    last = bridge.where(truthy(F.col("candidate_id")).isNotNull()).groupBy("candidate_id").agg(F.max_by(F.struct("record_id", "canonical_key"), "pos").alias("_b"))
+    rows = candidates.drop("record_id").join(last, "candidate_id", "left").withColumn("_own", F.col("canonical_key"))
+    # A candidate without a key of its own must keep failing for it; the join goes by the bridge's key.
+    key = F.when(truthy(F.col("_own")).isNull(), F.col("_own")).otherwise(F.coalesce(truthy(F.col("_b.canonical_key")), F.lit("-")))
+    found = persistence(rows.withColumns({"record_id": F.col("_b.record_id"), "canonical_key": key}), records, existing)
+    lost = (F.col("reason") == "record_id_missing") & F.col("_b").isNull()
+    return found.withColumn("reason", F.when(lost, "candidate_not_found").otherwise(F.col("reason"))).drop("_b", "_own")
+
+
+def cleaned_item(rows: DataFrame) -> DataFrame:
+    """rows (font, adjudicatari) as a view shows them: local sources by their public name, awardees without placeholders, numbered characters, tags and runs of white space."""
+    number = F.regexp_extract_all("adjudicatari", F.lit(r"&#(\d{1,6});"), F.lit(1))
+    plain = F.aggregate(F.array_distinct(number), F.col("adjudicatari"), lambda text, n: F.replace(text, F.concat(F.lit("&#"), n, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")))
+    shown = F.when(F.col("adjudicatari").rlike("(?i)detalle|adjudicaci"), "").otherwise(clean_awardee(plain))
+    return rows.withColumns({"font": clean_source(F.col("font")), "adjudicatari": F.when(F.coalesce("adjudicatari", F.lit("")) == "", F.col("adjudicatari")).otherwise(shown)})
+
+
+def master_order(position: str) -> list[Column]:
+    """The order of the published list: latest, most relevant, largest first; missing values last, ties as they came."""
+    return [F.coalesce("data_pub", F.lit("")).desc(), F.coalesce("rellevancia", F.lit(0)).desc(), F.coalesce("pressupost", F.lit(0.0)).desc(), F.col(position).asc()]

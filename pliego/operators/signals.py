@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.semantics import number_es as _count
 from ..functions.semantics import pct, pct_label
 
 _ITEM = "array<struct<label:string,reason:string>>"
@@ -14,11 +15,6 @@ def _text(*parts: Column | str | int) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def _count(c: Column) -> Column:
-    """A count with points between thousands, from five digits on."""
-    return F.when(c < 10000, c.cast("string")).otherwise(F.replace(F.format_number(c.cast("long"), 0), F.lit(","), F.lit(".")))
-
-
 def _listed(*items: tuple[Column, str, Column]) -> Column:
     """The (label, reason) of the items whose condition holds, in order."""
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(label).alias("label"), reason.alias("reason"))) for c, label, reason in items))).cast(_ITEM)

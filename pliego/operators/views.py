@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.notices import display_status, is_new, mapped, status_key
-from ..functions.semantics import any_kw, norm_ws, period_key
+from ..functions.semantics import any_kw, norm_ws, period_key, third
 from ..functions.tables import SAMPLE, TERRITORIES
 from ..sources.exports import file_manifest, verified_files
 from .records import ui_order
@@ -198,3 +198,12 @@ def or_sample(spark: SparkSession, read: Callable[[], DataFrame], today: str) ->
     except PySparkException:
         rows = spark.createDataFrame([(*r[:7], r[7] or today, *r[8:]) for r in SAMPLE], "id string, titol string, organisme string, adjudicatari string, pressupost double, disciplines array<string>, ccaa string, data_pub string, data_limit string, estat string, rellevancia int")
         return rows.withColumn("lloc", mapped(TERRITORIES, F.col("ccaa"))), True
+
+
+def statistics_rows(rows: DataFrame, year: str = "", ccaa: str = "", status: str = "", disciplines: Sequence[str] = (), period: int = 0) -> DataFrame:
+    """The rows of the statistics: by year alone, territory, stored status, any of the disciplines, and third of whatever year."""
+    tests = [(year, F.coalesce("data_pub", F.lit("")).startswith(year)), (ccaa, F.col("ccaa") == ccaa), (status, F.col("estat") == status)]
+    for chosen, test in tests:
+        rows = rows.where(test) if chosen else rows
+    rows = rows.where(any_discipline(disciplines)) if disciplines else rows
+    return rows.where(third(F.try_to_date(F.left("data_pub", F.lit(10)))) == period) if period else rows

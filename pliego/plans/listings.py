@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.semantics import number_es
+from ..operators import aggregates as A
+from ..operators import dedup as D2
 from ..operators import editions as D
+from ..operators import evidence as E
 from ..operators import selection as Sel
 from ..operators import signals as Sig
+from ..operators import views as V
 from ..sources.exports import export_lines
 from ..sources.tables import load
 from .registry import query
@@ -129,3 +134,42 @@ def period_messages(spark, sf_dir):
     rows = m.select("c_nationkey", "year", measures.alias("now")).join(before, ["c_nationkey", "year"], "left")
     found = Sig.periodic(F.col("now"), F.col("before"), F.col("before").isNotNull(), F.col("year") > 1998, F.col("year") == 1998, (F.col("year") - 1).cast("string"))
     return rows.select("c_nationkey", "year", found.alias("s")).select("c_nationkey", "year", *(_spoken(F.col(f"s.{c}")).alias(c) for c in ("positive", "negative", "caution")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 5 THEN 'below_min_confidence' WHEN l_partkey % 7 = 0 THEN 'ver_title' WHEN l_partkey % 7 = 1 THEN 'generic_nav' WHEN l_partkey % 7 = 2 THEN 'generic_html_xml'
+  WHEN l_partkey % 7 = 3 AND max(CASE WHEN l_quantity >= 5 AND l_partkey % 7 > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) = 1 THEN 'pdf_preferred' END AS skipped FROM lineitem""")
+def skipped_links(spark, sf_dir):
+    """Why links are not followed; the lines of an order stand for the variants of a document."""
+    k = F.col("l_partkey") % 7
+    rows = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.when(k == 0, " VER ").when(k == 1, "Búsqueda de  poderes adjudicadores").when(k == 2, "Documento HTML").when(k == 3, "Pliego html").otherwise("Pliego PDF").alias("text"),
+        F.when(F.col("l_quantity") < 5, "low").otherwise("high").alias("confidence"), F.when(k == 3, "").otherwise("pdf").alias("extension"), F.lit("f").alias("family"),
+    )
+    return E.with_skips(rows, "l_orderkey", 1).select("l_orderkey", "l_linenumber", "l_partkey", "skipped")
+
+
+@query("""SELECT count(DISTINCT k) FILTER (k <> 'no') AS identities, count(*) FILTER (k = 'no') AS unsupported FROM (SELECT CASE c_custkey % 6 WHEN 0 THEN 'n' || (c_custkey % 500) WHEN 1 THEN 's' || (c_custkey % 400) WHEN 2 THEN 's' || c_mktsegment WHEN 3 THEN 'i' || c_custkey WHEN 4 THEN 'b' ELSE 'no' END AS k FROM customer WHERE NOT (c_custkey % 6 = 0 AND c_custkey % 500 = 0))""")
+def script_identities(spark, sf_dir):
+    """How many keys a script's map has over JSON records of customers."""
+    k, key = F.col("c_custkey") % 6, F.col("c_custkey")
+    text = (
+        F.when(k == 0, F.concat(F.lit('{"id":'), (key % 500).cast("string"), F.when(key % 12 == 0, ".0}").otherwise("}"))).when(k == 1, F.concat(F.lit('{"id":"'), (key % 400).cast("string"), F.lit('"}')))
+        .when(k == 2, F.concat(F.lit('{"id":0,"url":"'), F.col("c_mktsegment"), F.lit('"}'))).when(k == 3, '{"id":false,"url":""}').when(k == 4, '{"id":true}').otherwise('{"id":[1]}')
+    )
+    return A.script_identities(load(spark, sf_dir, "customer").where(~((k == 0) & (key % 500 == 0))).select("c_custkey", text.alias("t")), "t", "c_custkey")
+
+
+@query("""SELECT count(*) AS n, round(sum(o_totalprice), 2) AS amount, CASE WHEN count(*) < 10000 THEN count(*)::VARCHAR ELSE replace(format('{:,}', count(*)), ',', '.') END AS shown FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) > 8 AND o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '5-LOW')""")
+def statistics_filter(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("data_pub"), F.lit("CT").alias("ccaa"), F.col("o_orderstatus").alias("estat"), F.array("o_orderpriority").alias("disciplines"), "o_totalprice",
+    )
+    found = V.statistics_rows(rows, "1996", "CT", "O", ["1-URGENT", "5-LOW"], 3)
+    return found.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"), number_es(F.count("*")).alias("shown"))
+
+
+@query("""WITH f AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), o AS (SELECT *, CASE WHEN k = 1 THEN CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 END END AS first FROM f)
+SELECT event_id, event_type FROM o ORDER BY first NULLS LAST, event_id LIMIT 5""")
+def spread_sample(spark, sf_dir):
+    """Five events: the first purchase and the first view, then others as they come."""
+    return D2.spread(load(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ["purchase", "view"], "event_id")

@@ -1,7 +1,7 @@
 """Notice feeds: Atom entries with contract data, from files, folders and zip archives.
 
-A file is tested by Spark's XML parser and cut into entries by a regular expression; fields
-come from XPath over an entry's own text, nested lists from one walk over its elements.
+A file is tested by Spark's XML parser and cut into entries by a regular expression; each entry
+is parsed once for its fields, and once for its nested lists, which come from one walk over its elements.
 """
 
 from __future__ import annotations
@@ -91,34 +91,65 @@ def _members(name: str, content: bytes, member: str) -> Iterator[tuple[str, str
                 yield f"{name}!{m}", None, f"{type(e).__name__}: {e}"
 
 
-def _text(path: str) -> Column:
-    return F.trim(F.xpath_string(F.col("entry"), F.lit(path)))
+_STATUS = "ContractFolderStatus"
+#: The elements of an entry that hold a field, by path below the entry; the first with a text counts.
+_PATHS = {
+    "winner": [f"{_STATUS}/{p}WinningParty/PartyName/Name" for p in ("", "TenderResult/", "AwardedTenderedProject/")],
+    "body": [f"{_STATUS}/{p}/Name" for p in ("LocatedContractingParty/Party/PartyName", "LocatedContractingParty/PartyName", "ContractingParty/Party/PartyName", "ContractingParty/PartyName")],
+    "day": [f"{_STATUS}/{p}EndDate" for p in ("TenderSubmissionDeadlinePeriod/", "TenderingProcess/TenderSubmissionDeadlinePeriod/", "")],
+    "id": ["id"], "title": ["title"], "updated": ["updated"],
+}
+_AMOUNTS = [f"{_STATUS}/{p}" for p in ("BudgetAmount/TaxExclusiveAmount", "BudgetAmount/TaxInclusiveAmount", "EstimatedOverallContractAmount", "LineExtensionAmount", "TaxableAmount")]
+_CODES = ("ItemClassificationCode", "ClassificationCode", "CommodityCode")
+_READ = {
+    **dict.fromkeys(_PATHS, "string"), "link": "string", "folder_id": "string", "code": "string", "awarded": "boolean", "amounts": "array<string>", "codes": "array<string>", "documents": "array<string>",
+}
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
-def _first(*paths: str) -> Column:
-    return F.coalesce(*(F.nullif(_text(p), F.lit("")) for p in paths), F.lit(""))
+def _said(element) -> str:
+    return "" if element is None else "".join(element.itertext()).strip(" ")
 
 
-_STATUS = "/entry/ContractFolderStatus"
+def _read_entry(text: str) -> dict:
+    """What ``parsed`` needs of an entry, from one parse."""
+    root = _tree(text)
+    first = lambda name: _said(next(root.iter(name), None))
+    links = [e.get("href", "") for e in root.findall("link[@rel='alternate']")][:1] + [e.get("href", "") for e in root.findall("link")][:1]
+    found = {name: next((t for p in paths if (t := _said(root.find(p)))), "") for name, paths in _PATHS.items()}
+    return found | {
+        "link": next(filter(None, links), ""), "folder_id": first("ContractFolderID"), "code": first("ContractFolderStatusCode"), "amounts": [_said(root.find(p)) for p in _AMOUNTS],
+        "awarded": any(r.find(f".//{tag}") is not None for r in root.iter("TenderResult") for tag in ("WinningParty", "AwardedTenderedProject")),
+        "codes": [e.text for e in root.iter() if e.tag in _CODES and e.text], "documents": [e.text for d in root.iter("DocumentReference") for e in d.findall("Attachment/ExternalReference/URI") if e.text],
+    }
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """entries with id, title, link, updated, folder_id, status_code, status, organisation, budget, deadline, winner, cpv, documents."""
-    amounts = [budget_range(plain_number(_text(f"{_STATUS}/{p}"))) for p in ("BudgetAmount/TaxExclusiveAmount", "BudgetAmount/TaxInclusiveAmount", "EstimatedOverallContractAmount", "LineExtensionAmount", "TaxableAmount")]
-    code = F.upper(_text("//ContractFolderStatusCode"))
-    awarded = F.xpath_boolean(F.col("entry"), F.lit("//TenderResult//WinningParty or //TenderResult//AwardedTenderedProject"))
-    winner = _first(*(f"{_STATUS}/{p}WinningParty/PartyName/Name" for p in ("", "TenderResult/", "AwardedTenderedProject/")))
-    body = _first(*(f"{_STATUS}/{p}/Name" for p in ("LocatedContractingParty/Party/PartyName", "LocatedContractingParty/PartyName", "ContractingParty/Party/PartyName", "ContractingParty/PartyName")))
-    codes = F.xpath(F.col("entry"), F.lit("//ItemClassificationCode/text() | //ClassificationCode/text() | //CommodityCode/text()"))
-    day = _first(f"{_STATUS}/TenderSubmissionDeadlinePeriod/EndDate", f"{_STATUS}/TenderingProcess/TenderSubmissionDeadlinePeriod/EndDate", f"{_STATUS}/EndDate")
-    return rows.select(
-        "file", "position", _text("/entry/id").alias("id"), _text("/entry/title").alias("title"), F.coalesce(F.nullif(F.xpath_string("entry", F.lit("/entry/link[@rel='alternate']/@href")), F.lit("")), F.xpath_string("entry", F.lit("/entry/link/@href"))).alias("link"),
-        _text("/entry/updated").alias("updated"), _text("//ContractFolderID").alias("folder_id"), code.alias("status_code"),
-        F.coalesce(mapped(STATUS_BY_CODE, code), F.when(awarded, "Adjudicado"), F.lit("")).alias("status"), F.when(F.length(body) >= 4, F.left(body, F.lit(150))).otherwise("").alias("organisation"),
-        F.greatest(*amounts).alias("budget"), F.regexp_extract(day, r"(\d{4}-\d{2}-\d{2})", 1).alias("deadline"),
+    """entries with id, title, link, updated, folder_id, status_code, status, organisation, budget, deadline, winner, cpv, documents.
+
+    Each entry is parsed once; one that is no XML has nulls.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in _READ}
+            for text in batch.column("entry").to_pylist():
+                try:
+                    found = _read_entry(text)
+                except ElementTree.ParseError:
+                    found = {}
+                for n, x in out.items():
+                    x.append(found.get(n))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("position"), *(pa.array(x, _ARROW[_READ[n]]) for n, x in out.items())], ["file", "position", *out])
+
+    read = rows.select("file", "position", "entry").mapInArrow(run, f"file string, position int, {', '.join(f'{n} {t}' for n, t in _READ.items())}")
+    code, body, winner = F.upper("code"), F.col("body"), F.col("winner")
+    return read.select(
+        "file", "position", "id", "title", "link", "updated", "folder_id", code.alias("status_code"),
+        F.coalesce(mapped(STATUS_BY_CODE, code), F.when(F.col("awarded"), "Adjudicado"), F.lit("")).alias("status"), F.when(F.length(body) >= 4, F.left(body, F.lit(150))).otherwise("").alias("organisation"),
+        F.array_max(F.transform("amounts", lambda a: budget_range(plain_number(a)))).alias("budget"), F.regexp_extract("day", r"(\d{4}-\d{2}-\d{2})", 1).alias("deadline"),
         F.when((F.length(winner) >= 3) & ~winner.rlike(r"(?i)^ES[\s\-]?\d"), F.left(winner, F.lit(120))).otherwise("").alias("winner"),
-        F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: c.rlike(r"^[1-9]\d{7}$"))).alias("cpv"),
-        F.xpath("entry", F.lit("//DocumentReference/Attachment/ExternalReference/URI/text()")).alias("documents"),
+        F.array_distinct(F.filter(F.transform("codes", lambda c: F.trim(c)), lambda c: c.rlike(r"^[1-9]\d{7}$"))).alias("cpv"), "documents",
     )
 
 
@@ -143,15 +174,17 @@ DOCUMENTS = "array<struct<notice_id:string,notice_type:string,document_type:stri
 _PREFIXED = re.compile(r"(\s)[A-Za-z_][\w.-]*:([A-Za-z_][\w.-]*\s*=)")
 
 
-def _walked(text: str) -> tuple[list[tuple[str, str]], list[int]]:
-    """(local name in lower case, trimmed text) of each element in document order, and the end of the range of those at and below it.
-
-    Entries have lost their declarations, so prefixes of attributes are taken off where they keep it from being read.
-    """
+def _tree(text: str):
+    """The elements of an entry. Its declarations are gone, so prefixes of attributes are taken off where they keep it from being read."""
     try:
-        root = ElementTree.fromstring(text)
+        return ElementTree.fromstring(text)
     except ElementTree.ParseError:
-        root = ElementTree.fromstring(re.sub("<[^<>]*>", lambda tag: _PREFIXED.sub(r"\1\2", tag.group()), text))
+        return ElementTree.fromstring(re.sub("<[^<>]*>", lambda tag: _PREFIXED.sub(r"\1\2", tag.group()), text))
+
+
+def _walked(text: str) -> tuple[list[tuple[str, str]], list[int]]:
+    """(local name in lower case, trimmed text) of each element in document order, and the end of the range of those at and below it."""
+    root = _tree(text)
     elements = [e for e in root.iter() if isinstance(e.tag, str)]
     sizes: dict[int, int] = {}
     for e in reversed(elements):

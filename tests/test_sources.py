@@ -1,6 +1,7 @@
 """Readers, writers and streams on small made-up files."""
 
 import json
+import os
 import zipfile
 
 from pyspark.sql import functions as F
@@ -79,3 +80,30 @@ def test_late_repeats_are_dropped(spark, tmp_path):
     q = seen.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["k"] for r in spark.sql("SELECT k FROM seen").collect()) == [1, 2]
+
+
+def test_a_batch_rewrites_the_parts_it_touches(spark, tmp_path):
+
+
+    kept = landing.PartedSnapshots(spark, str(tmp_path / "keep"), "k", parts=8)
+    merge = lambda old, new: old.join(new, "k", "left_anti").unionByName(new)  # noqa: E731  the new row of a key counts
+    assert kept.read() is None
+    rows = lambda *pairs: spark.createDataFrame(pairs, "k int, v string")
+    first = kept.merge(rows(*((i, "a") for i in range(40)), (None, "a")), 0, merge)
+    assert len(first) == 9 and kept.read().count() == 41
+    assert len(kept.merge(rows((3, "b"), (100, "b")), 1, merge)) <= 2 and len(os.listdir(tmp_path / "keep" / "v1")) <= 5
+    assert {r["k"]: r["v"] for r in kept.read().collect()} == {**{i: "a" for i in range(40)}, 3: "b", 100: "b", None: "a"}
+    kept.merge(rows((3, "b"), (100, "b")), 1, merge)
+    assert kept.read().count() == 42 and kept.read(1).count() == 41
+    assert kept.merge(rows(), 2, merge) == [] and kept.read().count() == 42
+
+
+def test_a_stream_over_parts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(([(1, "a"), (2, "a")], [(2, "b"), (3, "b")])):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"k": k, "v": v}) for k, v in rows))
+        os.utime(tmp_path / "in" / f"{n}.json", (1000 + n, 1000 + n))
+    kept = landing.PartedSnapshots(spark, str(tmp_path / "keep"), "k", parts=4)
+    stream = landing.landed(spark, str(tmp_path / "in"), "k int, v string", files_per_run=1)
+    landing.merged_parts(stream, kept, lambda old, new: old.join(new, "k", "left_anti").unionByName(new), str(tmp_path / "cp")).awaitTermination()
+    assert {r["k"]: r["v"] for r in kept.read().collect()} == {1: "a", 2: "b", 3: "b"}
