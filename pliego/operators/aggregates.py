@@ -146,3 +146,25 @@ def script_identities(records: DataFrame, text: str, position: str) -> DataFrame
     found = F.when(kind(whole).startswith("OBJECT"), F.coalesce(key("$.id"), key("$.url"), place)).otherwise("unsupported")
     keys = records.select(found.alias("key")).groupBy("key").count()
     return keys.agg(F.count_if(F.col("key") != "unsupported").alias("identities"), F.coalesce(F.sum(F.when(F.col("key") == "unsupported", F.col("count"))), F.lit(0)).alias("unsupported"))
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: Column, cells: int = 256) -> DataFrame:
+    """(keys, median): the exact upper median of each group, the value at floor(n / 2) from 0; groups without values have no row.
+
+    For groups of very many different values, which upper_median would hold in one counter
+    each: equal values are counted first, the cell (``cells`` for each doubling) that holds
+    the median is found from the cells' counts, and only that cell's values are put in order,
+    by a sort that can spill.
+    """
+    counts = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_cell", F.signum("_v") * F.floor(F.log2(F.abs("_v") + 1) * cells))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_cell = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n")).withColumns({"_before": before, "_at": F.floor(F.sum("_n").over(own) / 2)})
+    hit = by_cell.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n"))).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_cell").alias("_c"), (F.col("_at") - F.col("_before")).alias("_at"))
+    same = F.col("_cell") == F.col("_c")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    upto = F.sum("_n").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.join(hit, same).withColumn("_upto", upto)
+    return rows.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*keys, F.col("_v").alias("median"))

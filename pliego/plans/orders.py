@@ -326,3 +326,8 @@ def structural_signals(spark, sf_dir):
     )
     return m.select(F.explode(G.structural_signals(F.struct(*m.columns))).alias("signal"))
 
+
+@query("""SELECT l_returnflag, l_linestatus, median FROM (SELECT l_returnflag, l_linestatus, list(l_extendedprice ORDER BY l_extendedprice) AS v, v[len(v) // 2 + 1] AS median FROM lineitem GROUP BY 1, 2)""")
+def exact_medians(spark, sf_dir):
+    """The upper median of prices of a few very large groups, without holding a group's values."""
+    return A.medians(load(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"))

@@ -87,3 +87,17 @@ def test_numbers_as_they_are_written(spark):
     got = spark.createDataFrame([(v,) for v in values], "v double").select(S.number_es(F.col("v")).alias("n"), S.money_full(F.col("v")).alias("m")).collect()
     assert [r["n"] for r in got] == ["0", "999", "1234", "10.000", "12.345", "1.234.568", "-12.345", "0"]
     assert got[4]["m"] == "12.345 €" and got[7]["m"] == "—"
+
+
+@pytest.mark.parametrize("cells", [256, 1, 0.01])
+def test_medians_of_large_groups(spark, cells):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, float(r.randint(-5, 5)), r.random() * 10 ** r.randint(-3, 9), 0.0, 7.0])) for _ in range(700)] + [("one", 3.0), ("two", 1.0), ("two", 9.0), ("none", None)]
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    got = {x["k"]: x["median"] for x in A.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), cells).collect()}
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in want.items()}
+    every = sorted(v for v in (x[1] for x in rows) if v is not None)
+    assert [x["median"] for x in A.medians(spark.createDataFrame(rows, "k string, v double"), [], F.col("v"), cells).collect()] == [every[len(every) // 2]]
