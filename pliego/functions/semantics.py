@@ -172,3 +172,15 @@ def number_es(c: Column) -> Column:
 def money_full(c: Column) -> Column:
     """A whole amount in euros, '—' if missing; the space before the sign does not break."""
     return F.when(c.isNull(), "—").otherwise(F.concat(number_es(c), F.lit("\u00a0€")))
+
+
+def day_first(c: Column) -> Column:
+    """dd/mm/yyyy as yyyy-mm-dd, the digits as they are; null for any other text."""
+    shape = r"^([0-9]{2})/([0-9]{2})/([0-9]{4})$"
+    return F.when(F.trim(c).rlike(shape), F.regexp_replace(F.trim(c), shape, "$3-$2-$1"))
+
+
+def iso_day(c: Column) -> Column:
+    """The day that a text begins with as yyyy-mm-dd; null if it is no day of the calendar."""
+    start = F.left(F.trim(c), F.lit(10))
+    return F.when(start.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(start))

@@ -193,3 +193,40 @@ def cleaned_item(rows: DataFrame) -> DataFrame:
 def master_order(position: str) -> list[Column]:
     """The order of the published list: latest, most relevant, largest first; missing values last, ties as they came."""
     return [F.coalesce("data_pub", F.lit("")).desc(), F.coalesce("rellevancia", F.lit(0)).desc(), F.coalesce("pressupost", F.lit(0.0)).desc(), F.col(position).asc()]
+
+
+def resolver_candidates(candidates: DataFrame, attempted: DataFrame, position: str, limit: int, domains: Sequence[str] = (), ids: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Candidates (candidate_id, needs_resolver, extension, source_domain, position) to resolve next, and one row (considered, skipped_checkpoint, selected).
+
+    Those that need it: said so, or leading to a gateway or nothing known; of the domains (as
+    parts of names) and ids asked for, if any; not attempted before; the first ``limit`` by
+    position. The counts look at all of them.
+    """
+    needs = F.coalesce("needs_resolver", F.lit(False)) | F.coalesce(F.col("extension").isin("gateway", ""), F.lit(False))
+    domain = F.lower(F.coalesce("source_domain", F.lit("")))
+    asked = F.lit(not domains)
+    for d in domains:
+        asked = asked | domain.contains(d.lower())
+    asked = asked & (F.coalesce(F.col("candidate_id").isin(*ids), F.lit(False)) if ids else F.lit(True))
+    done = attempted.select("candidate_id", F.lit(True).alias("_done")).distinct()
+    rows = candidates.where(needs).join(done, "candidate_id", "left").withColumns({"_asked": asked, "_done": F.coalesce("_done", F.lit(False))})
+    chosen = rows.where(F.col("_asked") & ~F.col("_done"))
+    counts = rows.agg(F.count("*").alias("considered"), F.count_if(F.col("_asked") & F.col("_done")).alias("skipped_checkpoint"), F.least(F.count_if(F.col("_asked") & ~F.col("_done")), F.lit(limit)).alias("selected"))
+    return chosen.drop("_asked", "_done").orderBy(position).limit(limit), counts
+
+
+def consolidated(rows: DataFrame, ident: str, file: str, position: str) -> DataFrame:
+    """rows of several files with ``duplicate``: an earlier file, or an earlier place in the file, has the row's id. Rows without an id are none."""
+    place = F.struct(file, position)
+    first = rows.where(truthy(F.col(ident)).isNotNull()).groupBy(ident).agg(F.min(place).alias("_first"))
+    return rows.join(first, ident, "left").withColumn("duplicate", F.coalesce(place > F.col("_first"), F.lit(False))).drop("_first")
+
+
+def lifecycle_counts(records: DataFrame) -> DataFrame:
+    """One row: total, active_true, review_true, rs_count, clear_open, clear_awarded, unknown, no_lc."""
+    category = F.coalesce("lifecycle_category", F.lit(""))
+    one = lambda c: F.count_if(category == c)
+    return records.agg(
+        F.count("*").alias("total"), F.count_if(F.coalesce("active_opportunity_eligible", F.lit(False))).alias("active_true"), F.count_if(F.coalesce("lifecycle_review_required", F.lit(False))).alias("review_true"),
+        one("OPEN_WITH_AWARD_EVIDENCE").alias("rs_count"), one("CLEAR_OPEN").alias("clear_open"), one("CLEAR_AWARDED").alias("clear_awarded"), one("UNKNOWN_LIFECYCLE").alias("unknown"), one("").alias("no_lc"),
+    )

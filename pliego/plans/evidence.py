@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import texts as X
 from ..operators import evidence as E
 from ..operators import privacy as P
+from ..operators import records as R
 from ..operators import targeting as T
 from ..sources import feeds
 from ..sources.pages import links
@@ -187,3 +188,44 @@ def tree_privacy(spark, sf_dir):
         tree = F.when(k == i, one) if tree is None else tree.when(k == i, one)
     found = P.tree_findings(load(spark, sf_dir, "events").select("event_id", tree.alias("tree")), "event_id", "tree", "public-build")
     return P.summary(found.where("rule <> 'SCHEMA_UNKNOWN'"))
+
+
+@query("""WITH c AS (SELECT event_id, 'c' || (event_id % 3000) AS id, event_type AS file, event_id AS position FROM events WHERE event_id % 17 <> 0) SELECT file, count(*) AS n, count(*) FILTER (dup) AS duplicates FROM
+  (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file, position) > 1 AS dup FROM c UNION ALL SELECT event_id, NULL, event_type, event_id, false FROM events WHERE event_id % 17 = 0) GROUP BY 1""")
+def consolidated_files(spark, sf_dir):
+    """How many rows of each file an earlier file or place has already; rows without an id all count."""
+    rows = load(spark, sf_dir, "events").select(F.when(F.col("event_id") % 17 != 0, F.concat(F.lit("c"), (F.col("event_id") % 3000).cast("string"))).alias("id"), F.col("event_type").alias("file"), F.col("event_id").alias("position"))
+    return R.consolidated(rows, "id", "file", "position").groupBy("file").agg(F.count("*").alias("n"), F.count_if("duplicate").alias("duplicates"))
+
+
+_RESOLVE = """c AS (SELECT event_id, 'c' || event_id AS id, 'h' || (user_id % 9) || '.es' AS dom, event_type = 'view' OR value > 90 OR event_type = 'click' AS needs, event_id % 10 = 0 AS done FROM events)"""
+
+
+def _to_resolve(spark, sf_dir):
+    events = load(spark, sf_dir, "events")
+    ident = F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("candidate_id")
+    rows = events.select(
+        ident, (F.col("event_type") == "view").alias("needs_resolver"), F.when(F.col("value") > 90, "gateway").when(F.col("event_type") == "click", "").otherwise("pdf").alias("extension"),
+        F.concat(F.lit("H"), (F.col("user_id") % 9).cast("string"), F.lit(".es")).alias("source_domain"), F.col("event_id").alias("position"),
+    )
+    return R.resolver_candidates(rows, events.where("event_id % 10 = 0").select(ident), "position", 500, ["h1.", "h3."])
+
+
+@query(f"WITH {_RESOLVE} SELECT id AS candidate_id, event_id AS position FROM c WHERE needs AND NOT done AND (contains(dom, 'h1.') OR contains(dom, 'h3.')) ORDER BY event_id LIMIT 500")
+def resolver_batch(spark, sf_dir):
+    """The next 500 candidates to resolve: of two domains, not attempted before."""
+    return _to_resolve(spark, sf_dir)[0].select("candidate_id", "position")
+
+
+@query(f"WITH {_RESOLVE}, x AS (SELECT *, contains(dom, 'h1.') OR contains(dom, 'h3.') AS asked FROM c WHERE needs) SELECT count(*) AS considered, count(*) FILTER (asked AND done) AS skipped_checkpoint, least(count(*) FILTER (asked AND NOT done), 500) AS selected FROM x")
+def resolver_considered(spark, sf_dir):
+    return _to_resolve(spark, sf_dir)[1]
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (c_acctbal > 0) AS active_true, count(*) FILTER (c_custkey % 9 = 0) AS review_true, count(*) FILTER (c_mktsegment = 'MACHINERY') AS rs_count, count(*) FILTER (c_mktsegment = 'BUILDING') AS clear_open,
+  count(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS clear_awarded, count(*) FILTER (c_mktsegment = 'FURNITURE') AS unknown, count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS no_lc FROM customer""")
+def lifecycle_counts(spark, sf_dir):
+    names = {"MACHINERY": "OPEN_WITH_AWARD_EVIDENCE", "BUILDING": "CLEAR_OPEN", "AUTOMOBILE": "CLEAR_AWARDED", "FURNITURE": "UNKNOWN_LIFECYCLE"}
+    category = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("c_mktsegment")]
+    rows = load(spark, sf_dir, "customer").select(category.alias("lifecycle_category"), F.when(F.col("c_acctbal") > 0, True).alias("active_opportunity_eligible"), (F.col("c_custkey") % 9 == 0).alias("lifecycle_review_required"))
+    return R.lifecycle_counts(rows)

@@ -101,3 +101,23 @@ def test_medians_of_large_groups(spark, cells):
     assert got == {k: sorted(v)[len(v) // 2] for k, v in want.items()}
     every = sorted(v for v in (x[1] for x in rows) if v is not None)
     assert [x["median"] for x in A.medians(spark.createDataFrame(rows, "k string, v double"), [], F.col("v"), cells).collect()] == [every[len(every) // 2]]
+
+
+def test_candidates_to_resolve(spark):
+    rows = [(1, "a", True, "pdf", "X.es"), (2, "b", None, "gateway", "x.es"), (3, "c", None, "", None), (4, "d", False, "pdf", "x.es"), (5, "e", True, None, "y.es"), (6, None, True, "pdf", "x.es"), (7, "g", None, None, "x.es")]
+    df = spark.createDataFrame(rows, "p int, candidate_id string, needs_resolver boolean, extension string, source_domain string")
+    run = lambda **o: (lambda got: ([r["p"] for r in got[0].collect()], tuple(got[1].first())))(R.resolver_candidates(df, spark.createDataFrame([("b",), ("b",), (None,)], "candidate_id string"), "p", **o))
+    assert run(limit=9) == ([1, 3, 5, 6], (5, 1, 4)) and run(limit=2) == ([1, 3], (5, 1, 2))
+    assert run(limit=9, domains=["X"]) == ([1, 6], (5, 1, 2)) and run(limit=9, ids=["a", "b"]) == ([1], (5, 1, 1))
+
+
+def test_files_put_together(spark):
+    rows = [("f1", 0, "a"), ("f1", 1, "a"), ("f0", 0, "b"), ("f2", 0, "b"), ("f2", 1, None), ("f2", 2, None), ("f2", 3, "")]
+    got = {(r["f"], r["p"]): r["duplicate"] for r in R.consolidated(spark.createDataFrame(rows, "f string, p int, i string"), "i", "f", "p").collect()}
+    assert got == {("f1", 0): False, ("f1", 1): True, ("f0", 0): False, ("f2", 0): True, ("f2", 1): False, ("f2", 2): False, ("f2", 3): False}
+
+
+def test_days_as_they_are_written(spark):
+    texts = [" 01/02/2024 ", "31/02/2024", "1/2/2024", "2024-02-30", "2024-02-29T10:00", " 2024-12-01", "2024-1-1", None, ""]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(S.day_first(F.col("t")), S.iso_day(F.col("t")).cast("string")).collect()]
+    assert got == [("2024-02-01", None), ("2024-02-31", None), (None, None), (None, None), (None, "2024-02-29"), (None, "2024-12-01"), (None, None), (None, None), (None, None)]
