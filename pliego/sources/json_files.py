@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,18 @@ def write_envelope(df: DataFrame, path: str, meta: dict[str, str]) -> None:
     df.write.mode("overwrite").json(f"{path}/data")
     counted = df.agg(F.count("*").alias("records")).select("*", *(F.lit(v).alias(k) for k, v in meta.items()))
     counted.write.mode("overwrite").json(f"{path}/meta")
+
+
+def write_document(rows: DataFrame, path: str, meta: dict, position: str, name: str = "data") -> None:
+    """One JSON document {"meta": ..., name: [rows]} as text: its part files joined in the order of their names.
+
+    Rows are sorted by ``position``, which must be unique, over all tasks. The metadata gets
+    the number of records.
+    """
+    spark = rows.sparkSession
+    n, first = rows.agg(F.count("*"), F.min(position)).first()
+    told = json.dumps(meta | {"records": n}, ensure_ascii=False)
+    record = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    body = rows.select(F.when(F.col(position) == first, record).otherwise(F.concat(F.lit(","), record)).alias("line"), F.lit(1).alias("_part"), F.col(position).alias("_at"))
+    ends = spark.createDataFrame([(f'{{"meta":{told},{json.dumps(name)}:[', 0), ("]}", 2)], "line string, _part int").withColumn("_at", F.lit(None).cast(rows.schema[position].dataType))
+    body.unionByName(ends).orderBy("_part", "_at").select("line").write.mode("overwrite").text(path)

@@ -72,3 +72,16 @@ def test_juries(spark):
     assert D.jurors_found(juries, " ").count() == 4
     groups = {r["pos"]: (r["category"], r["group_pos"], r["chair"]) for r in D.jury_groups(juries).collect()}
     assert groups == {1: ("B", 1, True), 2: (D.NO_CATEGORY, 2, False), 3: ("B", 1, False), 4: (D.NO_CATEGORY, 4, False)}
+
+
+def test_one_document_of_many_parts(spark, tmp_path):
+    import json
+
+    from pliego.sources.json_files import write_document
+
+    for n in (0, 1, 500):
+        rows = spark.range(n).selectExpr("id", "concat('ñ\"', id) AS t", "CASE WHEN id % 2 = 0 THEN id END AS v").repartition(5)
+        write_document(rows, str(tmp_path / str(n)), {"schema": "x/1"}, "id")
+        text = "".join(p.read_text() for p in sorted((tmp_path / str(n)).glob("part-*")))
+        found = json.loads(text)
+        assert found["meta"] == {"schema": "x/1", "records": n} and found["data"] == [{"id": i, "t": f'ñ"{i}', "v": i if i % 2 == 0 else None} for i in range(n)]
