@@ -141,13 +141,17 @@ def rank_merge(previous: DataFrame, incoming: DataFrame, today: str, key: str =
             published = entry(F.coalesce(side("data_pub"), F.lit(today)), F.coalesce(side("estat"), F.lit("Vigente")), F.lit("Publicación"))
             changed = F.concat(history, entry(F.lit(today), now, change_note(F.col("n.adjudicatari"), was, now)))
             return F.when(both & wins & (now != was), changed).when((F.size(history) > 0) | both & wins | has_p & ~has_n, history).otherwise(published)
+        if c == "award_results":
+            return F.col("_awards")
         if c in LIST_KEYS:
             return unite(c)
         if c == "adjudicatari":
             return F.coalesce(truthy(filled(c)), award, F.lit(""))
         return filled(c) if c in FILLED else side(c)
 
-    award = truthy(best_award_name(unite("award_results"))) if "award_results" in kinds else F.lit(None).cast("string")
+    if "award_results" in kinds:
+        j = j.withColumn("_awards", unite("award_results"))  # once, for the list and for the winner it names
+    award = truthy(best_award_name(F.col("_awards"))) if "award_results" in kinds else F.lit(None).cast("string")
     columns = [merged(c).alias(c) for c in previous.columns if c != "winner_provenance"]
     if "award_results" in kinds:
         given = F.col("p.winner_provenance"), F.col("n.winner_provenance")

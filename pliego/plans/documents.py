@@ -70,7 +70,7 @@ def line_windows(spark, sf_dir):
     return L.windows_after(rows, "doc_id", F.lower("raw").contains("licens"), 2).select("doc_id", "line_no", F.col("window").alias("win"))
 
 
-_RULES = {k: X.PATTERNS[k] for k in ("EMAIL_VALUE", "CREDENTIAL_VALUE", "CONTACT_VALUE", "WINDOWS_ABS_PATH")}
+_RULES = X.PATTERNS
 
 
 @query("WITH f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule FROM documents WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for r, p in _RULES.items()) + ") SELECT 'ERROR' AS severity, rule, count(*) AS n FROM f GROUP BY 2")
