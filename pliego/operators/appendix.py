@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.notices import let
 from ..functions.semantics import fold_accents
 from . import appendix_tables as T
 
@@ -60,13 +61,18 @@ def _named(norm: Column, variants: Mapping[str, Sequence[str]]) -> Column:
     """The fields that a line names: the first place of a variant in it has no letter or digit on either side."""
     table = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(v).alias("variant")) for f, vs in variants.items() for v in vs))
 
-    def whole(variant: Column) -> Column:
-        at = F.position(variant, norm)
-        before, after = F.substr(norm, F.greatest(at - 1, F.lit(1)), F.lit(1)), F.substr(norm, at + F.length(variant), F.lit(1))
-        return (at > 0) & ((at == 1) | ~before.rlike(r"[\p{L}\p{N}]")) & ~after.rlike(r"[\p{L}\p{N}]")
+    def whole(line: Column, variant: Column) -> Column:
+        def alone(at: Column) -> Column:
+            before, after = F.substr(line, F.greatest(at - 1, F.lit(1)), F.lit(1)), F.substr(line, at + F.length(variant), F.lit(1))
+            return (at > 0) & ((at == 1) | ~before.rlike(r"[\p{L}\p{N}]")) & ~after.rlike(r"[\p{L}\p{N}]")
 
-    hits = F.transform(F.filter(table, lambda x: whole(x["variant"])), lambda x: x["field"])
-    return F.when(norm.rlike(_first_words(variants)), F.array_distinct(hits)).otherwise(F.array().cast("array<string>"))
+        return let(F.position(variant, line), alone)
+
+    def named(line: Column) -> Column:
+        hits = F.filter(table, lambda x: F.contains(line, x["variant"]))
+        return F.array_distinct(F.transform(F.filter(hits, lambda x: whole(line, x["variant"])), lambda x: x["field"]))
+
+    return F.when(norm.rlike(_first_words(variants)), let(norm, named)).otherwise(F.array().cast("array<string>"))
 
 
 def section_lines(docs: DataFrame, ident: str, text: str, variants: Mapping[str, Sequence[str]] = T.VARIANTS, window: int = WINDOW) -> DataFrame:
