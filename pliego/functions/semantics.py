@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import UTC, datetime
 
 from pyspark.sql import Column
@@ -60,24 +61,27 @@ def norm_ws(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)(?: \s|[\s&&[^ ]])\s*", " ")))
 
 
-def kw_in(text: Column, keyword: str) -> Column:
-    """Whether a normalised text has a keyword; short single words match as whole words."""
+def kw_in(text: Column, keyword: str, ascii_words: bool = False) -> Column:
+    """Whether a normalised text has a keyword; short single words match as whole words.
+
+    ``ascii_words`` says that only ASCII letters, digits and the underscore make words.
+    """
     k = " ".join(keyword.lower().split())
     if not k:
         return F.lit(False)
     if len(k) <= 3 and " " not in k:
-        return text.rlike(rf"(?U)\b\Q{k}\E\b")
+        return text.rlike(rf"(?<![0-9A-Za-z_])\Q{k}\E(?![0-9A-Za-z_])" if ascii_words else rf"(?U)\b\Q{k}\E\b")
     return text.contains(k)
 
 
-def any_kw(text: Column, keywords: list[str]) -> Column:
+def any_kw(text: Column, keywords: list[str], ascii_words: bool = False) -> Column:
     """Whether a normalised text has any of the keywords.
 
     Long ones are one alternation, which the regular expression engine scans once.
     """
     plain = [k for k in keywords if len(k) > 3 or " " in k]
     short = [k for k in keywords if k not in plain]
-    hits = [kw_in(text, k) for k in short]
+    hits = [kw_in(text, k, ascii_words) for k in short]
     if plain:
         hits.append(text.rlike("|".join(rf"\Q{k}\E" for k in plain)))
     out = hits[0]
@@ -123,6 +127,19 @@ def fold_accents(c: Column) -> Column:
     return F.translate(F.lower(c), "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy")
 
 
+def _bare(sign: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", sign) if not unicodedata.category(x).startswith("M"))
+
+
+#: Letters that are another letter with marks, and those letters.
+_MARKED = [(c, b) for c in map(chr, range(0xC0, 0x3000)) if len(b := _bare(c)) == 1 and b != c]
+
+
+def strip_accents(c: Column) -> Column:
+    """A text without the marks of its letters, in any script; marks of their own go too."""
+    return F.regexp_replace(F.translate(c, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)), r"\p{M}+", "")
+
+
 def money_short(c: Column) -> Column:
     """'1.5M €' from a million, '12K €' from a thousand, else the number; '—' if missing."""
     millions = F.regexp_replace(F.format_number(F.floor(c / 100_000 + 0.5) / 10, 1), r"\.0$", "")

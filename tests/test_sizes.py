@@ -1,6 +1,7 @@
 """Queries against SQL on rows that the small tables lack, and what keeps their work in proportion."""
 
 import duckdb
+import pytest
 from test_queries import rows
 
 from pliego.plans import registry
@@ -22,3 +23,9 @@ def test_counts_of_a_plan_without_targets(spark, sf_dir, tmp_path):
     people = spark.range(12 * 1200).selectExpr("id AS c_custkey", "element_at(array('BUILDING', 'MACHINERY', 'OTHER'), CAST(id DIV 1200 % 3 + 1 AS INT)) AS c_mktsegment", "5000.0D AS c_acctbal")
     people.write.parquet(f"{tmp_path}/customer.parquet")
     assert agrees(spark, tmp_path, "append_counts", ("events", "orders", "customer"))
+
+
+@pytest.mark.parametrize("text", ["x undß y", "die ıde", "中de中", "lĭcense de", "LICÉNSE", " the ", "ünd", "a_de", "dë", "theß stüpid"])
+def test_kinds_of_texts_with_other_letters(spark, tmp_path, text):
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert agrees(spark, tmp_path, "kw_classify", ("documents",))
