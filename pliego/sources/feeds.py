@@ -1,6 +1,6 @@
 """Notice feeds: Atom entries with contract data, from files, folders and zip archives.
 
-A file is tested by Spark's XML parser and cut into entries by a regular expression; each entry
+A file is tested by an XML parser and cut into entries by a regular expression; each entry
 is parsed once for its fields, and once for its nested lists, which come from one walk over its elements.
 """
 
@@ -12,9 +12,10 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.notices import mapped
@@ -33,27 +34,49 @@ def read_entry_texts(spark: SparkSession, path: str, pattern: str = "*.atom", li
     return entries(files)
 
 
-def _bare(xml: Column) -> Column:
+_PREFIX, _DECLARED, _ENTRY = re.compile(r"(</?)[A-Za-z_][\w.-]*:", re.A), re.compile(r"\sxmlns(?::\w+)?=\"[^\"]*\"", re.A), re.compile(r"<entry[\s>].*?</entry>", re.A | re.S)
+
+
+def _bare(xml: str) -> str:
     """A document without the prefixes and declarations of its name spaces."""
-    return F.regexp_replace(F.regexp_replace(xml, r"(</?)[A-Za-z_][\w.-]*:", "$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
+    return _DECLARED.sub("", _PREFIX.sub(r"\1", xml))
 
 
-def well_formed(xml: Column) -> Column:
-    """Whether a text is a whole XML document, its name spaces left aside."""
-    xml = _bare(xml)
-    return xml.isNotNull() & F.from_xml(xml, "_odd string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd"})["_odd"].isNull()
+def _whole(bare: str) -> bool:
+    """Whether a bare text is a whole XML document; prefixes of attributes may have lost their declarations."""
+    try:
+        expat.ParserCreate("utf-8").Parse(bare.encode("utf-8", "surrogatepass"), True)
+    except expat.ExpatError:
+        return False
+    return True
 
 
 def malformed(files: DataFrame) -> DataFrame:
     """(file): the files of (file, xml) that are no XML; entries() leaves them out."""
-    return files.where(~well_formed(F.col("xml"))).select("file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [xml is None or not _whole(_bare(xml)) for xml in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(odd, pa.bool_()))], ["file"])
+
+    return files.select("file", "xml").mapInArrow(run, f"file {files.schema['file'].dataType.simpleString()}")
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """(file, position, entry) of (file, xml); files that are no XML give none."""
-    files = files.where(well_formed(F.col("xml")))
-    found = F.regexp_extract_all(_bare(F.col("xml")), F.lit(r"(?s)(<entry[\s>].*?</entry>)"), 1)
-    return files.select("file", F.posexplode(found).alias("position", "entry"))
+    """(file, position, entry) of (file, xml); files that are no XML give none. Each file is stripped, tested and cut once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, out = [], [], []
+            for i, xml in enumerate(batch.column(1).to_pylist()):
+                bare = _bare(xml or "")
+                found = _ENTRY.findall(bare) if _whole(bare) else []
+                row += [i] * len(found)
+                at += range(len(found))
+                out += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(out, pa.string())], ["file", "position", "entry"])
+
+    return files.select("file", "xml").mapInArrow(run, f"file {files.schema['file'].dataType.simpleString()}, position int, entry string")
 
 
 def read_archives(spark: SparkSession, path: str, member: str = ".atom") -> DataFrame:

@@ -29,3 +29,10 @@ def test_counts_of_a_plan_without_targets(spark, sf_dir, tmp_path):
 def test_kinds_of_texts_with_other_letters(spark, tmp_path, text):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert agrees(spark, tmp_path, "kw_classify", ("documents",))
+
+
+@pytest.mark.parametrize("name", ["feed_notices", "feed_details"])
+def test_texts_of_notices_are_made_once(spark, sf_dir, name):
+    """A notice's text is neither computed again for each test of it nor moved line by line."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<feed>") == 1 and plan.index("<cac:TenderResult>") < plan.index("Aggregate")
