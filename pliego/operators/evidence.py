@@ -44,10 +44,10 @@ def is_candidate(href: Column, text: Column) -> Column:
 
 
 def kind(href: Column, text: Column) -> Column:
-    h, t = F.lower(href), F.lower(text)
+    both = F.lower(F.concat_ws("\n", text, href))  # no token spans the break
     out = None
     for tokens, name in KIND_RULES:
-        hit = _any(t, tokens) | _any(h, tokens)
+        hit = _any(both, tokens)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("unknown")
 
@@ -169,29 +169,42 @@ def resolution(final_url: Column, status: Column, mime: Column, disposition: Col
     The extension comes from the file name, else from the type, else from the address, else
     from the first bytes. What keeps a response from a merge is listed in order.
     """
-    mime = F.lower(F.trim(F.regexp_replace(F.coalesce(mime, F.lit("")), ";.*$", "")))
-    magic, name = F.coalesce(magic, F.lit("")), disposition_name(F.coalesce(disposition, F.lit("")))
-    by_type = F.create_map(*(F.lit(x) for pair in DOCUMENT_TYPES.items() for x in pair))[mime]
-    of_magic = F.when(magic.isin("pdf", "zip", "rtf"), magic).when(magic == "ole", "doc")
+    from ..functions.notices import let
+
+    magic = F.coalesce(magic, F.lit(""))
+    given = F.struct(F.lower(F.trim(F.regexp_replace(F.coalesce(mime, F.lit("")), ";.*$", ""))).alias("mime"), disposition_name(F.coalesce(disposition, F.lit(""))).alias("name"), magic.alias("magic"))
+    by_type = F.create_map(*(F.lit(x) for pair in DOCUMENT_TYPES.items() for x in pair))
     suffix = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]{1,5})$", 1)), F.lit(""))
-    ext = F.coalesce(suffix(name), by_type, suffix(F.regexp_extract(F.coalesce(final_url, F.lit("")), "^([^?#]*)", 1)), of_magic, F.lit(""))
-    mime = F.when((magic == "pdf") & (mime == ""), "application/pdf").otherwise(mime)
-    markup, known = mime.isin(*MARKUP_TYPES), ext.isin(*DOCUMENT_EXTENSIONS)
-    pdf = (mime == "application/pdf") | (ext == "pdf") | (magic == "pdf")
-    document = (pdf | known | mime.isin(*DOCUMENT_TYPES) | ((mime == "application/octet-stream") & magic.isin("pdf", "zip", "ole", "rtf"))) & ~markup
-    resolved = F.coalesce(status.isin(200, 206), F.lit(False))
-    blockers = F.array_compact(F.array(
-        F.when(~resolved, "not_resolved"), F.when(~document, "not_document"), F.when(markup, "html_page"), F.when(truthy(final_url).isNull(), "no_final_url"),
-        F.when(truthy(candidate_id).isNull(), "no_candidate_id"), F.when(truthy(canonical_key).isNull(), "no_canonical_key"),
-    ))
-    return F.struct(
-        name.alias("filename"), ext.alias("extension"), pdf.alias("is_pdf"), document.alias("is_document"), F.when(resolved, "resolved").otherwise("unresolved").alias("status"),
-        blockers.alias("blockers"), (F.size(blockers) == 0).alias("merge_ready"),
-    )
+
+    def kinds(x: Column) -> Column:
+        of_magic = F.when(x["magic"].isin("pdf", "zip", "rtf"), x["magic"]).when(x["magic"] == "ole", "doc")
+        ext = F.coalesce(suffix(x["name"]), by_type[x["mime"]], suffix(F.regexp_extract(F.coalesce(final_url, F.lit("")), "^([^?#]*)", 1)), of_magic, F.lit(""))
+        return F.struct(x["name"].alias("name"), x["magic"].alias("magic"), ext.alias("ext"), F.when((x["magic"] == "pdf") & (x["mime"] == ""), "application/pdf").otherwise(x["mime"]).alias("mime"))
+
+    def judged(x: Column) -> Column:
+        markup, known = x["mime"].isin(*MARKUP_TYPES), x["ext"].isin(*DOCUMENT_EXTENSIONS)
+        pdf = (x["mime"] == "application/pdf") | (x["ext"] == "pdf") | (x["magic"] == "pdf")
+        document = (pdf | known | x["mime"].isin(*DOCUMENT_TYPES) | ((x["mime"] == "application/octet-stream") & x["magic"].isin("pdf", "zip", "ole", "rtf"))) & ~markup
+        resolved = F.coalesce(status.isin(200, 206), F.lit(False))
+        return F.struct(x["name"].alias("name"), x["ext"].alias("ext"), pdf.alias("pdf"), document.alias("document"), markup.alias("markup"), resolved.alias("resolved"))
+
+    def answer(x: Column) -> Column:
+        blockers = F.array_compact(F.array(
+            F.when(~x["resolved"], "not_resolved"), F.when(~x["document"], "not_document"), F.when(x["markup"], "html_page"), F.when(truthy(final_url).isNull(), "no_final_url"),
+            F.when(truthy(candidate_id).isNull(), "no_candidate_id"), F.when(truthy(canonical_key).isNull(), "no_canonical_key"),
+        ))
+        return F.struct(
+            x["name"].alias("filename"), x["ext"].alias("extension"), x["pdf"].alias("is_pdf"), x["document"].alias("is_document"), F.when(x["resolved"], "resolved").otherwise("unresolved").alias("status"),
+            blockers.alias("blockers"), (F.size(blockers) == 0).alias("merge_ready"),
+        )
+
+    return let(let(let(given, kinds), judged), answer)  # each step's values are computed once a row
 
 
 def absolute_url(base: Column, href: Column) -> Column:
     """href resolved against the address of its page; '.' and '..' steps are taken."""
+    from ..functions.notices import let
+
     href, root = F.trim(href), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(F.substr(base, F.length(root) + 1), r"^([^?#]*)", 1)
     rest = F.regexp_extract(href, r"([?#].*)$", 1)
@@ -202,8 +215,7 @@ def absolute_url(base: Column, href: Column) -> Column:
         lambda done, s: F.when(s == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(s == ".", done).otherwise(F.array_append(done, s)),
     )
     ends_in_folder = target.rlike(r"(^|/)\.\.?$")
-    clean = F.concat(F.array_join(steps, "/"), F.when(ends_in_folder, "/").otherwise(""))
-    clean = F.when(clean.startswith("/"), clean).otherwise(F.concat(F.lit("/"), clean))
+    clean = let(F.concat(F.array_join(steps, "/"), F.when(ends_in_folder, "/").otherwise("")), lambda c: F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c)))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (F.coalesce(root, F.lit("")) == ""), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(root, "^([^:]*:)", 1), href))
