@@ -34,6 +34,8 @@ SAMPLE, VOTERS = 20_000, 300
 SUPPORT = 4
 #: One row in FOLDS is held out.
 FOLDS = 5
+#: Rows of the sample that a step of the fit holds as doubles.
+ROWS = 2048
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = [re.compile(p) for p in (r"\b[A-Z]{4,}(?:\s+[A-Z]{4,})+\b", r"[!?]{3,}", r"([A-Za-z])\1{3,}", r"\b\w+[*#@$]{2,}\w*")]
@@ -125,21 +127,22 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 25) -> np.nd
     silent with the complement. Each voice is divided by one plus its correlations, within
     the classes, with the other voters.
     """
-    posterior = np.where(label > 0, 0.95, 0.05)
+    posterior, share = np.where(label > 0, 0.95, 0.05), 1 / len(votes)
     for _ in range(rounds):
         p, q = posterior, 1 - posterior
         prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        fire_t = (p @ votes + 0.5) / (p.sum() + 1)
-        fire_c = (q @ votes + 0.5) / (q.sum() + 1)
-        centred = votes - p[:, None] * fire_t - q[:, None] * fire_c
-        covariance = centred.T @ centred / len(votes)
+        fire_t = (sum(p[s] @ v for s, v in _blocks(votes)) + 0.5) / (p.sum() + 1)
+        fire_c = (sum(q[s] @ v for s, v in _blocks(votes)) + 0.5) / (q.sum() + 1)
+        centred = (v - p[s, None] * fire_t - q[s, None] * fire_c for s, v in _blocks(votes))
+        covariance = sum(c.T @ c for c in centred) * share
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
         related = np.clip(covariance / scale[:, None] / scale, 0, 1)
         np.fill_diagonal(related, 0)
         related[related < 0.1] = 0
         voice = 1 / (1 + related.sum(axis=1))
         right = np.clip(((p @ label) + 1) / (p.sum() + 2), 0.51, 0.99), np.clip(((q @ (1 - label)) + 1) / (q.sum() + 2), 0.51, 0.99)
-        z = np.log(prior / (1 - prior)) + votes @ (voice * np.log(fire_t / fire_c)) + (1 - votes) @ (voice * np.log((1 - fire_t) / (1 - fire_c)))
+        fires, silent = voice * np.log(fire_t / fire_c), voice * np.log((1 - fire_t) / (1 - fire_c))
+        z = np.log(prior / (1 - prior)) + np.concatenate([v @ fires + (1 - v) @ silent for _, v in _blocks(votes)])
         z += np.where(label > 0, np.log(right[0] / (1 - right[1])), np.log((1 - right[0]) / right[1]))
         now = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         if np.abs(now - posterior).max() < 1e-4:
@@ -148,15 +151,24 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 25) -> np.nd
     return now
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic regression on soft labels y; the last column of x is not penalised."""
-    w = np.zeros(x.shape[1])
+def _blocks(*columns: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Slices of the rows, each with the columns of its rows side by side, as doubles."""
+    for lo in range(0, len(columns[0]), ROWS):
+        rows = slice(lo, lo + ROWS)
+        yield rows, np.column_stack([c[rows] for c in columns]).astype(np.float64, copy=False)
+
+
+def logistic(x: tuple[np.ndarray, ...], y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic regression on soft labels y; x are columns, of which the last is not penalised."""
+    w = np.zeros(sum(c.shape[1] if c.ndim > 1 else 1 for c in x))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        bend = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        slope, bend = penalty * w, np.diag(penalty)
+        for s, v in _blocks(*x):
+            p = 1 / (1 + np.exp(-np.clip(v @ w, -30, 30)))
+            slope += v.T @ (p - y[s])
+            bend += (v * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ v
         step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -181,13 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int =
     model = Model({r["voter"]: i for i, r in enumerate(best.collect())})
     fired = rows.mapInArrow(_fired_rows(model), "toxic int, votes array<int>, hits int, words int").toArrow()
     size = len(model.lexicon) + len(_PATTERNS)
-    votes = np.zeros((len(fired), size), np.float32)
+    votes = np.zeros((len(fired), size), np.uint8)
     lists = fired["votes"].combine_chunks()
     votes[np.repeat(np.arange(len(fired)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
     posterior = label_model(votes, (fired["toxic"].to_numpy() > 0).astype(np.float32))
     hits, words = fired["hits"].to_numpy(), fired["words"].to_numpy()
-    x = np.column_stack([votes, np.log1p(hits), hits / (words + 20), np.ones(len(fired))])
-    w = logistic(x, posterior)
+    w = logistic((votes, np.log1p(hits), hits / (words + 20), np.ones(len(fired))), posterior)
     model.weights, (model.hits, model.density, model.bias) = w[:size], w[size:].tolist()
     return model
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -334,3 +335,15 @@ def test_the_sample_is_of_rows(spark):
     every = toxicity.labelled(docs, labels, 10_000)
     free = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
     assert every.count() == every.distinct().count() == sum(200 + (i == 1) for i in free)
+
+
+def test_the_fit_needs_memory_for_a_few_rows_at_once():
+    rng = np.random.default_rng(4)
+    votes = (rng.random((20_000, 304)) < 0.1).astype(np.uint8)
+    label = (rng.random(20_000) < 0.3).astype(np.float32)
+    tracemalloc.start()
+    posterior = toxicity.label_model(votes, label, rounds=2)
+    toxicity.logistic((votes, np.ones(len(votes))), posterior, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20

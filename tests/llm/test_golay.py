@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from pliego.llm import golay
-from pliego.llm.components import components
+from pliego.llm.components import components, stars
 
 
 def fingerprint(text):
@@ -114,3 +114,17 @@ def test_unsettled_components_raise(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     with pytest.raises(RuntimeError, match="not settled"):
         components(chain, rounds=1)
+
+
+def test_components_of_stars_take_no_round(spark):
+    edges = [(i, x) for i in range(0, 3000, 100) for x in range(i + 1, i + 100)]
+    got = components(spark.createDataFrame(edges, "a long, b long"), rounds=0)
+    assert {tuple(r) for r in got.collect()} == {(x, i) for i, x in edges}
+
+
+def test_blocks_of_edges_become_stars():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-40, 400, (2, 300))
+    want = joined([(x, x) for x in {*a.tolist(), *b.tolist()}] + list(zip(a.tolist(), b.tolist())))
+    got = dict(zip(*(x.tolist() for x in stars(a, b))))
+    assert got == {x: t for x, t in want.items() if x != t}
