@@ -127,6 +127,11 @@ def fold_accents(c: Column) -> Column:
     return F.translate(F.lower(c), "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy")
 
 
+def fold_plain(c: Column) -> Column:
+    """fold_accents, of a column that costs nothing: a text of ASCII alone is not looked at sign by sign."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(fold_accents(c))
+
+
 def _bare(sign: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", sign) if not unicodedata.category(x).startswith("M"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.notices import let
-from ..functions.semantics import fold_accents
+from ..functions.semantics import fold_plain
 from . import appendix_tables as T
 
 WINDOW, VALUE, EXCERPT, HEADING = 4000, 2500, 500, 120
@@ -30,7 +30,7 @@ def _trimmed(c: Column) -> Column:
 
 
 def _norm(c: Column) -> Column:
-    return F.trim(F.regexp_replace(fold_accents(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(fold_plain(c), r"(?U)\s+", " "))
 
 
 def is_contents_line(raw: Column) -> Column:
@@ -57,7 +57,7 @@ def _first_words(variants: Mapping[str, Sequence[str]]) -> str:
     return "|".join(sorted({re.escape(re.split(r"\W", v)[0]) for vs in variants.values() for v in vs}))
 
 
-def _named(norm: Column, variants: Mapping[str, Sequence[str]]) -> Column:
+def _named(raw: Column, variants: Mapping[str, Sequence[str]]) -> Column:
     """The fields that a line names: the first place of a variant in it has no letter or digit on either side."""
     table = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(v).alias("variant")) for f, vs in variants.items() for v in vs))
 
@@ -72,7 +72,7 @@ def _named(norm: Column, variants: Mapping[str, Sequence[str]]) -> Column:
         hits = F.filter(table, lambda x: F.contains(line, x["variant"]))
         return F.array_distinct(F.transform(F.filter(hits, lambda x: whole(line, x["variant"])), lambda x: x["field"]))
 
-    return F.when(norm.rlike(_first_words(variants)), let(norm, named)).otherwise(F.array().cast("array<string>"))
+    return F.when(fold_plain(raw).rlike(_first_words(variants)), let(_norm(raw), named)).otherwise(F.array().cast("array<string>"))
 
 
 def section_lines(docs: DataFrame, ident: str, text: str, variants: Mapping[str, Sequence[str]] = T.VARIANTS, window: int = WINDOW) -> DataFrame:
@@ -82,7 +82,7 @@ def section_lines(docs: DataFrame, ident: str, text: str, variants: Mapping[str,
     the first. section counts the heading lines so far; start is the line's offset in the
     text, each line counted up to ``window`` signs.
     """
-    held = docs.select(ident, F.col(text).alias("_t")).where(fold_accents(F.col("_t")).rlike(_first_words(variants)))
+    held = docs.select(ident, F.col(text).alias("_t")).where(fold_plain(F.col("_t")).rlike(_first_words(variants)))
     rows = held.select(ident, F.posexplode(F.split("_t", _BREAK)).alias("line_no", "raw"))
     mark = F.regexp_extract(_trimmed(F.col("raw")), r"(?i)^---\s*PAGE\s+([0-9]+)\s*---$", 1)
     rows = rows.withColumn("mark", mark).withColumns({"head": (F.col("mark") == "") & is_section_line(F.col("raw")), "blank": _trimmed(F.col("raw")) == ""})
@@ -94,7 +94,7 @@ def section_lines(docs: DataFrame, ident: str, text: str, variants: Mapping[str,
     rows = rows.where("mark = ''").withColumn("contents", is_contents_line(F.col("raw")))
     real = Window.partitionBy(ident, "blank").orderBy("line_no")
     rows = rows.withColumn("contents", F.col("contents") | F.coalesce(F.lead("contents").over(real), F.lit(False)))
-    return rows.select(ident, "line_no", "raw", "head", "contents", _named(_norm(F.col("raw")), variants).alias("fields"), "page", "section", "start")
+    return rows.select(ident, "line_no", "raw", "head", "contents", _named(F.col("raw"), variants).alias("fields"), "page", "section", "start")
 
 
 def field_windows(docs: DataFrame, ident: str, text: str, variants: Mapping[str, Sequence[str]] = T.VARIANTS, window: int = WINDOW) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows
 
+from pliego.functions.semantics import fold_accents, fold_plain
+from pliego.operators import appendix
 from pliego.plans import registry
 
 
@@ -47,3 +50,17 @@ def test_values_of_answers_are_computed_once(spark, sf_dir):
     """The name in a header feeds six values of an answer."""
     plan = registry.queries()["resolutions"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("[^;]+") <= 2
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_lines_with_a_first_word_are_normalised(spark):
+    texts = spark.createDataFrame([(1, "Objeto del contrato")], "d int, t string")
+    assert optimized(appendix.section_lines(texts, "d", "t")).count(r"(?U)\s+") == 1
+
+
+def test_plain_folds_are_the_same(spark):
+    texts = spark.createDataFrame([("Abc \x7f",), ("ÁÉÍ Ñç",), ("İ",), ("",), (None,)], "t string")
+    assert all(r[0] == r[1] for r in texts.select(fold_accents(F.col("t")), fold_plain(F.col("t"))).collect())
