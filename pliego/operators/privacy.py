@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contract import private_host
+from ..functions.notices import let
 from ..functions.semantics import fold_accents, tax_id_valid
 from . import privacy_tables as T
 from .privacy_tables import HARD, HYGIENE, PATTERNS, PUBLIC
@@ -139,10 +140,15 @@ def compact_key(key: Column) -> Column:
 
 def key_rule(key: Column) -> Column:
     """The rule that a key triggers by its name, null if none; the first that fits counts."""
-    words, compact = key_tokens(key), compact_key(key)
+    return let(F.struct(key_tokens(key).alias("words"), compact_key(key).alias("compact")), _rule_of_name)
+
+
+def _rule_of_name(name: Column) -> Column:
+    """The rule of a key (words, compact)."""
+    words, compact = name["words"], name["compact"]
     some = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
     spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    phrase = lambda pairs: spaced.rlike(" (?:" + "|".join(" ".join(p) for p in pairs) + ") ")
+    phrase = lambda pairs: (F.size(words) > 1) & spaced.rlike(" (?:" + "|".join(" ".join(p) for p in pairs) + ") ")
     book = compact.isin(*T.BOOKKEEPING_KEYS) | compact.endswith("gatenote") | compact.rlike("^(?:" + "|".join(T.BOOKKEEPING_PREFIXES) + ")")
     return (
         F.when(compact == "winningpartynif", "POPULATED_WINNING_PARTY_NIF").when(some(T.CREDENTIAL_WORDS) | phrase(T.CREDENTIAL_PHRASES), "CREDENTIAL_KEY")
@@ -156,14 +162,15 @@ def phone_like(value: Column) -> Column:
     shapes = F.regexp_extract_all(value, F.lit(r"(?<![\w+])(\+\d[\d ().\-]{7,17}\d)(?!\w)"), 1)
     plus = value.contains("+") & F.exists(shapes, lambda m: F.length(F.regexp_replace(m, r"\D", "")).between(9, 15))
     labels = "|".join(rf"{w}(?![a-z0-9])[\s\S]{{0,{25 - len(w)}}}" for w in T.PHONE_LABELS)
-    return plus | fold_accents(value).rlike(rf"(?<![a-z0-9])(?:{labels})(?<!\d)[6-9]\d{{2}}[ .\-]?\d{{3}}[ .\-]?\d{{3}}(?!\d)")
+    national = r"[6-9]\d{2}[ .\-]?\d{3}[ .\-]?\d{3}"
+    return plus | value.rlike(national) & fold_accents(value).rlike(rf"(?<![a-z0-9])(?:{labels})(?<!\d){national}(?!\d)")
 
 
 def personal_id_like(value: Column) -> Column:
     """A DNI or NIE with its right check letter, or any of that shape shortly after its name."""
     shapes = F.regexp_extract_all(value, F.lit(r"(?<![A-Za-z0-9/.\-])((?:\d{8}|[XYZxyz]\d{7})[A-Za-z])(?![A-Za-z0-9])"), 1)
     named = r"\b(?:dni|nie)\b[\s\S]{0,11}(?<![a-z0-9])(?:\d{8}|[xyz]\d{7})[a-z](?![a-z0-9])"
-    return F.exists(shapes, tax_id_valid) | fold_accents(value).rlike(named)
+    return value.rlike(r"\d{7}") & (F.exists(shapes, tax_id_valid) | fold_accents(value).rlike(named))
 
 
 def _authority(url: Column) -> tuple[Column, Column, Column]:
@@ -249,9 +256,9 @@ def tree_findings(rows: DataFrame, ident: str, text: str, surface: str, known: t
     """
     nodes = json_nodes(rows, ident, text)
     nodes = nodes.withColumn("key", F.when(F.size("path") > 0, F.try_element_at("path", F.lit(-1))["key"]))
-    rule = key_rule(F.col("key"))
+    nodes = nodes.withColumns({"rule": key_rule(F.col("key")), "compact": compact_key(F.col("key"))})
+    rule, compact = F.col("rule"), F.col("compact")
     gated = rule.isin("CREDENTIAL_KEY", "EMAIL_KEY", "CONTACT_KEY", "PERSONAL_ID_KEY", "POPULATED_WINNING_PARTY_NIF", "RAW_PAYLOAD_CARRIER")
-    compact = compact_key(F.col("key"))
     unknown = F.when(F.lit(surface == "public-build") & rule.isNull() & (compact != "") & ~compact.isin(*known), "SCHEMA_UNKNOWN")
     by_name = F.array_compact(F.array(F.when(gated & ~F.col("populated"), None).otherwise(F.coalesce(rule, unknown))))
     as_value = _names([*hard_rules(F.col("key")), ("DANGEROUS_URL_SCHEME", dangerous_scheme(F.col("key"), F.lit(False))), ("UNSAFE_URL_HOST", unsafe_http(F.col("key")))])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_queries import rows
 
 from pliego.functions.semantics import fold_accents, fold_plain
-from pliego.operators import appendix
+from pliego.operators import appendix, privacy
 from pliego.plans import registry
 
 
@@ -56,6 +56,18 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_keys_of_trees_are_cut_into_words_once(spark):
+    trees = spark.createDataFrame([(1, '{"a": 1}')], "d int, t string")
+    plan = optimized(privacy.summary(privacy.tree_findings(trees, "d", "t", "public-build")))
+    assert plan.count("(?<=[a-z0-9])(?=[A-Z])") == 2  # of the key and of the nearest key above
+
+
+def test_numbers_after_marked_labels_are_found(spark):
+    values = spark.createDataFrame([("telèfon 600 123 456",), ("DNÍ: 12345678A",), ("tel 60012345",), ("Ñie x1234567b",), (None,)], "v string")
+    got = values.select(privacy.phone_like(F.col("v")), privacy.personal_id_like(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, True), (False, False), (False, True), (None, None)]
+
+
 def test_only_lines_with_a_first_word_are_normalised(spark):
     texts = spark.createDataFrame([(1, "Objeto del contrato")], "d int, t string")
     assert optimized(appendix.section_lines(texts, "d", "t")).count(r"(?U)\s+") == 1
