@@ -112,4 +112,4 @@ def notice_fields(spark, sf_dir):
 
 @query(f"""WITH {_NOTICES} SELECT c_custkey, round((7 + CASE WHEN lots > 0 THEN 1 ELSE 0 END + CASE WHEN list LIKE '%.0%' THEN 1 ELSE 0 END) / 12, 3) AS coverage, 'partial' AS appendix_status FROM n""")
 def appendix_status(spark, sf_dir):
-    return N.appendix_status(N.notice_fields(_notices(spark, sf_dir), ["c_custkey"], "text"), ["c_custkey"])
+    return N.appendix_status(N.notice_fields(_notices(spark, sf_dir), ["c_custkey"], "text", brief=True), ["c_custkey"])

@@ -141,3 +141,25 @@ def test_roles(spark, text, role):
 
 def test_no_row_moves(found):
     assert "Exchange" not in N.notice_fields(found.sparkSession.createDataFrame([(1, "x")], "d int, t string"), ["d"], "t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_brief_rows_say_which_fields_have_a_value(spark, found):
+    texts = [(1, NOTICE), (2, "nada"), (3, None), (4, " \n\t\n"), (5, NOTICE.replace("Objeto del Contrato: Diseño", "x").replace("\n", "\r\n"))]
+    brief = N.notice_fields(spark.createDataFrame(texts, "d int, t string"), ["d"], "t", F.lit(True), brief=True)
+    assert {(r["d"], r["field"], r["value"], r["field_status"]) for r in brief.collect()} == {(r["d"], r["field"], True if r["value"] is not None else None, r["field_status"]) for r in found.collect()}
+    assert sorted(map(tuple, N.appendix_status(brief, ["d"]).collect())) == sorted(map(tuple, N.appendix_status(found, ["d"]).collect()))
+
+
+def test_matches_that_cross_lines(spark):
+    texts = [(1, "Directiva\n \n2014/24/UE\nNúmero de lotes:\n\n3"), (2, "Directiva\n--- PAGE 2 ---\n2014/24/UE\nContrato sujeto a regulación armonizada\n\nSí")]
+    rows = N.notice_fields(spark.createDataFrame(texts, "d int, t string"), ["d"], "t").where("value IS NOT NULL").collect()
+    by = {(r["d"], r["field"]): json.loads(r["value"]) for r in rows}
+    assert by[1, "contract_meta"]["directiva"] == "2014/24/UE" and by[1, "opportunity_flags"]["num_lotes"] == 3
+    assert (2, "contract_meta") not in by and by[2, "opportunity_flags"]["sujeto_regulacion_armonizada"] is True
+
+
+def test_status_query_reads_no_values(spark, sf_dir):
+    from pliego.plans.appendix import appendix_status
+
+    plan = appendix_status(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructsToJson" not in plan and "_folded" in plan
