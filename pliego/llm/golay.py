@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NO_ID, batch_bytes, bounded, whole_row, written
+from .base import NO_ID, batch_bytes, bounded, dropped, whole_row, written
 from .components import components
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR = 0b101011100011
 #: Largest key group whose members are compared with each other.
 CROWD = 500
+#: Members of crowded groups for which one task lists all values within 2 bits, 2081 each.
+BALLS = 256
 
 #: Each byte with A-Z in lower case.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -219,15 +221,22 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     values within 2 bits of a member meet in every value halfway, where all are linked to
     one member within 1 bit of it. Those edges span the same components as all links.
     """
+    spark = distinct.sparkSession
     keys = written(distinct.mapInArrow(_key_rows, "key long, fp long"))
     sizes = keys.groupBy("key").count().where("count > 1")
-    alive = keys.join(sizes, "key")
+    alive = written(keys.join(sizes, "key"))
+    dropped(keys)
     small = alive.where(F.col("count") <= crowd).select("key", "fp").repartition("key").sortWithinPartitions("key")
     pairs = small.mapInArrow(_pair_rows(3), "a long, b long")
     crowded = alive.where(F.col("count") > crowd).select("fp").distinct()
-    hubs = crowded.mapInArrow(_ball_rows(1), "value long, fp long").groupBy("value").agg(F.min("fp").alias("a"))
-    halfway = crowded.mapInArrow(_ball_rows(2), "value long, fp long").join(hubs, "value").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(halfway).where("a <> b").distinct()
+    if members := crowded.count():
+        tasks = min(-(-members // BALLS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        crowded = crowded.repartition(tasks, "fp")
+        hubs = crowded.mapInArrow(_ball_rows(1), "value long, fp long").groupBy("value").agg(F.min("fp").alias("a"))
+        # Spark takes a ball for no larger than its member; without the hint it may broadcast all balls by way of the driver.
+        halfway = crowded.mapInArrow(_ball_rows(2), "value long, fp long").join(hubs.hint("merge"), "value").select("a", F.col("fp").alias("b"))
+        pairs = pairs.unionByName(halfway)
+    return pairs.where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

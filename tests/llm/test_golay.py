@@ -79,6 +79,25 @@ def test_links_span_the_components_of_all_pairs(spark):
         assert sorted(sorted(x for x in values if got[x] == t) for t in set(got.values())) == groups
 
 
+def test_balls_of_crowded_groups_are_not_broadcast(spark):
+    r = random.Random(7)
+    center = r.getrandbits(64)
+    values = {center}
+    while len(values) < 300:
+        values.add(center ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+    far = {v ^ (2**64 - 1) for v in values}
+    df = spark.createDataFrame([(signed(v),) for v in sorted(values | far)], "fp long")
+    # 600 members have 1.2 million values within 2 bits, 20 MB and more.
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    try:
+        pairs = [(p["a"] % 2**64, p["b"] % 2**64) for p in golay.links(df, crowd=2).collect()]
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
+    top = joined(pairs)
+    assert {frozenset(x for x in top if top[x] == t) for t in set(top.values())} == {frozenset(values), frozenset(far)}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 40)] + [(7, 7), (300, 200), (200, 300), (300, 400)]
     want = joined([(a, b) for a, b in edges if a != b])
